@@ -1,13 +1,21 @@
 """Page-view logs and daily tables derived from the given tables.
 
 Every row of the source becomes one record, with its arrays built inside the row,
-so deriving the log needs no shuffle and grows with the table.
+so deriving a log needs no shuffle and grows with the table. Nested logs are written
+once per session to the shared checkpoint folder and read back like any other log,
+with only the fields a job needs.
 """
 
+import hashlib
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.constants import CATEGORY_BASE
+from adloom.session import use_checkpoint_dir
+from adloom.sources.readers import read_records
+from adloom.sources.schemas import PAGE_VIEW, SCORE_TRACKING
 
 SITES = [1, 2]
 EXPERIMENTS = [2, 7, 11, 12]
@@ -16,6 +24,35 @@ ID_BITS = {"guid": 0, "wuid": 1, "md5_imei": 2, "md5_idfa": 3, "qidfa": 1}
 DAY = "20240101"
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _written_log(
+    spark: SparkSession, sf_dir: str, name: str, derive: Callable[[SparkSession, str], DataFrame]
+) -> str:
+    """Folder of a derived log, written on first use in the session."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        use_checkpoint_dir(spark)
+        source = hashlib.md5(sf_dir.encode()).hexdigest()
+        path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{source}"
+        derive(spark, sf_dir).write.mode("overwrite").parquet(path)
+        _written[key] = path
+    return _written[key]
+
+
+def page_views(spark: SparkSession, sf_dir: str, fields: Iterable[str]) -> DataFrame:
+    """The page-view log, with the given fields and the event type."""
+    path = _written_log(spark, sf_dir, "page-views", derive_page_views)
+    return read_records(spark, path, [*fields, "event_type"], f"{PAGE_VIEW}, event_type string")
+
+
+def score_records(spark: SparkSession, sf_dir: str, fields: Iterable[str]) -> DataFrame:
+    """The score-tracking log."""
+    path = _written_log(spark, sf_dir, "score-records", derive_score_records)
+    return read_records(spark, path, fields, SCORE_TRACKING)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -138,7 +175,7 @@ def _impressions(position: int) -> Column:
     )
 
 
-def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page view per event, with two positions."""
     k = F.col("k")
     repeated = F.array(F.lit(7), F.lit(7))
@@ -231,7 +268,7 @@ def position_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One position record per line item: two tracks score its ad, the second track
     another one as well; three ads are ranked, one of them unscored."""
     line, quantity = F.col("l_linenumber"), F.col("l_quantity").cast("int")

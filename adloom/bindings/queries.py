@@ -39,56 +39,52 @@ def repeat_histogram(spark, sf_dir):
 
 
 def repeat_histogram_log(spark, sf_dir):
-    impressions = histogram.product_impressions(logs.page_views(spark, sf_dir), SITES)
+    impressions = histogram.product_impressions(logs.page_views(spark, sf_dir, histogram.FIELDS), SITES)
     return histogram.repeat_histogram(impressions)
 
 
 def repeat_histogram_split(spark, sf_dir):
     """The same with every user taking the route of very large ones."""
-    impressions = histogram.product_impressions(logs.page_views(spark, sf_dir), SITES)
+    impressions = histogram.product_impressions(logs.page_views(spark, sf_dir, histogram.FIELDS), SITES)
     return histogram.repeat_histogram(impressions, split_above=0)
 
 
 def exposure_metrics(spark, sf_dir):
-    return metrics.exposure_metrics(logs.page_views(spark, sf_dir), EXPERIMENTS)
+    return metrics.exposure_metrics(logs.page_views(spark, sf_dir, metrics.EXPOSURE_FIELDS), EXPERIMENTS)
 
 
 def click_metrics(spark, sf_dir):
-    return metrics.click_metrics(logs.page_views(spark, sf_dir), EXPERIMENTS)
+    return metrics.click_metrics(logs.page_views(spark, sf_dir, metrics.CLICK_FIELDS), EXPERIMENTS)
 
 
 def conversion_metrics(spark, sf_dir):
-    return metrics.conversion_metrics(logs.page_views(spark, sf_dir), EXPERIMENTS)
+    return metrics.conversion_metrics(logs.page_views(spark, sf_dir, metrics.TRACE_FIELDS), EXPERIMENTS)
 
 
 def merged_metrics(spark, sf_dir):
-    log = logs.page_views(spark, sf_dir)
-    return metrics.merged_metrics(log, log, log, EXPERIMENTS)
+    per_log = [metrics.EXPOSURE_FIELDS, metrics.CLICK_FIELDS, metrics.TRACE_FIELDS]
+    return metrics.merged_metrics(*(logs.page_views(spark, sf_dir, fields) for fields in per_log), EXPERIMENTS)
 
 
 def exposure_detail(spark, sf_dir):
-    detail = exposure.exposure_detail(logs.page_views(spark, sf_dir), SITES, TARGETS)
+    detail = exposure.exposure_detail(logs.page_views(spark, sf_dir, exposure.DETAIL_FIELDS), SITES, TARGETS)
     return detail.withColumn("pcvr", F.col("pcvr").cast("double"))
 
 
 def impression_cost(spark, sf_dir):
-    return exposure.impression_cost(logs.page_views(spark, sf_dir), SITES)
-
-
-def _play_times(spark, sf_dir):
-    log = logs.page_views(spark, sf_dir).filter(F.col("event_type") != "error")
-    return exposure.play_times(exposure.video_plays(log, SITES))
+    return exposure.impression_cost(logs.page_views(spark, sf_dir, exposure.COST_FIELDS), SITES)
 
 
 def video_play(spark, sf_dir):
-    return _play_times(spark, sf_dir)
+    """The video log holds the pages that did not end in an error."""
+    log = logs.page_views(spark, sf_dir, exposure.VIDEO_FIELDS).filter(F.col("event_type") != "error")
+    return exposure.play_times(exposure.video_plays(log, SITES))
 
 
 def exposure_enriched(spark, sf_dir):
-    dataset = exposure.exposure_dataset(
-        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), _play_times(spark, sf_dir)
+    return exposure.exposure_dataset(
+        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), video_play(spark, sf_dir)
     )
-    return dataset
 
 
 def exposure_without_video(spark, sf_dir):
@@ -96,7 +92,7 @@ def exposure_without_video(spark, sf_dir):
 
 
 def impression_extract(spark, sf_dir):
-    extract = calibration.impression_extract(logs.page_views(spark, sf_dir), SITES)
+    extract = calibration.impression_extract(logs.page_views(spark, sf_dir, calibration.EXTRACT_FIELDS), SITES)
     return extract.withColumns({c: F.col(c).cast("double") for c in ["pctr", "pcvr"]})
 
 
@@ -137,7 +133,7 @@ def bias_pooled(spark, sf_dir):
 
 
 def score_consistency(spark, sf_dir):
-    return consistency.score_consistency(logs.score_records(spark, sf_dir))
+    return consistency.score_consistency(logs.score_records(spark, sf_dir, consistency.FIELDS))
 
 
 def last_write_lookup(spark, sf_dir):
