@@ -7,15 +7,16 @@ with only the fields a job needs.
 """
 
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.constants import CATEGORY_BASE
 from adloom.session import use_checkpoint_dir
-from adloom.sources.readers import read_records
+from adloom.sources.readers import read_daily_table, read_records
 from adloom.sources.schemas import PAGE_VIEW, SCORE_TRACKING
+from adloom.sources.writers import write_partitioned
 
 SITES = [1, 2]
 EXPERIMENTS = [2, 7, 11, 12]
@@ -28,7 +29,11 @@ _written: dict[tuple[str, str, str], str] = {}
 
 
 def _written_log(
-    spark: SparkSession, sf_dir: str, name: str, derive: Callable[[SparkSession, str], DataFrame]
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    derive: Callable[[SparkSession, str], DataFrame],
+    partitions: Sequence[str] = (),
 ) -> str:
     """Folder of a derived log, written on first use in the session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
@@ -36,7 +41,10 @@ def _written_log(
         use_checkpoint_dir(spark)
         source = hashlib.md5(sf_dir.encode()).hexdigest()
         path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{source}"
-        derive(spark, sf_dir).write.mode("overwrite").parquet(path)
+        if partitions:
+            write_partitioned(derive(spark, sf_dir), path, partitions)
+        else:
+            derive(spark, sf_dir).write.mode("overwrite").parquet(path)
         _written[key] = path
     return _written[key]
 
@@ -53,6 +61,12 @@ def score_records(spark: SparkSession, sf_dir: str, fields: Iterable[str]) -> Da
     return read_records(spark, path, fields, SCORE_TRACKING)
 
 
+def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily ad table's partitions of the day and the two after it."""
+    path = _written_log(spark, sf_dir, "daily-table", derive_daily_table, ["day"])
+    return read_daily_table(spark, path, DAY)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -222,7 +236,7 @@ def derive_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row of the daily ad table per event. A third each arrives on the day, one
     and two days later."""
     k, kind = F.col("k"), F.col("event_type")

@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.operators.skew import SPLIT_ABOVE, heavy_keys, split_by_keys
@@ -14,6 +14,7 @@ def pair_join(
     on: Sequence[str],
     how: str = "inner",
     split_above: int = SPLIT_ABOVE,
+    suspects: Column | None = None,
 ) -> DataFrame:
     """Equi-join of two keyed relations: inner, left, right or full.
 
@@ -22,13 +23,20 @@ def pair_join(
     full join. A key that is large on another side exists there, so its rows on the
     opposite side always match and the key can be joined by a narrower join that
     does allow the split.
+
+    Finding large keys takes a grouping by key. `suspects`, a condition on the key
+    columns, limits it to the keys that could be large.
     """
     on = list(on)
-    narrower = {"left": [(right, "inner")], "right": [(left, "inner")],
-                "full": [(left, "left"), (right, "right")]}.get(how, [])
+    narrower = {
+        "left": [(right, "inner")],
+        "right": [(left, "inner")],
+        "full": [(left, "left"), (right, "right")],
+    }
     parts = []
-    for side, join_type in narrower:
-        heavy = heavy_keys(side.select(*on), on, split_above)
+    for side, join_type in narrower.get(how, []):
+        keys = side.select(*on) if suspects is None else side.select(*on).filter(suspects)
+        heavy = heavy_keys(keys, on, split_above)
         if heavy is None:
             continue
         if parts:

@@ -116,8 +116,8 @@ def repeated_occurrences(
 def _keep_repeats(chunked, keys, item, values, min_repeats) -> DataFrame:
     in_chunk = Window.partitionBy(*keys, "chunk", item)
     return (
-        chunked.withColumn("repeats", F.count(F.lit(1)).over(in_chunk))
-        .withColumn("order", F.row_number().over(in_chunk.orderBy("place")) - 1)
+        chunked.withColumn("order", F.row_number().over(in_chunk.orderBy("place")) - 1)
+        .withColumn("repeats", F.count(F.lit(1)).over(in_chunk))  # needs no further sort
         .filter(F.col("repeats") >= min_repeats)
         .select(item, *values, "order", "copies")
     )

@@ -33,11 +33,14 @@ def score_consistency(pageviews: DataFrame, site_set: int = C.SITE_SET) -> DataF
         F.flatten(F.transform(tracks, lambda track: track["ads"])),
         lambda ad: ad["aindex"].isNotNull() & ad["ctr"].isNotNull() & ad["cvr"].isNotNull(),
     )
-    final = F.filter(f"{mixer}.ads", lambda ad: ad["pctr"].isNotNull() & ad["adjusted_pcvr"].isNotNull())
-    ads = ranked.select(F.reverse(early).alias("early"), final.alias("final")).select(
-        "early",
-        F.transform("early", lambda ad: ad["aindex"]).alias("early_keys"),
-        F.explode("final").alias("ad"),
+    ads = (
+        ranked.withColumn("early", F.reverse(early))
+        .select(
+            "early",
+            F.transform("early", lambda ad: ad["aindex"]).alias("early_keys"),
+            F.explode(f"{mixer}.ads").alias("ad"),
+        )
+        .filter(F.col("ad.pctr").isNotNull() & F.col("ad.adjusted_pcvr").isNotNull())
     )
 
     last = F.array_position("early_keys", or_zero(F.col("ad.aindex"))).cast("int")

@@ -10,6 +10,8 @@ from adloom.functions.arrays import joined_ids, placement_type, target_experimen
 from adloom.functions.ids import preferred_user_id
 from adloom.functions.scalars import micros_to_units, or_blank, or_zero, play_seconds
 from adloom.operators.flatten import to_impressions, to_positions
+from adloom.operators.keyed import pair_join
+from adloom.operators.skew import SPLIT_ABOVE
 from adloom.sources.writers import write_partitioned
 
 DETAIL_FIELDS = [
@@ -126,9 +128,14 @@ def exposure_dataset(
     cost: DataFrame,
     play: DataFrame | None = None,
     defaults: Mapping[str, object] = DEFAULTS,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
-    """Detail with cost and, where the video log is complete, play times."""
-    joined = detail.join(cost, IMPRESSION, "left")
+    """Detail with cost and, where the video log is complete, play times.
+
+    Ids tell impressions apart, so only the blank id of records without one can stand
+    for very many rows.
+    """
+    joined = pair_join(detail, cost, IMPRESSION, "left", split_above, suspects=F.col("id") == "")
     if play is None:
         zero = F.lit(0)
         joined = joined.withColumns({"play_time": zero, "click_play_time": zero})
