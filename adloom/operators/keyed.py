@@ -57,14 +57,31 @@ def last_written(writes: DataFrame, keys: Sequence[str], order_by: Sequence[str]
     return writes.groupBy(*keys).agg(latest).select(*keys, "latest.*")
 
 
+def look_up(rows: DataFrame, single: DataFrame, keys: Sequence[str], heavy: DataFrame | None = None) -> DataFrame:
+    """Left join to a relation with at most one row per key.
+
+    `heavy` lists the keys with very many `rows` (see `heavy_keys`). Their rows stay
+    where they are: `single` has no more rows for them than there are such keys, few
+    enough to broadcast.
+    """
+    if heavy is None:
+        return rows.join(single, list(keys), "left")
+    other_rows, heavy_rows = split_by_keys(rows, keys, heavy)
+    other_single, heavy_single = split_by_keys(single, keys, heavy)
+    return other_rows.join(other_single, list(keys), "left").unionByName(
+        heavy_rows.join(F.broadcast(heavy_single), list(keys), "left")
+    )
+
+
 def look_up_last(
     rows: DataFrame,
     writes: DataFrame,
     keys: Sequence[str],
     order_by: Sequence[str],
     defaults: Mapping[str, object],
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Left lookup of the last written values; a miss gives the defaults."""
     latest = last_written(writes, keys, order_by, list(defaults))
-    found = rows.join(latest, list(keys), "left")
+    found = look_up(rows, latest, keys, heavy_keys(rows, keys, split_above))
     return found.withColumns({name: F.coalesce(F.col(name), F.lit(v)) for name, v in defaults.items()})

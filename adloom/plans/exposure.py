@@ -10,8 +10,8 @@ from adloom.functions.arrays import joined_ids, placement_type, target_experimen
 from adloom.functions.ids import preferred_user_id
 from adloom.functions.scalars import micros_to_units, or_blank, or_zero, play_seconds
 from adloom.operators.flatten import to_impressions, to_positions
-from adloom.operators.keyed import pair_join
-from adloom.operators.skew import SPLIT_ABOVE
+from adloom.operators.keyed import look_up, pair_join
+from adloom.operators.skew import SPLIT_ABOVE, heavy_keys
 from adloom.sources.writers import write_partitioned
 
 DETAIL_FIELDS = [
@@ -130,17 +130,20 @@ def exposure_dataset(
     defaults: Mapping[str, object] = DEFAULTS,
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
-    """Detail with cost and, where the video log is complete, play times.
+    """Detail with cost and, where the video log is complete, play times (one row per
+    impression, see `play_times`).
 
     Ids tell impressions apart, so only the blank id of records without one can stand
     for very many rows.
     """
-    joined = pair_join(detail, cost, IMPRESSION, "left", split_above, suspects=F.col("id") == "")
+    blank = F.col("id") == ""
+    joined = pair_join(detail, cost, IMPRESSION, "left", split_above, suspects=blank)
     if play is None:
         zero = F.lit(0)
         joined = joined.withColumns({"play_time": zero, "click_play_time": zero})
     else:
-        joined = joined.join(play, IMPRESSION, "left")
+        heavy = heavy_keys(detail.select(*IMPRESSION).filter(blank), IMPRESSION, split_above)
+        joined = look_up(joined, play, IMPRESSION, heavy)
     return joined.na.fill(dict(defaults))
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from adloom.operators.keyed import look_up_last
 from adloom.plans.consistency import score_consistency
 from adloom.sources.schemas import SCORE_TRACKING, layout
@@ -49,7 +51,9 @@ def test_huge_ratio_is_held_at_the_largest_int(spark):
     assert scores(spark, record(mixer={"ads": ads})) == [(0, 2147483647, "", 0)]
 
 
-def test_look_up_last(spark):
+@pytest.mark.parametrize("split_above", [10**9, 1, 0])
+def test_look_up_last(spark, split_above):
     writes = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (2, 5, 50)], "key int, at int, score int")
-    rows = spark.createDataFrame([(1,), (2,), (3,)], "key int")
-    assert values(look_up_last(rows, writes, ["key"], ["at"], {"score": 0})) == [(1, 20), (2, 50), (3, 0)]
+    rows = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (4,)], "key int")
+    found = look_up_last(rows, writes, ["key"], ["at"], {"score": 0}, split_above)
+    assert values(found) == [(1, 20), (2, 50), (2, 50), (3, 0), (4, 0), (4, 0)]

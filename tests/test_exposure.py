@@ -74,6 +74,10 @@ def test_blank_ids_in_the_cost_log(spark, three):
     found = exposure.exposure_dataset(
         detail.union(spark.createDataFrame([("", "", 3)], detail.schema)), cost.union(blank), play, split_above=2)
     assert found.count() == 3 + 5
+    many = detail.union(spark.createDataFrame([("", "", 3)] * 4, detail.schema))
+    blank_play = play.union(spark.createDataFrame([("", "", 6, 2)], play.schema))
+    found = exposure.exposure_dataset(many, cost, blank_play, split_above=2)
+    assert values(found.filter("id = ''")) == [("", "", 3, 0.0, 0.0, 6, 2)] * 4 and found.count() == 7
     alone = exposure.exposure_dataset(detail, cost.union(blank), play, split_above=2)
     assert values(alone) == values(exposure.exposure_dataset(*three))
 
