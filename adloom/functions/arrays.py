@@ -45,4 +45,4 @@ def first_class(second: Column) -> Column:
 
 def joined_ids(ids: Column) -> Column:
     """Ids as one comma-separated text."""
-    return F.coalesce(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), F.lit(""))
+    return F.coalesce(F.array_join(ids.cast("array<string>"), ","), F.lit(""))

@@ -35,8 +35,17 @@ def day_prefix(datetime_text: Column) -> Column:
     return F.substring(datetime_text, 1, C.DAY_LENGTH)
 
 
-def epoch_to_day(seconds: Column) -> Column:
-    """Epoch seconds as a day string in the log's zone (eight hours ahead of UTC),
-    whatever the session's zone is."""
+def date_text(date: Column) -> Column:
+    return F.date_format(date, C.DAY_FORMAT)
+
+
+def epoch_to_date(seconds: Column) -> Column:
+    """Date of epoch seconds in the log's zone (eight hours ahead of UTC), whatever the
+    session's zone is."""
     days = F.floor((seconds + C.LOG_ZONE_SECONDS) / SECONDS_PER_DAY).cast("int")
-    return F.date_format(F.date_from_unix_date(days), C.DAY_FORMAT)
+    return F.date_from_unix_date(days)
+
+
+def epoch_to_day(seconds: Column) -> Column:
+    """The same as a day string."""
+    return date_text(epoch_to_date(seconds))

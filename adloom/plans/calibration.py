@@ -38,8 +38,9 @@ def impression_extract(pageviews: DataFrame, sites: Iterable[int]) -> DataFrame:
         or_zero(F.col("position.scene")).alias("scene"),
     )
     goal = F.col("imp.ad.goal")
-    tracked = impressions.filter((goal > 0) & (goal != C.EXCLUDED_GOAL))
-    second = second_class(F.col("imp.ad.vertical_ids"))
+    tracked = impressions.filter((goal > 0) & (goal != C.EXCLUDED_GOAL)).withColumn(
+        "second_class_id", second_class(F.col("imp.ad.vertical_ids"))
+    )
     micros = F.lit(C.MICROS_PER_UNIT).cast("float")
 
     def number(field: str) -> Column:
@@ -52,8 +53,8 @@ def impression_extract(pageviews: DataFrame, sites: Iterable[int]) -> DataFrame:
         number("imp.ad.advertiser_id").alias("advertiser_id"),
         or_blank(F.col("imp.ad.product_id")).alias("product_id"),
         goal.alias("goal"),
-        first_class(second).alias("class_id"),
-        second.alias("second_class_id"),
+        first_class(F.col("second_class_id")).alias("class_id"),
+        "second_class_id",
         (number("imp.ad.rerank_pctr").cast("float") / micros).cast("float").alias("pctr"),
         number("imp.ad.adjusted_pcvr").cast("float").alias("pcvr"),
         number("imp.ad.total_ecpm").alias("total_ecpm"),

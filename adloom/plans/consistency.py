@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from adloom import constants as C
 from adloom.functions.scalars import micros_to_units, or_blank, or_zero, truncate_to_int
+from adloom.operators.flatten import each, to_positions
 
 FIELDS = [
     "page.site_set", "positions.retrieval_tracks", "positions.mixer_track",
@@ -18,9 +19,7 @@ def score_consistency(pageviews: DataFrame, site_set: int = C.SITE_SET) -> DataF
     inside the row, without a shuffle. Of several early scores for an ad, the last
     one written counts.
     """
-    positions = pageviews.filter(F.col("page.site_set") == site_set).select(
-        F.explode("positions").alias("position")
-    )
+    positions = to_positions(pageviews.filter(F.col("page.site_set") == site_set))
     mixer = "position.mixer_track"
     ranked = positions.filter(
         (or_zero(F.col(f"{mixer}.om_ad_type")) != C.SKIPPED_AD_TYPE)
@@ -28,19 +27,13 @@ def score_consistency(pageviews: DataFrame, site_set: int = C.SITE_SET) -> DataF
         & (F.size(f"{mixer}.exp_ids") > 0)
     )
 
-    tracks = F.filter("position.retrieval_tracks", lambda track: track["ads"].isNotNull())
-    early = F.filter(
-        F.flatten(F.transform(tracks, lambda track: track["ads"])),
-        lambda ad: ad["aindex"].isNotNull() & ad["ctr"].isNotNull() & ad["cvr"].isNotNull(),
-    )
-    ads = (
-        ranked.withColumn("early", F.reverse(early))
-        .select(
-            "early",
-            F.transform("early", lambda ad: ad["aindex"]).alias("early_keys"),
-            F.explode(f"{mixer}.ads").alias("ad"),
-        )
-        .filter(F.col("ad.pctr").isNotNull() & F.col("ad.adjusted_pcvr").isNotNull())
+    early = F.reverse(F.flatten(F.array_compact("position.retrieval_tracks.ads")))
+    latest_first = ranked.withColumn("early", early)
+    early_keys = F.transform(
+        "early", lambda ad: F.when(ad["ctr"].isNotNull() & ad["cvr"].isNotNull(), ad["aindex"])
+    ).alias("early_keys")
+    ads = each(latest_first, f"{mixer}.ads", "ad", "early", early_keys).filter(
+        F.col("ad.pctr").isNotNull() & F.col("ad.adjusted_pcvr").isNotNull()
     )
 
     last = F.array_position("early_keys", or_zero(F.col("ad.aindex"))).cast("int")

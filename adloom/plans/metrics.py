@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom import constants as C
-from adloom.functions.dates import day_prefix, epoch_to_day
+from adloom.functions.dates import date_text, day_prefix, epoch_to_date
 from adloom.functions.scalars import cents_to_units, is_platform_trade_left_out, micros_to_units, or_zero
 from adloom.operators.flatten import to_clicks, to_experiments, to_impressions, to_positions, to_traces
 from adloom.sources.writers import write_counted
@@ -17,6 +17,9 @@ KEYS = [
 ]
 MEASURES = ["conv", "cost", "gmv", "imps", "clicks", "gmv_bias"]
 
+# Summed by date, shown as text: far fewer dates are formatted.
+SUM_KEYS = [*KEYS[:-1], "process_date"]
+
 KEY_FIELDS = [
     "process_time", "partition_datetime", "page.site_id", "positions.id", "positions.exp_ids",
     "positions.imps.ad.adgroup_id", "positions.imps.ad.goal", "positions.imps.ad.second_goal",
@@ -86,7 +89,7 @@ def _impressions(log: DataFrame, exp_ids: Iterable[int]) -> DataFrame:
     page = {
         "site_id": or_zero(F.col("page.site_id")),
         "partition_time": day_prefix(F.col("partition_datetime")),
-        "process_time": epoch_to_day(or_zero(F.col("process_time"))),
+        "process_date": epoch_to_date(or_zero(F.col("process_time"))),
     }
     positions = to_positions(log, *(value.alias(name) for name, value in page.items()))
     in_experiments = to_experiments(positions, exp_ids, *page)
@@ -100,7 +103,7 @@ def _ad_keys() -> list[Column]:
     return [or_zero(F.col(f"imp.ad.{field}")).alias(name) for name, field in names.items()]
 
 
-PAGE_AND_POSITION = ["site_id", "position_id", "exp_id", "partition_time", "process_time"]
+PAGE_AND_POSITION = ["site_id", "position_id", "exp_id", "partition_time", "process_date"]
 
 
 def _exposure_rows(log: DataFrame, exp_ids: Iterable[int]) -> DataFrame:
@@ -152,11 +155,12 @@ def _measures(**given: Column) -> list[Column]:
 def _summed(rows: DataFrame) -> DataFrame:
     """Sums per key. Money is summed in whole micros and cents, so that the order of
     summing does not matter, and divided once."""
-    sums = rows.groupBy(*KEYS).agg(
+    sums = rows.groupBy(*SUM_KEYS).agg(
         *(F.sum(m).alias(m) for m in ["conv", "cost_micros", "gmv_cents", "imps", "clicks", "gmv_bias"])
     )
     return sums.select(
-        *KEYS, "conv",
+        *KEYS[:-1], date_text(F.col("process_date")).alias("process_time"),
+        "conv",
         micros_to_units(F.col("cost_micros")).alias("cost"),
         cents_to_units(F.col("gmv_cents")).alias("gmv"),
         "imps", "clicks", "gmv_bias",
