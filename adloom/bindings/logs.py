@@ -156,7 +156,7 @@ def _clicks() -> Column:
         return _struct(action_type=action, trade_type=F.lit(trade).cast("int"))
 
     def click(bill: Column, *traces: Column) -> Column:
-        none = F.filter(F.array(trace(F.lit(0), 0)), lambda _: F.lit(False))
+        none = F.array().cast("array<struct<action_type: int, trade_type: int>>")
         return _struct(bill_cpc_micros=bill, traces=F.array(*traces) if traces else none)
 
     unbilled = F.lit(None).cast("bigint")
@@ -169,31 +169,35 @@ def _clicks() -> Column:
     )
 
 
-def _impressions(position: int) -> Column:
-    """One impression, or two at the first position for odd k; only the first is billed."""
-    places = F.sequence(F.lit(1), 1 + F.col("k") % 2) if position == 1 else F.array(F.lit(1))
+def _impression(position: int, place: int) -> Column:
     k = F.col("k")
-    return F.transform(
-        places,
-        lambda place: _struct(
-            id=F.concat_ws("_", F.lit("t"), F.lit(position), place.cast("string")),
-            ping_time=F.col("time_s"),
-            bill_cpm_micros=F.when(place == 1, _cents(F.col("value")) * 10_000),
-            ad=_ad(place),
-            clicks=_clicks(),
-            video=_struct(
-                finish_type=((F.col("event_id") + place) % 3).cast("int"),
-                play_end_time=F.when(k % 7 != 0, k * 50),
-            ),
+    bill = _cents(F.col("value")) * 10_000 if place == 1 else F.lit(None).cast("bigint")
+    return _struct(
+        id=F.lit(f"t_{position}_{place}"),
+        ping_time=F.col("time_s"),
+        bill_cpm_micros=bill,
+        ad=_ad(F.lit(place)),
+        clicks=_clicks(),
+        video=_struct(
+            finish_type=((F.col("event_id") + place) % 3).cast("int"),
+            play_end_time=F.when(k % 7 != 0, k * 50),
         ),
     )
 
 
+def _impressions(position: int) -> Column:
+    """One impression, or two at the first position for odd k; only the first is billed."""
+    one = F.array(_impression(position, 1))
+    if position != 1:
+        return one
+    return F.when(F.col("k") % 2 == 1, F.array(_impression(1, 1), _impression(1, 2))).otherwise(one)
+
+
 def derive_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page view per event, with two positions."""
     k = F.col("k")
     repeated = F.array(F.lit(7), F.lit(7))
-    nothing = F.filter(repeated, lambda _: F.lit(False))
+    nothing = F.array().cast("array<int>")
 
     def trigger(key: int, value: Column) -> Column:
         return _struct(key=F.lit(key), value=value)
@@ -321,7 +325,7 @@ def derive_score_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         retrieval_tracks=tracks,
         mixer_track=_struct(
             om_ad_type=F.when(F.col("l_linestatus") == "O", line % 3).otherwise(0),
-            exp_ids=F.filter(experiments, lambda e: e != 7),
+            exp_ids=F.when(line != 7, experiments).otherwise(F.array().cast("array<int>")),
             ads=ads,
         ),
     )
