@@ -2,7 +2,7 @@
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.operators.skew import SPLIT_ABOVE, heavy_keys, split_by_keys
@@ -52,9 +52,18 @@ def pair_join(
 
 
 def last_written(writes: DataFrame, keys: Sequence[str], order_by: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Per key, the values of the last write in `order_by` order."""
-    latest = F.max_by(F.struct(*values), F.struct(*order_by)).alias("latest")
-    return writes.groupBy(*keys).agg(latest).select(*keys, "latest.*")
+    """Per key, the values of the last write in `order_by` order.
+
+    Spark keeps one row per key in each task before it shuffles, so a key written
+    very often is no burden.
+    """
+    newest_first = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order_by))
+    return (
+        writes.select(*dict.fromkeys([*keys, *order_by, *values]))
+        .withColumn("nth", F.row_number().over(newest_first))
+        .filter(F.col("nth") == 1)
+        .select(*keys, *values)
+    )
 
 
 def look_up(rows: DataFrame, single: DataFrame, keys: Sequence[str], heavy: DataFrame | None = None) -> DataFrame:

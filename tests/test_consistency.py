@@ -1,6 +1,6 @@
 import pytest
 
-from adloom.operators.keyed import look_up_last
+from adloom.operators.keyed import last_written, look_up_last
 from adloom.plans.consistency import score_consistency
 from adloom.sources.schemas import SCORE_TRACKING, layout
 from tests.helpers import records, values
@@ -57,3 +57,9 @@ def test_look_up_last(spark, split_above):
     rows = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (4,)], "key int")
     found = look_up_last(rows, writes, ["key"], ["at"], {"score": 0}, split_above)
     assert values(found) == [(1, 20), (2, 50), (2, 50), (3, 0), (4, 0), (4, 0)]
+
+
+def test_writes_are_thinned_before_the_shuffle(spark):
+    writes = spark.range(10).selectExpr("id % 2 as key", "id as at", "id as score")
+    plan = last_written(writes, ["key"], ["at"], ["score"])._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan.split("Exchange hashpartitioning")[1]
