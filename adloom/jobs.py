@@ -37,8 +37,8 @@ def run_bias(
     min_repeats: int = C.MIN_REPEATS,
     pooled: bool = False,
 ) -> None:
-    """Actual rates and the bias by repeat order, as CSV reports. The written rates
-    feed the join, so the table is read once."""
+    """Actual rates, and the bias by repeat order (one row per place in a chunk), as
+    CSV. The written rates feed the join, so the table is read once."""
     daily = readers.read_daily_table(spark, table, date)
     rates_table = f"{rates_out}-table"
     calibration.actual_rates(daily, date, key).write.mode("overwrite").parquet(rates_table)
@@ -47,17 +47,22 @@ def run_bias(
         readers.read_extract(spark, extract), key, chunk_rows=chunk_rows, min_repeats=min_repeats
     )
     bias = calibration.bias_pooled if pooled else calibration.bias_macro
-    writers.write_report(rates, rates_out, [key])
+    writers.write_csv(rates, rates_out)
     writers.write_report(bias(occurrences, rates, key), out, ["order"])
 
 
 def run_histogram(
-    spark: SparkSession, records: str, sites: Iterable[int], out: str, lookback: int = C.LOOKBACK_ROWS
+    spark: SparkSession,
+    records: str,
+    sites: Iterable[int],
+    out: str,
+    lookback: int = C.LOOKBACK_ROWS,
+    files: int | None = None,
 ) -> None:
-    """Repeat histogram, as one tab-separated file."""
+    """Repeat histogram, as tab-separated text."""
     pageviews = readers.read_records(spark, records, histogram.FIELDS)
     impressions = histogram.product_impressions(pageviews, sites)
-    writers.write_tsv(histogram.repeat_histogram(impressions, lookback=lookback), out, files=1)
+    writers.write_tsv(histogram.repeat_histogram(impressions, lookback=lookback), out, files)
 
 
 def run_position_profile(

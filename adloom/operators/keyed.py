@@ -1,6 +1,8 @@
 """Joins and lookups on keys."""
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,9 @@ def pair_join(
     opposite side always match and the key can be joined by a narrower join that
     does allow the split.
 
+    Null keys match nothing. A full join would send them all to one task, so there
+    they pass it by.
+
     Finding large keys takes a grouping by key. `suspects`, a condition on the key
     columns, limits it to the keys that could be large.
     """
@@ -34,12 +39,18 @@ def pair_join(
         "full": [(left, "left"), (right, "right")],
     }
     parts = []
+    if how == "full":
+        unmatched = reduce(or_, (F.col(key).isNull() for key in on))
+        parts = [left.filter(unmatched), right.filter(unmatched)]
+        left, right = left.filter(~unmatched), right.filter(~unmatched)
+    taken = None
     for side, join_type in narrower.get(how, []):
         keys = side.select(*on) if suspects is None else side.select(*on).filter(suspects)
         heavy = heavy_keys(keys, on, split_above)
         if heavy is None:
             continue
-        if parts:
+        heavy = heavy.na.drop()
+        if taken is not None:
             heavy = heavy.join(taken, on, "left_anti")
         left, heavy_left = split_by_keys(left, on, heavy)
         right, heavy_right = split_by_keys(right, on, heavy)
@@ -47,7 +58,7 @@ def pair_join(
         taken = heavy
     joined = left.join(right, on, how)
     for part in parts:
-        joined = joined.unionByName(part)
+        joined = joined.unionByName(part, allowMissingColumns=True)
     return joined
 
 

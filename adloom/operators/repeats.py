@@ -30,7 +30,7 @@ def count_recent_repeats(
     """Per group: `n` rows, and `p` rows whose item is among the `lookback` rows before."""
     if not 1 <= lookback <= BLOCK_ROWS:
         raise ValueError(f"lookback must lie between 1 and {BLOCK_ROWS}")
-    order_by = _with_tail(order_by, [item])
+    order_by = [c for c in _with_tail(order_by, [item]) if c not in keys]
     rows = rows.select(*dict.fromkeys([*keys, item, *order_by]))
 
     heavy = heavy_keys(rows, keys, split_above)
@@ -38,7 +38,7 @@ def count_recent_repeats(
         return _count_in_window(rows, keys, item, order_by, lookback)
     light_rows, heavy_rows = split_by_keys(rows, keys, heavy)
     return _count_in_window(light_rows, keys, item, order_by, lookback).unionByName(
-        _count_in_blocks(heavy_rows, keys, item, order_by, lookback)
+        _count_in_blocks(_as_group(heavy_rows, keys), item, order_by, lookback).select("group.*", "n", "p")
     )
 
 
@@ -57,21 +57,21 @@ def _count_in_window(rows, keys, item, order_by, lookback) -> DataFrame:
     )
 
 
-def _count_in_blocks(rows, keys, item, order_by, lookback) -> DataFrame:
-    merged = _places(rows, keys, order_by)
+def _count_in_blocks(rows, item, order_by, lookback) -> DataFrame:
+    merged = _places(rows, order_by)
     own = _block_of(F.col("first"))
     # A merged row matters to the `lookback` places after it: it also goes, as
     # context, to the blocks those places lie in.
     blocks = F.array_distinct(
         F.array(own, _block_of(F.col("last") + 1), _block_of(F.col("last") + lookback))
     )
-    same_item = Window.partitionBy(*keys, "block", item).orderBy("first")
+    same_item = Window.partitionBy("group", "block", item).orderBy("first")
     near = F.col("first") - F.lag("last").over(same_item) <= lookback
     return (
         merged.withColumn("block", F.explode(blocks))
-        .select(*keys, "copies", (F.col("block") == own).alias("counted"), near.alias("near"))
+        .select("group", "copies", (F.col("block") == own).alias("counted"), near.alias("near"))
         .filter("counted")
-        .groupBy(*keys)
+        .groupBy("group")
         .agg(
             F.sum("copies").alias("n"),
             # every copy but the first directly follows its like
@@ -98,7 +98,7 @@ def repeated_occurrences(
     """
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be positive")
-    order_by = _with_tail(order_by, [item, *values])
+    order_by = [c for c in _with_tail(order_by, [item, *values]) if c not in keys]
     rows = rows.select(*dict.fromkeys([*keys, item, *values, *order_by]))
 
     heavy = heavy_keys(rows, keys, split_above)
@@ -107,9 +107,9 @@ def repeated_occurrences(
         return _keep_repeats(chunked, keys, item, values, min_repeats)
     light_rows, heavy_rows = split_by_keys(rows, keys, heavy)
     light_chunks = _chunk_in_window(light_rows, keys, order_by, chunk_rows)
-    heavy_chunks = _chunk_merged(heavy_rows, keys, order_by, chunk_rows)
+    heavy_chunks = _chunk_merged(_as_group(heavy_rows, keys), order_by, chunk_rows)
     return _keep_repeats(light_chunks, keys, item, values, min_repeats).unionByName(
-        _keep_repeats(heavy_chunks, keys, item, values, min_repeats)
+        _keep_repeats(heavy_chunks, ["group"], item, values, min_repeats)
     )
 
 
@@ -132,7 +132,7 @@ def _chunk_in_window(rows, keys, order_by, chunk_rows) -> DataFrame:
     )
 
 
-def _chunk_merged(rows, keys, order_by, chunk_rows) -> DataFrame:
+def _chunk_merged(rows, order_by, chunk_rows) -> DataFrame:
     """Merged rows cut at chunk borders, one row per place.
 
     The chunks a merged row fills completely all look alike: one of them is kept,
@@ -153,7 +153,7 @@ def _chunk_merged(rows, keys, order_by, chunk_rows) -> DataFrame:
         piece(head + 1, tail - head - 1, (head + 1) * chunk_rows, (head + 2) * chunk_rows - 1),
     )
     return (
-        _places(rows, keys, order_by)
+        _places(rows, order_by)
         .drop("copies")
         .withColumn("piece", F.explode(F.filter(pieces, lambda p: p["copies"] > 0)))
         .withColumn("place", F.explode(F.sequence("piece.start", "piece.end")))
@@ -163,11 +163,18 @@ def _chunk_merged(rows, keys, order_by, chunk_rows) -> DataFrame:
     )
 
 
-def _places(rows, keys, order_by) -> DataFrame:
+def _as_group(rows, keys) -> DataFrame:
+    """The keys as one struct column: unlike the keys it is never null, so joins on it
+    keep every row."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.select(F.struct(*keys).alias("group"), *rest)
+
+
+def _places(rows, order_by) -> DataFrame:
     """Equal rows merged into `copies`, with their `first` and `last` place (from 0)."""
     merged = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
     return (
-        running_total(merged, "copies", order_by, keys)
+        running_total(merged, "copies", order_by, ["group"])
         .withColumn("first", F.col("running") - F.col("copies"))
         .withColumn("last", F.col("running") - 1)
         .drop("running", "total")

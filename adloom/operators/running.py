@@ -21,7 +21,7 @@ def running_total(
     Rows are range-partitioned on (keys, order), so a large group is spread over
     many segments of about equal size. Sums per segment give each segment its
     starting value; a window inside the segment does the rest. `order_by` must tell
-    the rows of a group apart.
+    the rows of a group apart, and keys must not be null.
 
     The segment number is written to the checkpoint folder with the rows: range
     bounds are sampled, and both later uses must see the same ones even after

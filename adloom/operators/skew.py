@@ -1,6 +1,8 @@
 """Finding keys too large for one task."""
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ def heavy_keys(
 
 
 def split_by_keys(rows: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of other keys, rows of the heavy keys). `heavy` comes from `heavy_keys`."""
-    listed = F.broadcast(heavy)
-    return rows.join(listed, list(keys), "left_anti"), rows.join(listed, list(keys), "left_semi")
+    """(rows of other keys, rows of the heavy keys). `heavy` comes from `heavy_keys`; a
+    null key is a key like any other."""
+    listed = F.broadcast(heavy.toDF(*(f"heavy_{key}" for key in keys)))
+    same = reduce(and_, (F.col(key).eqNullSafe(F.col(f"heavy_{key}")) for key in keys))
+    return rows.join(listed, same, "left_anti"), rows.join(listed, same, "left_semi")

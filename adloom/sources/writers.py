@@ -19,12 +19,15 @@ def write_tsv(rows: DataFrame, path: str, files: int | None = None) -> None:
     _into_files(lines, files).write.mode("overwrite").text(path)
 
 
-def write_report(rows: DataFrame, path: str, order_by: Sequence[str] = ()) -> None:
-    """A small result as one CSV file with header, in order."""
-    single = rows.repartition(1)
-    if order_by:
-        single = single.sortWithinPartitions(*order_by)
-    single.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(rows: DataFrame, path: str, files: int | None = None) -> None:
+    """CSV with header."""
+    _into_files(rows, files).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_report(rows: DataFrame, path: str, order_by: Sequence[str]) -> None:
+    """A result of few rows as one CSV file with header, in order."""
+    in_order = rows.repartition(1).sortWithinPartitions(*order_by)
+    in_order.write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_partitioned(

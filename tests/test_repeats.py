@@ -63,6 +63,20 @@ def test_counts_against_plain_loop(spark, split_above, lookback, monkeypatch):
     assert values(found) == plain_counts(rows, lookback)
 
 
+@pytest.mark.parametrize("split_above", SPLITS)
+def test_null_keys_are_one_group(spark, split_above):
+    rows = [(u or None, item, time) for u, item, time in random_rows(8, count=300)]
+    frame = spark.createDataFrame(rows, "user int, item string, time int")
+    found = count_recent_repeats(frame, ["user"], "item", ["time"], 3, split_above)
+    assert values(found) == plain_counts(rows, 3)
+    occurrences = repeated_occurrences(frame, ["user"], "item", ["time"], [], 10, 2, split_above)
+    expected = plain_occurrences([(u, item, 0, time) for u, item, time in rows], 10, 2)
+    got = Counter()
+    for r in occurrences.collect():
+        got[(r.item, 0, r.order)] += r.copies
+    assert got == expected
+
+
 @pytest.mark.parametrize("split_above", SPLITS)
 def test_counts_with_a_long_run_of_copies(spark, split_above, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_ROWS", 10)

@@ -105,6 +105,8 @@ def test_report_is_one_ordered_file_with_header(spark, tmp_path):
     files = list(path.glob("*.csv"))
     assert len(files) == 1
     assert files[0].read_text().split() == ["order", *map(str, range(20))]
+    writers.write_csv(spark.range(20), str(tmp_path / "csv"), files=2)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 20
 
 
 def test_counted_write(spark, tmp_path):
