@@ -81,14 +81,25 @@ def video_play(spark, sf_dir):
     return exposure.play_times(exposure.video_plays(log, SITES))
 
 
+def _large_keys(spark, sf_dir):
+    fields = {"large_in_detail": exposure.DETAIL_FIELDS, "large_in_cost": exposure.COST_FIELDS}
+    return {
+        name: exposure.large_blank_keys(logs.page_views(spark, sf_dir, needed), SITES)
+        for name, needed in fields.items()
+    }
+
+
 def exposure_enriched(spark, sf_dir):
     return exposure.exposure_dataset(
-        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), video_play(spark, sf_dir)
+        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), video_play(spark, sf_dir),
+        **_large_keys(spark, sf_dir),
     )
 
 
 def exposure_without_video(spark, sf_dir):
-    return exposure.exposure_dataset(exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir))
+    return exposure.exposure_dataset(
+        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), **_large_keys(spark, sf_dir)
+    )
 
 
 def impression_extract(spark, sf_dir):

@@ -1,10 +1,10 @@
 """Joins and lookups on keys."""
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from adloom.operators.skew import SPLIT_ABOVE, heavy_keys, split_by_keys
@@ -16,37 +16,48 @@ def pair_join(
     on: Sequence[str],
     how: str = "inner",
     split_above: int = SPLIT_ABOVE,
-    suspects: Column | None = None,
 ) -> DataFrame:
     """Equi-join of two keyed relations: inner, left, right or full.
 
     Adaptive execution splits a large key only on a side that the join may split:
     either side of an inner join, the kept side of a left or right join, none of a
-    full join. A key that is large on another side exists there, so its rows on the
-    opposite side always match and the key can be joined by a narrower join that
-    does allow the split.
+    full join. Keys that are large on another side are looked for and joined apart
+    (see `join_apart`). Null keys match nothing; a full join would send them all to
+    one task, so there they pass it by.
+    """
+    on = list(on)
+    apart = []
+    if how in ("right", "full"):
+        apart.append((heavy_keys(left.select(*on), on, split_above), "inner" if how == "right" else "left"))
+    if how in ("left", "full"):
+        apart.append((heavy_keys(right.select(*on), on, split_above), "inner" if how == "left" else "right"))
+    if how != "full":
+        return join_apart(left, right, on, how, apart)
+    unmatched = reduce(or_, (F.col(key).isNull() for key in on))
+    joined = join_apart(left.filter(~unmatched), right.filter(~unmatched), on, how, apart)
+    for side in (left, right):
+        joined = joined.unionByName(side.filter(unmatched), allowMissingColumns=True)
+    return joined
+
 
-    Null keys match nothing. A full join would send them all to one task, so there
-    they pass it by.
+def join_apart(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str,
+    apart: Iterable[tuple[DataFrame | None, str]],
+) -> DataFrame:
+    """A join with some keys joined on their own, each list with its join type.
 
-    Finding large keys takes a grouping by key. `suspects`, a condition on the key
-    columns, limits it to the keys that could be large.
+    A key that is large on a side exists there, so its rows on the opposite side
+    always match. Its join can therefore be of a type that allows a split: a left join
+    is an inner join for keys known on the right, a full join a left join for keys
+    known on the left.
     """
     on = list(on)
-    narrower = {
-        "left": [(right, "inner")],
-        "right": [(left, "inner")],
-        "full": [(left, "left"), (right, "right")],
-    }
     parts = []
-    if how == "full":
-        unmatched = reduce(or_, (F.col(key).isNull() for key in on))
-        parts = [left.filter(unmatched), right.filter(unmatched)]
-        left, right = left.filter(~unmatched), right.filter(~unmatched)
     taken = None
-    for side, join_type in narrower.get(how, []):
-        keys = side.select(*on) if suspects is None else side.select(*on).filter(suspects)
-        heavy = heavy_keys(keys, on, split_above)
+    for heavy, join_type in apart:
         if heavy is None:
             continue
         heavy = heavy.na.drop()
@@ -58,7 +69,7 @@ def pair_join(
         taken = heavy
     joined = left.join(right, on, how)
     for part in parts:
-        joined = joined.unionByName(part, allowMissingColumns=True)
+        joined = joined.unionByName(part)
     return joined
 
 

@@ -14,7 +14,7 @@ def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     value = F.col(column)
     trimmed = F.rtrim(value)
-    only_blanks = (F.length(trimmed) == 0) & (F.length(value) > 0)
+    only_blanks = (trimmed == "") & (value != "")
     words = lines.filter(~only_blanks).select(F.explode(F.split(trimmed, " ")).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
 

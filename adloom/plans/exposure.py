@@ -10,7 +10,7 @@ from adloom.functions.arrays import joined_ids, placement_type, target_experimen
 from adloom.functions.ids import preferred_user_id
 from adloom.functions.scalars import micros_to_units, or_blank, or_zero, play_seconds
 from adloom.operators.flatten import to_impressions, to_positions
-from adloom.operators.keyed import look_up, pair_join
+from adloom.operators.keyed import join_apart, look_up
 from adloom.operators.skew import SPLIT_ABOVE, heavy_keys
 from adloom.sources.writers import write_partitioned
 
@@ -123,27 +123,33 @@ def play_times(plays: DataFrame) -> DataFrame:
     )
 
 
+def large_blank_keys(pageviews: DataFrame, sites: Iterable[int], above: int = SPLIT_ABOVE) -> DataFrame | None:
+    """Impression keys with very many rows in a log, or None.
+
+    Ids tell impressions apart, so only the blank id of records without one can be
+    such a key. The condition reaches the scan, which skips what has no blank ids.
+    """
+    blank = pageviews.filter(F.col("id").isNull() | (F.col("id") == ""))
+    return heavy_keys(_page_impressions(blank, sites).select(*IMPRESSION), IMPRESSION, above)
+
+
 def exposure_dataset(
     detail: DataFrame,
     cost: DataFrame,
     play: DataFrame | None = None,
     defaults: Mapping[str, object] = DEFAULTS,
-    split_above: int = SPLIT_ABOVE,
+    large_in_detail: DataFrame | None = None,
+    large_in_cost: DataFrame | None = None,
 ) -> DataFrame:
     """Detail with cost and, where the video log is complete, play times (one row per
-    impression, see `play_times`).
-
-    Ids tell impressions apart, so only the blank id of records without one can stand
-    for very many rows.
+    impression, see `play_times`). The keys large in a log come from `large_blank_keys`.
     """
-    blank = F.col("id") == ""
-    joined = pair_join(detail, cost, IMPRESSION, "left", split_above, suspects=blank)
+    joined = join_apart(detail, cost, IMPRESSION, "left", [(large_in_cost, "inner")])
     if play is None:
         zero = F.lit(0)
         joined = joined.withColumns({"play_time": zero, "click_play_time": zero})
     else:
-        heavy = heavy_keys(detail.select(*IMPRESSION).filter(blank), IMPRESSION, split_above)
-        joined = look_up(joined, play, IMPRESSION, heavy)
+        joined = look_up(joined, play, IMPRESSION, large_in_detail)
     return joined.na.fill(dict(defaults))
 
 

@@ -68,18 +68,25 @@ def test_dataset(three):
         ("v1", "t1", 1, 2.5, 0.0, 0, 0), ("v1", "t2", 1, 0.0, 0.0, 0, 0), ("v2", "t9", 2, 0.0, 0.0, 0, 0)]
 
 
-def test_blank_ids_in_the_cost_log(spark, three):
+def test_large_blank_keys(spark):
+    blank = [page(id=i, positions=[{"imps": [{}, {"id": ""}]}]) for i in ("", None)]
+    named = [page(positions=[{"imps": [{"id": "t"}] * 9}])]
+    log = records(spark, layout(PAGE_VIEW), blank + named)
+    assert values(exposure.large_blank_keys(log, [1], above=3)) == [("", "")]
+    assert exposure.large_blank_keys(log, [1], above=4) is None
+
+
+def test_blank_keys_take_their_own_way(spark, three):
     detail, cost, play = three
-    blank = spark.createDataFrame([("", "", 1.0, 1.0)] * 5, cost.schema)
-    found = exposure.exposure_dataset(
-        detail.union(spark.createDataFrame([("", "", 3)], detail.schema)), cost.union(blank), play, split_above=2)
-    assert found.count() == 3 + 5
-    many = detail.union(spark.createDataFrame([("", "", 3)] * 4, detail.schema))
+    blank = spark.createDataFrame([("", "")], "id string, trace_id string")
+    blank_detail = detail.union(spark.createDataFrame([("", "", 3)] * 4, detail.schema))
+    blank_cost = cost.union(spark.createDataFrame([("", "", 1.0, 1.0)] * 5, cost.schema))
     blank_play = play.union(spark.createDataFrame([("", "", 6, 2)], play.schema))
-    found = exposure.exposure_dataset(many, cost, blank_play, split_above=2)
-    assert values(found.filter("id = ''")) == [("", "", 3, 0.0, 0.0, 6, 2)] * 4 and found.count() == 7
-    alone = exposure.exposure_dataset(detail, cost.union(blank), play, split_above=2)
-    assert values(alone) == values(exposure.exposure_dataset(*three))
+    for d in [detail, blank_detail]:
+        for c in [cost, blank_cost]:
+            for p in [None, play, blank_play]:
+                large = {"large_in_detail": blank, "large_in_cost": blank if c is blank_cost else None}
+                assert values(exposure.exposure_dataset(d, c, p, **large)) == values(exposure.exposure_dataset(d, c, p))
 
 
 @pytest.mark.parametrize("files", [None, 2])
