@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SPLIT_ABOVE = 5_000_000
 MAX_HEAVY_KEYS = 10_000
+SAMPLED_ROWS = 10_000
 
 
 def heavy_keys(
@@ -17,16 +18,22 @@ def heavy_keys(
     above: int = SPLIT_ABOVE,
     most: int = MAX_HEAVY_KEYS,
 ) -> DataFrame | None:
-    """The keys with more than `above` rows, largest first, or None.
+    """The keys with more than about `above` rows, or None.
 
-    The list has at most `most` entries, so it may be broadcast. A key left out by
-    that bound has no more than 1/`most` of all rows. Whether a key is listed never
-    changes an answer, only the way it is computed.
+    Being listed never changes an answer, only the way it is computed. So the rows may
+    be counted on a sample, large enough for a key of `above` rows to show
+    `SAMPLED_ROWS` times; every listed key does exist in `rows`. The list has at most
+    `most` entries and may be broadcast. A key left out by that bound has no more than
+    1/`most` of all rows.
     """
+    keyed = rows.select(*keys)
+    fraction = min(1.0, SAMPLED_ROWS / max(above, 1))
+    if fraction < 1:
+        keyed = keyed.sample(fraction, seed=0)
     largest = (
-        rows.groupBy(*keys)
+        keyed.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("key_rows"))
-        .filter(F.col("key_rows") > above)
+        .filter(F.col("key_rows") > above * fraction)
         .orderBy(F.desc("key_rows"))
         .limit(most)
         .select(*keys)

@@ -97,3 +97,14 @@ def test_write_replaces_only_its_day(spark, three, tmp_path, files):
         exposure.write_exposure_dataset(dataset, path, day, files)
     back = spark.read.parquet(path)
     assert back.groupBy("dayno", "site_id").count().count() == 4 and back.count() == 6
+
+
+def test_blank_ids_are_looked_for_in_the_scan(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from adloom.sources.readers import read_records
+
+    records(spark, layout(PAGE_VIEW), [page()]).write.parquet(str(tmp_path / "log"))
+    log = read_records(spark, str(tmp_path / "log"), exposure.COST_FIELDS)
+    blank = log.filter(F.col("id").isNull() | (F.col("id") == ""))
+    assert "Or(IsNull(id),EqualTo(id,))" in blank._jdf.queryExecution().executedPlan().toString()
