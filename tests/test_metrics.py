@@ -97,3 +97,13 @@ def test_process_time_does_not_follow_session_zone(spark, log):
             assert days == {"20240102"}
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_order_and_partitions_do_not_matter(spark, tables, partitions):
+    from adloom.bindings.logs import EXPERIMENTS, derive_page_views
+
+    pages = derive_page_views(spark, tables)
+    expected = metrics.merged_metrics(pages, pages, pages, EXPERIMENTS)
+    shuffled = pages.orderBy(F.rand(partitions)).repartition(partitions)
+    assert values(metrics.merged_metrics(shuffled, shuffled, shuffled, EXPERIMENTS)) == values(expected)
