@@ -63,7 +63,9 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
     kept = [at[r][at[r] >= 0] for r in rows]
     rng = np.random.Generator(np.random.PCG64(SEED))
     w, v = np.zeros(len(places)), rng.normal(0, 0.01, (len(places), FACTORS))
-    bias = float(np.log((toxic + 1) / (n - toxic + 1)))
+    # both classes weigh the same, so that rare toxic rows aren't outvoted
+    weigh = np.where(labels == 1, n / (2 * max(toxic, 1)), n / (2 * max(n - toxic, 1)))
+    bias = 0.0 if 0 < toxic < n else float(np.log((toxic + 1) / (n - toxic + 1)))
     past_w, past_v, past_b = np.full(len(places), 1e-6), np.full(v.shape, 1e-6), 1e-6
     for _ in range(EPOCHS if toxic and toxic < n else 0):
         order = rng.permutation(n)
@@ -78,7 +80,7 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
             sums = np.add.reduceat(v[flat], begin)
             pairs = 0.5 * ((sums**2).sum(axis=1) - np.add.reduceat((v[flat] ** 2).sum(axis=1), begin))
             score = bias + np.add.reduceat(w[flat], begin) + pairs
-            miss = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[some]
+            miss = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels[some]) * weigh[some]
             used, inverse = np.unique(flat, return_inverse=True)
             pull = np.bincount(inverse, miss[owner]) / len(some) + 1e-4 * w[used]
             turn = (miss[owner, None] * (sums[owner] - v[flat])) / len(some)
@@ -127,10 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
                 labels_of.append(y)
                 rows.append(row)
         m = _fit(np.array(labels_of, np.int64), rows)
-        # classes sampled at different rates: back to the odds of all labelled rows
-        ratio = min(1.0, fit_rows / max(1, sizes.get(1, 0))) / min(1.0, fit_rows / max(1, sizes.get(0, 0)))
-        bias = m["bias"] - float(np.log(ratio))
-        yield pd.DataFrame({"bias": [bias], "places": [m["places"].tobytes()], "weights": [m["weights"].tobytes()],
+        yield pd.DataFrame({"bias": [m["bias"]], "places": [m["places"].tobytes()], "weights": [m["weights"].tobytes()],
                             "factors": [m["factors"].tobytes()]})
 
     schema = "bias double, places binary, weights binary, factors binary"
