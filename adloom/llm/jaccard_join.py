@@ -12,6 +12,8 @@ of their number. Each set is therefore first compared with one partner; sets alr
 are not compared again, which changes no component.
 """
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -22,29 +24,33 @@ from adloom.llm.common import components, forget, stored
 
 WORDS = 5
 PERCENT = 80
-#: Size of the table of counts, fixed whatever the input: 8 MB.
-TABLE = 1 << 21
+#: Size of the table of counts, fixed whatever the input: 4 MB.
+TABLE = 1 << 20
 SLICE = 1 << 16
-#: A shingle is frequent above this count and this many times the table's mean load.
+#: A shingle is frequent if its place counts so many more, or standard deviations more, than the mean.
 FREQUENT = 64
-LOAD = 4
+DEVIATIONS = 6
 #: Classes of frequent shingles; sets up to SMALL shingles index single ones, as their prefix could run out.
 CLASSES = 64
 SMALL = 96
-FIRST_ROUNDS = 2
+ROUNDS = 2
+#: Signatures that a set and its partner share, as a part of its shingles; what falls short is left for the end.
+MANY = 0.04
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                 dtype=np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_words = _WordHashes()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Random numbers for bytes; white space counts nothing.
+_OF_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, np.uint64)[_LOWER]
+_OF_BYTE[_IS_SPACE] = 0
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+BLOCK_BYTES = 1 << 19
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -53,18 +59,49 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit names of the distinct n-word shingles; A-Z lower-cased, words by ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    total = np.zeros(len(h) - n + 1, np.uint64)
+def _word_names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each word in the bytes and a 64-bit name of the lower-cased word."""
+    b = np.frombuffer(data, np.uint8)
+    if len(_powers["up"]) < len(b):
+        size = max(2 * BLOCK_BYTES, len(b))
+        for way, by in (("up", _FACTOR), ("down", _INVERSE)):
+            _powers[way] = np.cumprod(np.full(size, by, np.uint64), dtype=np.uint64) * np.uint64(pow(int(by), -1, 1 << 64))
+    space = _IS_SPACE[b]
+    edge = np.diff(space, prepend=True, append=True)
+    begin, end = np.flatnonzero(edge)[0::2], np.flatnonzero(edge)[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[b] * _powers["up"][: len(b)], dtype=np.uint64)])
+    return begin, _mixed((sums[end] - sums[begin]) * _powers["down"][begin] + (end - begin).astype(np.uint64))
+
+
+def shingle_sets(texts, n: int = WORDS):
+    """Per text the sorted 64-bit names of its distinct n-word shingles; A-Z lower-cased, words by ASCII white space."""
+    block, size = [], 0
+    for text in texts:
+        block.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(block[-1])
+        if size > BLOCK_BYTES:
+            yield from _sets_of_block(block, n)
+            block, size = [], 0
+    yield from _sets_of_block(block, n)
+
+
+def _sets_of_block(block: list[bytes], n: int):
+    begin, words = _word_names(b" ".join(block))
+    starts = np.cumsum([0] + [len(x) + 1 for x in block])
+    first = np.searchsorted(begin, starts)
+    total = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for i in range(n):
-        total = _mixed(total + h[i : i + len(total)] * _ODD[i % len(_ODD)] + np.uint64(i))
-    return np.unique(total)
+        total += words[i : i + len(total)] * (_ODD[i % len(_ODD)] + np.uint64(2 * (i // len(_ODD))))
+    total = _mixed(total)
+    for a, b in zip(first[:-1], first[1:]):
+        if b - a >= n:
+            found = np.sort(total[a : b - n + 1])
+            yield found[np.concatenate([[True], found[1:] != found[:-1]])]
+        elif b > a:
+            few = words[a:b] * _ODD[: b - a] if b - a <= len(_ODD) else words[a:b]
+            yield _mixed(few.sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a))
+        else:
+            yield np.empty(0, np.uint64)
 
 
 def _names(tokens: np.ndarray) -> tuple[int, int]:
@@ -80,8 +117,7 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
         table = np.zeros(TABLE, np.int32)
         for batch in batches:
             ids, first, second, sizes = [], [], [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                tokens = shingle_set(text, n)
+            for doc_id, tokens in zip(batch["doc_id"], shingle_sets(batch["text"], n)):
                 a, b = _names(tokens) if len(tokens) else (None, None)
                 ids.append(None if doc_id is None else int(doc_id))
                 first.append(a)
@@ -95,7 +131,7 @@ def _measured(docs: DataFrame, n: int) -> DataFrame:
             part = table[i * SLICE : (i + 1) * SLICE]
             if part.any():
                 yield pd.DataFrame({"kind": [1], "doc_id": [i], "d1": [None], "d2": [None], "size": [0],
-                                    "counts": [part.tobytes()]})
+                                    "counts": [zlib.compress(part.tobytes(), 1)]})
 
     schema = "kind int, doc_id long, d1 long, d2 long, size int, counts binary"
     # as text, since pandas would turn integers with nulls into floats
@@ -108,8 +144,9 @@ def _count_table(measured: DataFrame) -> np.ndarray:
     def add(key, rows):
         total = np.zeros(SLICE, np.int64)
         for part in rows["counts"]:
-            total += np.frombuffer(part, np.int32)
-        return pd.DataFrame({"slice": [key[0]], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+            total += np.frombuffer(zlib.decompress(part), np.int32)
+        capped = np.minimum(total, 2**31 - 1).astype(np.int32)
+        return pd.DataFrame({"slice": [key[0]], "counts": [zlib.compress(capped.tobytes(), 1)]})
 
     tasks = F.pmod(F.xxhash64("counts"), F.lit(16))
 
@@ -120,76 +157,77 @@ def _count_table(measured: DataFrame) -> np.ndarray:
     parts = merge(parts, tasks).select(F.col("slice").alias("doc_id"), "counts")
     table = np.zeros(TABLE, np.int32)
     for i, counts in merge(parts).collect():
-        table[i * SLICE : (i + 1) * SLICE] = np.frombuffer(counts, np.int32)
+        table[i * SLICE : (i + 1) * SLICE] = np.frombuffer(zlib.decompress(counts), np.int32)
     return table
 
 
-def _prefix(single: np.ndarray, cost: np.ndarray, wanted: int) -> int:
-    """Length of the shortest prefix whose signatures survive `wanted - 1` losses: rare shingles
+def _places(single: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For each shingle in order, how many losses the signatures before it survive: rare shingles
     count one each, those of a class one less than their number."""
     gain = np.ones(len(single), np.int64)
     frequent = np.flatnonzero(~single)
-    if len(frequent):
-        _, at = np.unique(cost[frequent], return_index=True)
-        gain[frequent[at]] = 0
-    total = np.cumsum(gain)
-    return min(int(np.searchsorted(total, wanted)) + 1, len(single))
+    _, first = np.unique(group[frequent], return_index=True)
+    gain[frequent[first]] = 0
+    return np.cumsum(gain) - gain
 
 
-def signatures(tokens: np.ndarray, table: np.ndarray, limit: int, percent: int) -> tuple[np.ndarray, ...]:
-    """(signature, place of its first shingle or 0, indexed) of one set.
+def probe_length(size, percent: int):
+    """How many shingles of a set must be indexed singly."""
+    return size - (percent * size + 99) // 100 + 1
 
-    `indexed` marks the signatures within the shorter prefix of a pair's smaller set.
+
+def signatures(tokens: np.ndarray, table: np.ndarray, limit: float, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The signatures of one set, their places, and whether they are just its first single shingles.
+
+    Two sets that must share `o` shingles have a signature in common whose place is at most
+    size - o in both.
     """
     size = len(tokens)
     count = table[(tokens & np.uint64(TABLE - 1)).astype(np.int64)]
     order = np.lexsort((tokens, count))
+    probe = probe_length(size, percent)
+    if size <= SMALL or count[order[-1]] <= limit:
+        return tokens[order[:probe]], np.arange(probe), True
     tokens, count = tokens[order], count[order]
-    probe = size - -(-percent * size // 100) + 1
-    index = size - -(-2 * percent * size // (100 + percent)) + 1
-    singles = [], [], []
-    with_pairs = size > SMALL and count[-1] > limit
-    if size * percent <= SMALL * 100 or not with_pairs:
-        place = np.arange(probe)
-        singles = [tokens[:probe]], [place], [place < index]
-    if with_pairs:
-        single = count <= limit
-        group = (tokens >> np.uint64(40)).astype(np.int64) % CLASSES
-        long, short = (_prefix(single, group, wanted) for wanted in (probe, index))
-        rare = np.flatnonzero(single[:long])
-        if not singles[0]:
-            singles = [tokens[rare]], [rare], [rare < short]
-        frequent = np.flatnonzero(~single[:long])
-        frequent = frequent[np.argsort(group[frequent], kind="stable")]
-        starts = np.flatnonzero(np.diff(group[frequent], prepend=-1))
-        for members in np.split(frequent, starts[1:]):
-            i, j = np.triu_indices(len(members), 1)
-            a, b = members[i], members[j]
-            singles[0].append(_mixed(tokens[a] * _ODD[0] ^ _mixed(tokens[b] + _ODD[1])))
-            singles[1].append(np.zeros(len(a), np.int64))
-            singles[2].append(b < short)
-    return tuple(np.concatenate(x) for x in singles)
+    single = count <= limit
+    group = (tokens >> np.uint64(40)).astype(np.int64) % CLASSES
+    place = _places(single, group)
+    length = int(np.searchsorted(place, probe))
+    rare = np.flatnonzero(single[:length])
+    found, places = [tokens[rare]], [place[rare]]
+    if size * percent <= SMALL * 100:  # a similar set may be small and index single shingles
+        extra = np.flatnonzero(~single[:probe])
+        found.append(tokens[extra])
+        places.append(extra)
+    frequent = np.flatnonzero(~single[:length])
+    frequent = frequent[np.argsort(group[frequent], kind="stable")]
+    starts = np.flatnonzero(np.diff(group[frequent], prepend=-1))
+    for members in np.split(frequent, starts[1:]):
+        i, j = np.triu_indices(len(members), 1)
+        found.append(_mixed(tokens[members[i]] * _ODD[0] ^ _mixed(tokens[members[j]] + _ODD[1])))
+        places.append(place[members[j]])
+    return np.concatenate(found), np.concatenate(places), length == probe and not len(frequent)
 
 
 def _postings(docs: DataFrame, table: np.ndarray, n: int, percent: int) -> DataFrame:
-    """(sig, d1, size, place, indexed): each distinct set of a task once."""
-    limit = max(FREQUENT, int(LOAD * table.mean(dtype=np.float64)))
+    """(sig, d1, meta) of each distinct set of a task once; meta packs size, place and plain."""
+    mean = float(table.mean(dtype=np.float64))
+    limit = FREQUENT + mean + DEVIATIONS * mean**0.5
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def scan(batches):
         seen = set()
         for batch in batches:
             made, rows = [], 0
-            for text in batch["text"]:
-                tokens = shingle_set(text, n)
+            for tokens in shingle_sets(batch["text"], n):
                 if not len(tokens):
                     continue
                 name = _names(tokens)
                 if name in seen:
                     continue
                 seen.add(name)
-                sig, place, indexed = signatures(tokens, shared.value, limit, percent)
-                meta = (np.int64(len(tokens)) << np.int64(32)) | (place.astype(np.int64) << 1) | indexed
+                sig, place, plain = signatures(tokens, shared.value, limit, percent)
+                meta = np.int64(len(tokens)) << np.int64(32) | place.astype(np.int64) << 1 | np.int64(plain)
                 made.append((sig.view(np.int64), np.full(len(sig), name[0]), meta))
                 rows += len(sig)
                 if rows > 200_000:
@@ -263,8 +301,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
         seen = set()
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                tokens = shingle_set(text, n)
+            for tokens in shingle_sets(batch["text"], n):
                 if not len(tokens):
                     continue
                 a, b = _names(tokens)
@@ -294,49 +331,65 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _with_component(postings: DataFrame, found: DataFrame | None) -> DataFrame:
+    """Postings with the component of each set; only signatures whose sets aren't all connected yet."""
     if found is None:
         return postings.withColumn("comp", F.col("node"))
-    return postings.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    named = postings.join(found, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    spread = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    return named.join(spread.filter("low < high").select("sig", "low"), "sig")
+
 
+def _near_sizes(a: str, b: str, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-def _mixed_signatures(postings: DataFrame) -> DataFrame:
-    """Signatures whose sets aren't all connected yet, with one of the components."""
-    spread = postings.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    return spread.filter("low < high").select("sig", "low")
 
+def _overlap(a: str, b: str, percent: int):
+    """How many shingles two sets of these sizes must share."""
+    return F.ceil((F.col(a) + F.col(b)) * percent / F.lit(100 + percent))
 
-def _partners(postings: DataFrame, percent: int) -> DataFrame:
-    """For each set the one set of another component that most of its signatures lead to."""
-    pivot = F.min_by(F.struct("node", "size", "comp"), F.struct(~F.col("indexed"), F.xxhash64("comp"), "node"))
-    lead = postings.groupBy("sig").agg(pivot.alias("lead"))
-    near = postings.join(lead, "sig").filter(
-        (F.col("comp") != F.col("lead.comp"))
-        & (F.least("size", "lead.size") * 100 >= F.greatest("size", "lead.size") * percent)
+
+def _partners(postings: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each set one set of another component that many of its signatures lead to.
+
+    A signature leads to the set that shares most of itself with others, as the original of
+    edited copies does, and in later turns to any.
+    """
+    order = F.struct(F.lit(0) if turn else -F.col("part"), F.xxhash64(F.lit(turn), "node"), "node")
+    leads = postings.groupBy("sig").agg(F.min_by(F.struct("node", "size", "comp"), order).alias("lead"))
+    near = postings.join(leads, "sig").filter(
+        (F.col("comp") != F.col("lead.comp")) & _near_sizes("size", "lead.size", percent)
     )
-    shared = near.groupBy("node", F.col("lead.node").alias("other")).agg(F.count("*").alias("n"))
-    best = shared.groupBy("node").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
+    shared = near.groupBy("node", F.col("lead.node").alias("other")).agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    many = shared.filter(F.col("n") >= F.col("size") * MANY)
+    best = many.groupBy("node").agg(F.max_by("other", F.struct("n", -F.col("other"))).alias("other"))
     return best.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def _rest(postings: DataFrame, percent: int) -> DataFrame:
-    """All candidates between sets not connected yet."""
-    mixed = postings.join(_mixed_signatures(postings), "sig")
-    names = ("node", "size", "place", "indexed", "comp")
-    x = mixed.filter("comp != low").select("sig", *[F.col(c).alias(f"x_{c}") for c in names])
-    y = mixed.select("sig", *[F.col(c).alias(f"y_{c}") for c in names], "low")
-    smaller_x = (F.col("x_size") < F.col("y_size")) | (
-        (F.col("x_size") == F.col("y_size")) & (F.col("x_node") < F.col("y_node"))
-    )
-    small, large = F.least("x_size", "y_size"), F.greatest("x_size", "y_size")
-    most = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))
+def _rest(postings: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """All pairs not connected yet that can be similar by the signatures they share."""
+    names = ("node", "size", "place", "plain", "comp")
+    x = postings.filter("comp != low").select("sig", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = postings.select("sig", *[F.col(c).alias(f"y_{c}") for c in names], "low")
+    wanted = _overlap("x_size", "y_size", percent)
     both = x.join(y, "sig").filter(
         (F.col("x_comp") != F.col("y_comp"))
         & ((F.col("y_comp") == F.col("low")) | (F.col("x_node") < F.col("y_node")))
-        & (small * 100 >= large * percent)
-        & F.when(smaller_x, F.col("x_indexed")).otherwise(F.col("y_indexed"))
-        & (most * (100 + percent) >= (F.col("x_size") + F.col("y_size")) * percent)
+        & _near_sizes("x_size", "y_size", percent)
+        & (F.col("x_place") <= F.col("x_size") - wanted)
+        & (F.col("y_place") <= F.col("y_size") - wanted)
     )
-    return both.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+    ends = [F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")]
+    sizes = [F.least("x_size", "y_size").alias("small"), F.greatest("x_size", "y_size").alias("large")]
+    pairs = both.select(*ends, *sizes, (F.col("x_plain") & F.col("y_plain")).alias("plain")).distinct()
+    # if two sets index just their first shingles, the one whose prefix ends first has all that it shares
+    # up to there among the shared signatures, so too few of them rule the pair out
+    lists = every.filter("plain").groupBy("node").agg(F.collect_list("sig").alias("sigs"))
+    first = lists.select(F.col("node").alias("a"), F.col("sigs").alias("a_sigs"))
+    second = lists.select(F.col("node").alias("b"), F.col("sigs").alias("b_sigs"))
+    counted = pairs.filter("plain").join(first, "a").join(second, "b")
+    after = F.floor(F.col("large") * percent / 100)  # at least what lies after the prefix of either set
+    enough = F.size(F.array_intersect("a_sigs", "b_sigs")) >= _overlap("small", "large", percent) - after
+    return counted.filter(enough).select("a", "b").union(pairs.filter("not plain").select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -354,38 +407,48 @@ def similar_documents(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     nodes = rows.filter("size > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     shared = _shared_only(_postings(docs, table, n, percent)).dropDuplicates(["sig", "d1"])
-    meta = F.col("meta")
-    postings = shared.join(nodes.select("d1", "node"), "d1").select(
+    postings = shared.join(nodes, "d1").select(
         "sig", "node",
-        F.shiftright(meta, 32).cast("int").alias("size"),
-        F.shiftright(meta.bitwiseAND(2**32 - 1), 1).cast("int").alias("place"),
-        (meta.bitwiseAND(1) == 1).alias("indexed"),
+        F.shiftright("meta", 32).cast("int").alias("size"),
+        F.shiftright(F.col("meta").bitwiseAND(2**32 - 1), 1).cast("int").alias("place"),
+        (F.col("meta") % 2 == 1).alias("plain"),
     )
     postings = stored(postings, "postings")
-    sets = stored(_sets_of(docs, nodes.join(postings.select("node").distinct(), "node", "left_semi"), n), "sets")
-
-    edges, found = [], None
-    for _ in range(FIRST_ROUNDS):
-        open_ = _with_component(postings, found)
-        open_ = open_.join(_mixed_signatures(open_).select("sig"), "sig", "left_semi") if found is not None else open_
-        edges.append(stored(_linked(_partners(open_, percent), sets, percent), "links"))
-        found = _closed(edges, found)
-    edges.append(stored(_linked(_rest(_with_component(postings, found), percent), sets, percent), "links"))
-    found = _closed(edges, found)
+    part = (F.count("*") / F.first("size")).alias("part")
+    weighed = postings.join(postings.groupBy("node").agg(part), "node").select("sig", "node", "size", "part")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return stored(_sets_of(docs, nodes.join(some, "node", "left_semi"), n), "sets")
+
+    # first one partner for each set, and for those sets again with other partners: this joins dense groups
+    pairs = stored(_partners(_with_component(weighed, None), percent, 0), "pairs")
+    sets = sets_of(pairs)
+    dense = stored(weighed.join(sets.select("node"), "node", "left_semi"), "dense")
+    links = stored(_linked(pairs, sets, percent), "links")
+    found = components(links)
+    for turn in range(1, ROUNDS):
+        forget(links, pairs)
+        pairs = stored(_partners(_with_component(dense, found), percent, turn), "pairs")
+        links = stored(_linked(pairs, sets, percent), "links")
+        found = _closed(links, found)
+    forget(dense, sets, links, pairs)
+    # then everything that may still be similar
+    pairs = stored(_rest(_with_component(postings, found), postings, percent), "pairs")
+    sets = sets_of(pairs)
+    links = stored(_linked(pairs, sets, percent), "links")
+    found = _closed(links, found)
+    forget(postings, pairs, sets, links)
 
     least = nodes.join(found, "node").groupBy("root").agg(F.min("least").alias("component"))
     joined = found.join(least, "root").select("node", "component")
     named = nodes.join(joined, "node", "left").select("d1", "d2", F.coalesce("component", "least").alias("component"))
-    result = rows.join(named, ["d1", "d2"], "left")
-    forget(postings, sets, *edges)
-    return result.select(
+    return rows.join(named, ["d1", "d2"], "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
-def _closed(edges: list[DataFrame], before: DataFrame | None) -> DataFrame:
-    """Components of the last edges and all earlier ones."""
-    if before is None:
-        return components(edges[-1])
+def _closed(edges: DataFrame, before: DataFrame) -> DataFrame:
+    """Components of more edges and those found before."""
     stars = before.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(edges[-1].union(stars))
+    return components(edges.union(stars))
