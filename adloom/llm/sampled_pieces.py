@@ -29,7 +29,7 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds; as half a surrogate pair it occurs in no text.
 OWN_MARK = "\udfff"
 #: Edges kept per task before the table of words is begun anew.
-MOST_EDGES = 8_000_000
+MOST_EDGES = 4_000_000
 #: Characters of text sampled together.
 BLOCK_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -117,8 +117,8 @@ class Pieces:
         """The lattices of words of up to 32 characters, many side by side."""
         for low, high in ((0, 8), (8, 16), (16, 32)):
             some = [w for w in words if low < len(w) <= high]
-            for k in range(0, len(some), 4_096 // high):
-                self._add_block(some[k : k + 4_096 // high], high)
+            for k in range(0, len(some), 2_048):
+                self._add_block(some[k : k + 2_048], high)
         for w in words:
             if len(w) > 32:
                 self.add(w)
@@ -126,46 +126,63 @@ class Pieces:
     def _add_block(self, words: list[str], width: int) -> None:
         n, reach = len(words), min(width, self.longest)
         lengths = np.array([len(w) for w in words])
-        codes = np.zeros((n, width), np.uint64)
         filled = np.arange(width) < lengths[:, None]
+        codes = np.zeros((n, width), np.uint64)
         codes[filled] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        weight, ids = np.zeros((n, width, reach)), np.zeros((n, width, reach), np.int32)
+        rows, begins, ends, ids, weights = [], [], [], [], []
         h = np.zeros((n, width), np.uint64)
-        for k in range(reach):  # pieces of k + 1 characters that end at each place; longest first in the last axis
-            # h holds hashes of the k characters before each place; the first k + 1 ones start at place k
+        for k in range(reach):  # pieces of k + 1 characters that end at each place
             h[:, k:] = (h[:, k - 1 : width - 1] if k else h) * _BASE + codes[:, k:]
             table, piece, value, text = self._tables[k]
             if not len(table):
                 continue
             row, place = np.nonzero(filled[:, k:])
-            got = np.minimum(np.searchsorted(table, h[row, place + k]), len(table) - 1)
-            hit = np.flatnonzero(table[got] == h[row, place + k])
+            wanted = h[row, place + k]
+            got = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+            hit = np.flatnonzero(table[got] == wanted)
+            row, place, got = row[hit], place[hit], got[hit]
             # equal hashes of unequal text can't be excluded, so the characters decide
-            hit = hit[(codes[row[hit, None], place[hit, None] + np.arange(k + 1)] == text[got[hit]]).all(axis=1)]
-            row, place, got = row[hit], place[hit] + k, got[hit]
-            weight[row, place, reach - 1 - k], ids[row, place, reach - 1 - k] = value[got], piece[got]
-        row, place = np.nonzero(filled & ~weight.any(axis=2))
+            same = (codes[row[:, None], place[:, None] + np.arange(k + 1)] == text[got]).all(axis=1)
+            rows.append(row[same])
+            begins.append(place[same])
+            ends.append(place[same] + k + 1)
+            ids.append(piece[got[same]])
+            weights.append(value[got[same]])
+        covered = np.zeros((n, width + 1), bool)
+        for row, end in zip(rows, ends):
+            covered[row, end] = True
+        row, place = np.nonzero(filled & ~covered[:, 1:])  # characters that no piece ends at go byte by byte
         code = codes[row, place].astype(np.int64)
-        ids[row, place, -1] = np.where(code < 128, self._ascii[np.minimum(code, 127)], -code - 1)
-        weight[row, place, -1] = self.fallback
-        mass = np.zeros((n, width + reach))
-        mass[:, reach - 1] = 1.0
-        for end in range(width):
-            weight[:, end] = np.cumsum(weight[:, end] * mass[:, end : end + reach], axis=1)
-            mass[:, end + reach] = weight[:, end, -1]
-        edges = ids != 0
-        edges &= filled[:, :, None]
-        share = weight / np.where(filled, mass[:, reach:], 1.0)[:, :, None]
-        row, place, back = np.nonzero(edges)
+        rows.append(row)
+        begins.append(place)
+        ends.append(place + 1)
+        ids.append(np.where(code < 128, self._ascii[np.minimum(code, 127)], -code - 1))
+        weights.append(np.full(len(row), self.fallback))
+        row, begin, end, piece, weight = map(np.concatenate, (rows, begins, ends, ids, weights))
+        order = np.lexsort((begin, row, end))
+        row, begin, end, piece, weight = (x[order] for x in (row, begin, end, piece, weight))
+        mass, share = np.zeros((n, width + 1)), np.empty(len(row))
+        mass[:, 0] = 1.0
+        bounds = np.searchsorted(end, np.arange(1, width + 2))
+        for e, (a, b) in enumerate(zip(bounds, bounds[1:]), 1):
+            if a == b:
+                continue
+            part = mass[row[a:b], begin[a:b]] * weight[a:b]
+            first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+            total = np.add.reduceat(part, first)
+            mass[row[a:b][first], e] = total
+            count = np.diff(first, append=b - a)
+            sums = np.cumsum(part / np.repeat(total, count))
+            share[a:b] = sums - np.repeat(sums[first] - part[first] / total, count)
+            share[a:b][first + count - 1] = 1.0
+        order = np.lexsort((begin, end, row))
+        row, begin, end = row[order], begin[order], end[order]
         base = len(self.first) - 1 + np.concatenate([[0], np.cumsum(lengths + 1)])
-        count = np.zeros((n, width + 1), np.int64)
-        count[:, 1:] = edges.sum(axis=2)
-        used = np.arange(width + 1) <= lengths[:, None]
-        first = len(self.start) + np.cumsum(count[used])
-        self.first.frombytes(first.tobytes())
-        self.start.frombytes((base[row] + place + 1 - (reach - back)).astype(np.int32).tobytes())
-        self.piece.frombytes(ids[edges].tobytes())
-        self.share.frombytes(share[edges].tobytes())
+        counts = np.bincount(base[row] + end - base[0], minlength=int(base[-1] - base[0]))
+        self.first.frombytes((len(self.start) + np.cumsum(counts)).tobytes())
+        self.start.frombytes((base[row] + begin).astype(np.int32).tobytes())
+        self.piece.frombytes(piece[order].astype(np.int32).tobytes())
+        self.share.frombytes(share[order].tobytes())
         self.places.update(zip(words, (base[:-1] + lengths).tolist()))
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:

@@ -25,7 +25,7 @@ SEED = 20240501
 LEAST_TEXTS = 3
 LEAST_Z = 3.5
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MOST_WORDS = 300_000
+_MOST_WORDS = 100_000
 
 
 class _Terms(dict):
@@ -70,8 +70,13 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
     for _ in range(EPOCHS if toxic and toxic < n else 0):
         order = rng.permutation(n)
         for k in range(0, n, 64):
-            some = [i for i in order[k : k + 64] if len(kept[i])]
+            batch = order[k : k + 64]
+            some = [i for i in batch if len(kept[i])]
+            bare = [i for i in batch if not len(kept[i])]  # texts without a chosen term pull at the bias alone
+            alone = (1 / (1 + np.exp(-bias)) - labels[bare]) * weigh[bare]
             if not some:
+                past_b += alone.mean() ** 2
+                bias -= 0.1 * alone.mean() / np.sqrt(past_b)
                 continue
             flat = np.concatenate([kept[i] for i in some])
             length = np.array([len(kept[i]) for i in some])
@@ -89,8 +94,9 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
             past_v[used] += turn**2
             w[used] -= 0.2 * pull / np.sqrt(past_w[used])
             v[used] -= 0.02 * turn / np.sqrt(past_v[used])
-            past_b += miss.mean() ** 2
-            bias -= 0.1 * miss.mean() / np.sqrt(past_b)
+            slope = (miss.sum() + alone.sum()) / len(batch)
+            past_b += slope**2
+            bias -= 0.1 * slope / np.sqrt(past_b)
     return {"bias": bias, "places": places, "weights": w, "factors": v}
 
 
