@@ -28,8 +28,8 @@ def count_recent_repeats(
     split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Per group: `n` rows, and `p` rows whose item is among the `lookback` rows before."""
-    if not 1 <= lookback <= BLOCK_ROWS:
-        raise ValueError(f"lookback must lie between 1 and {BLOCK_ROWS}")
+    if lookback < 1:
+        raise ValueError("lookback must be positive")
     order_by = [c for c in _with_tail(order_by, [item]) if c not in keys]
     rows = rows.select(*dict.fromkeys([*keys, item, *order_by]))
 
@@ -59,11 +59,12 @@ def _count_in_window(rows, keys, item, order_by, lookback) -> DataFrame:
 
 def _count_in_blocks(rows, item, order_by, lookback) -> DataFrame:
     merged = _places(rows, order_by)
-    own = _block_of(F.col("first"))
+    size = max(BLOCK_ROWS, lookback)
+    own = _block_of(F.col("first"), size)
     # A merged row matters to the `lookback` places after it: it also goes, as
     # context, to the blocks those places lie in.
     blocks = F.array_distinct(
-        F.array(own, _block_of(F.col("last") + 1), _block_of(F.col("last") + lookback))
+        F.array(own, _block_of(F.col("last") + 1, size), _block_of(F.col("last") + lookback, size))
     )
     same_item = Window.partitionBy("group", "block", item).orderBy("first")
     near = F.col("first") - F.lag("last").over(same_item) <= lookback
@@ -94,7 +95,8 @@ def repeated_occurrences(
 
     A group's ordered rows are cut into chunks of `chunk_rows`. Result: the item, its
     `values`, `order` (0 for the item's first row in the chunk) and `copies`, the
-    number of equal occurrences the row stands for.
+    number of equal occurrences: one row for each item, values and order, whatever the
+    size of a group.
     """
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be positive")
@@ -104,13 +106,17 @@ def repeated_occurrences(
     heavy = heavy_keys(rows, keys, split_above)
     if heavy is None:
         chunked = _chunk_in_window(rows, keys, order_by, chunk_rows)
-        return _keep_repeats(chunked, keys, item, values, min_repeats)
+        return _counted(_keep_repeats(chunked, keys, item, values, min_repeats), item, values)
     light_rows, heavy_rows = split_by_keys(rows, keys, heavy)
     light_chunks = _chunk_in_window(light_rows, keys, order_by, chunk_rows)
     heavy_chunks = _chunk_merged(_as_group(heavy_rows, keys), order_by, chunk_rows)
-    return _keep_repeats(light_chunks, keys, item, values, min_repeats).unionByName(
-        _keep_repeats(heavy_chunks, ["group"], item, values, min_repeats)
-    )
+    light_repeats = _keep_repeats(light_chunks, keys, item, values, min_repeats)
+    heavy_repeats = _keep_repeats(heavy_chunks, ["group"], item, values, min_repeats)
+    return _counted(light_repeats.unionByName(heavy_repeats), item, values)
+
+
+def _counted(repeats: DataFrame, item: str, values: Sequence[str]) -> DataFrame:
+    return repeats.groupBy(item, *values, "order").agg(F.sum("copies").alias("copies"))
 
 
 def _keep_repeats(chunked, keys, item, values, min_repeats) -> DataFrame:
@@ -181,8 +187,8 @@ def _places(rows, order_by) -> DataFrame:
     )
 
 
-def _block_of(place: Column) -> Column:
-    return F.floor(place / BLOCK_ROWS)
+def _block_of(place: Column, size: int) -> Column:
+    return F.floor(place / size)
 
 
 def _with_tail(order_by: Sequence[str], tail: Sequence[str]) -> list[str]:

@@ -4,11 +4,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 SPLIT_ABOVE = 5_000_000
-MAX_HEAVY_KEYS = 10_000
+MAX_HEAVY_KEYS = 100_000
 SAMPLED_ROWS = 10_000
 
 
@@ -22,26 +22,29 @@ def heavy_keys(
 
     Being listed never changes an answer, only the way it is computed. So the rows may
     be counted on a sample, large enough for a key of `above` rows to show
-    `SAMPLED_ROWS` times; every listed key does exist in `rows`. The list has at most
-    `most` entries and may be broadcast. A key left out by that bound has no more than
-    1/`most` of all rows.
+    `SAMPLED_ROWS` times; every listed key does exist in `rows`. A key is listed from
+    `above` rows or 1/`most` of all rows on, whichever is more: at most `most` keys can
+    have as many, so the list is whole, and bounded enough to be broadcast.
     """
     keyed = rows.select(*keys)
     fraction = min(1.0, SAMPLED_ROWS / max(above, 1))
     if fraction < 1:
         keyed = keyed.sample(fraction, seed=0)
+    seen = Observation()
     largest = (
-        keyed.groupBy(*keys)
+        keyed.observe(seen, F.count(F.lit(1)).alias("rows"))
+        .groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("key_rows"))
         .filter(F.col("key_rows") > above * fraction)
         .orderBy(F.desc("key_rows"))
         .limit(most)
-        .select(*keys)
     )
-    found = largest.collect()
+    counted = largest.collect()
+    least = max(above * fraction, seen.get["rows"] / most) if counted else 0
+    found = [tuple(r[k] for k in keys) for r in counted if r["key_rows"] > least]
     if not found:
         return None
-    return rows.sparkSession.createDataFrame(found, largest.schema)
+    return rows.sparkSession.createDataFrame(found, keyed.schema)
 
 
 def split_by_keys(rows: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:

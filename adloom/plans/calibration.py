@@ -74,9 +74,10 @@ def actual_rates(
     `read_daily_table`): rows of the day may arrive late.
     """
     chosen = table.filter(
-        f"process_date = '{date}' and site_set in ({site_set})"
-        " and smart_optimization_goal is not null and smart_optimization_goal > 0"
-        f" and smart_optimization_goal != {C.EXCLUDED_GOAL}"
+        (F.col("process_date") == date)
+        & (F.col("site_set") == site_set)
+        & (F.col("smart_optimization_goal") > 0)
+        & (F.col("smart_optimization_goal") != C.EXCLUDED_GOAL)
     )
     measures = dict(zip(COUNTS, ["valid_exposure_cnt", "valid_click_cnt", "active_num"]))
     return chosen.groupBy(key).agg(

@@ -20,8 +20,9 @@ def position_value(
 ) -> DataFrame:
     """(position_id, req_cnt, cpr): cost per thousand requests of each position.
 
-    Cells may be text, where blank is 0, or numbers. Numeric columns let the
-    conditions reach the scan.
+    Cells may be text, where blank is 0, or numbers, where null is 0. Conditions on
+    numeric columns name the bare column, so they reach the scan. Costs are summed
+    as decimals: the order of rows doesn't matter.
     """
 
     def cell(name: str, as_type: str = "bigint") -> Column:
@@ -29,14 +30,28 @@ def position_value(
             return text_to_number(F.col(name), as_type)
         return or_zero(F.col(name)).cast(as_type)
 
+    def is_text(name: str) -> bool:
+        return isinstance(table.schema[name].dataType, T.StringType)
+
+    def equal(name: str, value: int) -> Column:
+        if is_text(name):
+            return cell(name) == value
+        same = F.col(name) == value
+        return same | F.col(name).isNull() if value == 0 else same
+
     def outside(name: str, excluded: Iterable[int]) -> Column:
         excluded = list(excluded)
-        return ~cell(name).isin(excluded) if excluded else F.lit(True)
+        if not excluded:
+            return F.lit(True)
+        if is_text(name):
+            return ~cell(name).isin(excluded)
+        other = ~F.col(name).isin(excluded)
+        return other if 0 in excluded else other | F.col(name).isNull()
 
     chosen = table.filter(
-        (cell("site_set") == site_set)
+        equal("site_set", site_set)
         & outside("site_id", excluded_sites)
-        & (cell("position_id") > 0)
+        & ((cell("position_id") if is_text("position_id") else F.col("position_id")) > 0)
         & outside("scene", excluded_scenes)
     )
     sums = (
@@ -44,7 +59,7 @@ def position_value(
         .agg(
             F.sum(cell("req_cnt")).alias("req_cnt"),
             F.sum(cell("ret_cnt")).alias("ret_cnt"),
-            F.sum(cell("real_cost_micros", "double")).alias("cost_micros"),
+            F.sum(cell("real_cost_micros", "double").cast("decimal(28,6)")).cast("double").alias("cost_micros"),
         )
         .filter((F.col("req_cnt") > 0) & (F.col("ret_cnt") > min_returns))
     )

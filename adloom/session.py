@@ -34,7 +34,7 @@ def use_checkpoint_dir(spark: SparkSession) -> None:
     current = context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        if current is None or named.rstrip("/") not in current:
+        if current is None or current.rstrip("/").rpartition("/")[0] != named.rstrip("/"):
             context.setCheckpointDir(named)
     elif current is None:
         if not context.master.startswith("local"):

@@ -41,15 +41,9 @@ def read_daily_table(
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Tab-separated text without header or quoting; text that does not parse raises."""
-    return (
-        spark.read.schema(schema)
-        .option("sep", TAB)
-        .option("quote", "")
-        .option("mode", "FAILFAST")
-        .csv(path)
-        .na.fill("")
-    )
+    """Tab-separated text without header or quoting, read as `decode_tsv` does: a number
+    that is blank or does not parse raises, columns beyond the schema are ignored."""
+    return decode_tsv(read_lines(spark, path), schema)
 
 
 def read_extract(spark: SparkSession, path: str) -> DataFrame:
@@ -79,6 +73,8 @@ def read_if_complete(spark: SparkSession, path: str, fields: Iterable[str], ddl:
     """Records of a folder whose writer has finished (success marker), else None."""
     try:
         spark.read.format("binaryFile").option("pathGlobFilter", "*").load(f"{path}/_SUCCESS").schema
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return read_records(spark, path, fields, ddl)

@@ -5,7 +5,9 @@ from tests.helpers import values
 def test_listed_keys(spark):
     rows = spark.createDataFrame([(1, "a")] * 5 + [(1, "b")] * 3 + [(None, "a")] * 4, "k int, g string")
     assert values(heavy_keys(rows, ["k", "g"], above=3)) == [(1, "a"), (None, "a")]
-    assert values(heavy_keys(rows, ["k", "g"], above=2, most=1)) == [(1, "a")]
+    # a key is listed from a quarter of all rows on; none has more than all
+    assert values(heavy_keys(rows, ["k", "g"], above=2, most=4)) == [(1, "a"), (None, "a")]
+    assert heavy_keys(rows, ["k", "g"], above=2, most=1) is None
     assert heavy_keys(rows, ["k", "g"], above=5) is None
 
 
