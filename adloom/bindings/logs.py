@@ -194,7 +194,7 @@ def _impressions(position: int) -> Column:
 
 
 def derive_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page view per event, with two positions."""
+    """One page view per event, with two positions, on five sites; some have a blank id."""
     k = F.col("k")
     repeated = F.array(F.lit(7), F.lit(7))
     nothing = F.array().cast("array<int>")
@@ -221,11 +221,11 @@ def derive_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         imps=_impressions(2),
     )
     return events(spark, sf_dir).select(
-        _prefixed("pv", F.col("event_id")).alias("id"),
+        F.when(F.col("event_id") % 17 == 0, "").otherwise(_prefixed("pv", F.col("event_id"))).alias("id"),
         F.col("time_s").cast("bigint").alias("process_time"),
         F.col("hour").alias("partition_datetime"),
         _struct(
-            site_id=1 + F.col("user_id") % 2,
+            site_id=1 + F.col("user_id") % 5,
             site_set=F.when(k % 5 == 0, 24).otherwise(25),
             app_version=_prefixed("a", k % 3),
         ).alias("page"),
@@ -241,12 +241,13 @@ def derive_page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derive_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row of the daily ad table per event. A third each arrives on the day, one
-    and two days later."""
-    k, kind = F.col("k"), F.col("event_type")
+    """One row of the daily ad table per event. A fifth each arrives on the day before, the
+    day, and one to three days later; some rows belong to the day before or after."""
+    k, kind, event = F.col("k"), F.col("event_type"), F.col("event_id")
+    arrived = F.date_add(F.lit("2023-12-31").cast("date"), (event % 5).cast("int"))
     return events(spark, sf_dir).select(
-        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 3)), "yyyyMMdd").alias("day"),
-        F.lit(DAY).alias("process_date"),
+        F.date_format(arrived, "yyyyMMdd").alias("day"),
+        F.when(event % 11 == 0, "20231231").when(event % 11 == 1, "20240102").otherwise(DAY).alias("process_date"),
         F.when(k % 5 == 0, 24).otherwise(25).alias("site_set"),
         F.when(k % 4 == 1, 5).when(k % 4 == 2, 204).when(k % 4 == 3, 7).alias("smart_optimization_goal"),
         F.lit("1").alias("valid_exposure_cnt"),

@@ -15,9 +15,9 @@ ev AS (
 IMPRESSIONS = EVENTS + """,
 imp AS (
   SELECT ev.*, pos, place,
-    'pv' || event_id AS id,
+    CASE WHEN event_id % 17 = 0 THEN '' ELSE 'pv' || event_id END AS id,
     't_' || pos || '_' || place AS trace_id,
-    1 + user_id % 2 AS site_id,
+    1 + user_id % 5 AS site_id,
     CAST(pos * 100 + k % 10 AS BIGINT) AS position_id,
     CAST(CASE k % 4 WHEN 1 THEN 5 WHEN 2 THEN 204 WHEN 3 THEN 7 ELSE 0 END AS INTEGER) AS goal,
     CASE WHEN place = 1 THEN CAST(floor(value * 100) AS BIGINT) * 10000 ELSE 0 END AS cpm_micros
@@ -95,7 +95,8 @@ SELECT site_id, n, p, count(*) AS users FROM per_user GROUP BY site_id, n, p"""
 
 
 LOG_HISTOGRAM = histogram(
-    "SELECT site_id, user_id, event_type || '|' || k % 10 AS product, time_s FROM imp WHERE user_id % 13 <> 0",
+    "SELECT site_id, user_id, event_type || '|' || k % 10 AS product, time_s FROM imp"
+    " WHERE user_id % 13 <> 0 AND site_id IN (1, 2)",
     "time_s, product",
 )
 
@@ -121,19 +122,22 @@ SELECT id, trace_id, position_id, time_s AS ping_time,
   CAST(k % 9 AS BIGINT) AS brand_id, 'os' || k % 4 AS os_version,
   CASE WHEN k % 10 <> 0 THEN 18 + k % 50 ELSE 0 END AS age, k % 3 AS gender, k % 6 AS education,
   'sdk' || k % 3 AS sdk_version, 'a' || k % 3 AS app_version, site_id
-FROM imp"""
+FROM imp WHERE site_id IN (1, 2)"""
 
 COST = """
 SELECT id, trace_id, cpm_micros / 1000000::DOUBLE AS expose_cost,
   CASE WHEN goal = 0 THEN cpm_micros / 1000000::DOUBLE ELSE 0.0::DOUBLE END AS expose_gmv
-FROM imp"""
+FROM imp JOIN (VALUES (1), (2)) AS c(nth) ON nth = 1 OR event_type = 'purchase'
+WHERE site_id IN (1, 2) AND event_type <> 'click'"""
+
+COSTS = "coalesce(expose_cost, 0) AS expose_cost, coalesce(expose_gmv, 0) AS expose_gmv"
 
 PLAY = """
 SELECT id, trace_id, max(seconds) AS play_time,
   max(CASE WHEN (event_id + place) % 3 = 2 THEN seconds END) AS click_play_time
 FROM (
   SELECT *, CAST(CASE WHEN k % 7 = 0 THEN 0 WHEN k * 50 > 1000 THEN k * 50 // 1000 ELSE k * 50 END AS INTEGER) AS seconds
-  FROM imp WHERE event_type <> 'error'
+  FROM imp WHERE event_type <> 'error' AND site_id IN (1, 2)
 ) GROUP BY id, trace_id"""
 
 RATES = """
@@ -141,7 +145,7 @@ rates AS (
   SELECT 'product|' || k % 7 AS quality_product_id, count(*) AS exposure_cnt,
     CAST(count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS BIGINT) AS click_cnt,
     CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS active_cnt
-  FROM ev WHERE k % 5 <> 0 AND k % 4 IN (1, 2) GROUP BY 1
+  FROM ev WHERE k % 5 <> 0 AND k % 4 IN (1, 2) AND event_id % 5 IN (1, 2, 3) AND event_id % 11 NOT IN (0, 1) GROUP BY 1
 )"""
 
 OCCURRENCES = """
@@ -198,7 +202,7 @@ SELECT site_id, 'u' || user_id AS open_id, position_id,
   k / 128.0::DOUBLE AS pcvr, CAST(k AS BIGINT) * 100 AS total_ecpm,
   CASE WHEN k % 6 <> 0 THEN CAST(k AS BIGINT) * 50 ELSE 0 END AS next_total_ecpm,
   k * 7 AS ctr, CASE WHEN k % 9 <> 0 THEN k * 3 ELSE 0 END AS cvr, time_s AS ping_time
-FROM imp WHERE goal > 0 AND goal <> 7 AND user_id % 13 <> 0"""
+FROM imp WHERE goal > 0 AND goal <> 7 AND user_id % 13 <> 0 AND site_id IN (1, 2)"""
 
 CONSISTENCY = """
 WITH rows AS (
@@ -311,12 +315,13 @@ def oracle_sql() -> dict[str, str]:
         "impression_cost": f"WITH {IMPRESSIONS} {COST}",
         "video_play": f"WITH {IMPRESSIONS} {PLAY}",
         "exposure_enriched": f"""WITH {IMPRESSIONS}, detail AS ({DETAIL}), cost AS ({COST}), play AS ({PLAY})
-SELECT detail.*, expose_cost, expose_gmv, coalesce(play_time, 0) AS play_time,
+SELECT detail.*, {COSTS}, coalesce(play_time, 0) AS play_time,
   coalesce(click_play_time, 0) AS click_play_time
-FROM detail LEFT JOIN cost USING (id, trace_id) LEFT JOIN play USING (id, trace_id)""",
+FROM detail LEFT JOIN (SELECT * FROM cost WHERE id <> '') AS cost USING (id, trace_id)
+  LEFT JOIN (SELECT * FROM play WHERE id <> '') AS play USING (id, trace_id)""",
         "exposure_without_video": f"""WITH {IMPRESSIONS}, detail AS ({DETAIL}), cost AS ({COST})
-SELECT detail.*, expose_cost, expose_gmv, 0 AS play_time, 0 AS click_play_time
-FROM detail LEFT JOIN cost USING (id, trace_id)""",
+SELECT detail.*, {COSTS}, 0 AS play_time, 0 AS click_play_time
+FROM detail LEFT JOIN (SELECT * FROM cost WHERE id <> '') AS cost USING (id, trace_id)""",
         "impression_extract": EXTRACT,
         "actual_rates": f"WITH {EVENTS}, {RATES} SELECT * FROM rates",
         "repeated_predictions": REPEATED,

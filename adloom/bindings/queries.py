@@ -72,7 +72,10 @@ def exposure_detail(spark, sf_dir):
 
 
 def impression_cost(spark, sf_dir):
-    return exposure.impression_cost(logs.page_views(spark, sf_dir, exposure.COST_FIELDS), SITES)
+    """The cost log misses the pages with a click and holds those with a purchase twice."""
+    log = logs.page_views(spark, sf_dir, exposure.COST_FIELDS).filter(F.col("event_type") != "click")
+    times = F.array_repeat(F.lit(True), F.when(F.col("event_type") == "purchase", 2).otherwise(1))
+    return exposure.impression_cost(log.select("*", F.explode(times).alias("billed")), SITES)
 
 
 def video_play(spark, sf_dir):
@@ -81,25 +84,14 @@ def video_play(spark, sf_dir):
     return exposure.play_times(exposure.video_plays(log, SITES))
 
 
-def _large_keys(spark, sf_dir):
-    fields = {"large_in_detail": exposure.DETAIL_FIELDS, "large_in_cost": exposure.COST_FIELDS}
-    return {
-        name: exposure.large_blank_keys(logs.page_views(spark, sf_dir, needed), SITES)
-        for name, needed in fields.items()
-    }
-
-
 def exposure_enriched(spark, sf_dir):
     return exposure.exposure_dataset(
-        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), video_play(spark, sf_dir),
-        **_large_keys(spark, sf_dir),
+        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), video_play(spark, sf_dir)
     )
 
 
 def exposure_without_video(spark, sf_dir):
-    return exposure.exposure_dataset(
-        exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir), **_large_keys(spark, sf_dir)
-    )
+    return exposure.exposure_dataset(exposure_detail(spark, sf_dir), impression_cost(spark, sf_dir))
 
 
 def impression_extract(spark, sf_dir):

@@ -100,8 +100,6 @@ def run_exposure(
         exposure.exposure_detail(shown, sites, target_exp_ids),
         exposure.impression_cost(billed, sites),
         exposure.play_times(exposure.video_plays(played, sites)) if played else None,
-        large_in_detail=exposure.large_blank_keys(shown, sites),
-        large_in_cost=exposure.large_blank_keys(billed, sites),
     )
     exposure.write_exposure_dataset(dataset, out, day, files)
 

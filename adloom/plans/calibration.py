@@ -23,6 +23,7 @@ EXTRACT_FIELDS = [
         ]
     ),
 ]
+SUMMED_AS = "decimal(32,12)"  # predictions are summed exactly, in any order
 COUNTS = ["exposure_cnt", "click_cnt", "active_cnt"]
 
 
@@ -103,8 +104,8 @@ def bias_macro(occurrences: DataFrame, rates: DataFrame, key: str = "quality_pro
     """Absolute bias of each product's mean prediction, averaged over products, by order."""
     means = _prediction_sums(occurrences, key).select(
         key, "order",
-        (F.col("pctr_sum") / F.col("occurrences")).alias("pctr"),
-        (F.col("pcvr_sum") / F.col("occurrences")).alias("pcvr"),
+        (F.col("pctr_sum").cast("double") / F.col("occurrences")).alias("pctr"),
+        (F.col("pcvr_sum").cast("double") / F.col("occurrences")).alias("pcvr"),
     )
     return (
         means.join(rates, key)
@@ -128,19 +129,22 @@ def bias_pooled(occurrences: DataFrame, rates: DataFrame, key: str = "quality_pr
     return (
         per_product.groupBy("order")
         .agg(
-            (F.sum("pctr_sum") / F.sum(times)).alias("pctr"),
-            (F.sum("pcvr_sum") / F.sum(times)).alias("pcvr"),
+            (F.sum("pctr_sum").cast("double") / F.sum(times)).alias("pctr"),
+            (F.sum("pcvr_sum").cast("double") / F.sum(times)).alias("pcvr"),
             *(F.sum(F.col(c) * times).alias(c) for c in COUNTS),
         )
         .select("order", _ctr_bias().alias("ctr_bias"), _cvr_bias().alias("cvr_bias"), "pctr", "pcvr", *COUNTS)
     )
 
 
+def _exact(rate: str) -> Column:
+    return F.col(rate).cast("double").cast("decimal(18,12)")
+
+
 def _prediction_sums(occurrences: DataFrame, key: str) -> DataFrame:
     copies = F.col("copies")
     return occurrences.groupBy(key, "order").agg(
-        F.sum(F.col("pctr").cast("double") * copies).alias("pctr_sum"),
-        F.sum(F.col("pcvr").cast("double") * copies).alias("pcvr_sum"),
+        *(F.sum(_exact(c) * copies).cast(SUMMED_AS).alias(f"{c}_sum") for c in ["pctr", "pcvr"]),
         F.sum(copies).alias("occurrences"),
     )
 

@@ -37,13 +37,12 @@ def score_consistency(pageviews: DataFrame, site_set: int = C.SITE_SET) -> DataF
     )
 
     last = F.array_position("early_keys", or_zero(F.col("ad.aindex"))).cast("int")
-    scored = ads.select(
+    # a generated column: the optimizer cannot paste the search into each of its uses
+    matched = ads.select("ad", F.explode(F.array(F.get("early", last - 1))).alias("match"))
+    scored = matched.select(
         "ad",
         micros_to_units(F.col("ad.pctr")).alias("pctr"),
         F.col("ad.adjusted_pcvr").alias("pcvr"),
-        F.get("early", last - 1).alias("match"),
-    ).select(
-        "ad", "pctr", "pcvr",
         micros_to_units(or_zero(F.col("match.ctr"))).alias("lite_ctr"),
         micros_to_units(or_zero(F.col("match.cvr"))).alias("lite_cvr"),
     )

@@ -10,8 +10,8 @@ from adloom.functions.arrays import joined_ids, placement_type, target_experimen
 from adloom.functions.ids import preferred_user_id
 from adloom.functions.scalars import micros_to_units, or_blank, or_zero, play_seconds
 from adloom.operators.flatten import to_impressions, to_positions
-from adloom.operators.keyed import join_apart, look_up
-from adloom.operators.skew import SPLIT_ABOVE, heavy_keys
+from adloom.operators.keyed import look_up, pair_join
+from adloom.operators.skew import SPLIT_ABOVE
 from adloom.sources.writers import write_partitioned
 
 DETAIL_FIELDS = [
@@ -123,34 +123,38 @@ def play_times(plays: DataFrame) -> DataFrame:
     )
 
 
-def large_blank_keys(pageviews: DataFrame, sites: Iterable[int], above: int = SPLIT_ABOVE) -> DataFrame | None:
-    """Impression keys with very many rows in a log, or None.
-
-    Ids tell impressions apart, so only the blank id of records without one can be
-    such a key. The condition reaches the scan, which skips what has no blank ids.
-    """
-    blank = pageviews.filter(F.col("id").isNull() | (F.col("id") == ""))
-    return heavy_keys(_page_impressions(blank, sites).select(*IMPRESSION), IMPRESSION, above)
-
-
 def exposure_dataset(
     detail: DataFrame,
     cost: DataFrame,
     play: DataFrame | None = None,
     defaults: Mapping[str, object] = DEFAULTS,
-    large_in_detail: DataFrame | None = None,
-    large_in_cost: DataFrame | None = None,
+    split_above: int = SPLIT_ABOVE,
 ) -> DataFrame:
     """Detail with cost and, where the video log is complete, play times (one row per
-    impression, see `play_times`). The keys large in a log come from `large_blank_keys`.
+    impression, see `play_times`).
+
+    A blank or null id or trace id identifies no impression: such rows get the defaults,
+    once each. They carry a hash of the row in the join key, so that they do not meet in
+    one task.
     """
-    joined = join_apart(detail, cost, IMPRESSION, "left", [(large_in_cost, "inner")])
+    key = [*IMPRESSION, "spread"]
+    joined = pair_join(_spread(detail), _spread(cost).filter(_is_set()), key, "left", split_above)
     if play is None:
         zero = F.lit(0)
         joined = joined.withColumns({"play_time": zero, "click_play_time": zero})
     else:
-        joined = look_up(joined, play, IMPRESSION, large_in_detail)
-    return joined.na.fill(dict(defaults))
+        joined = look_up(joined, _spread(play).filter(_is_set()), key)
+    return joined.drop("spread").na.fill(dict(defaults))
+
+
+def _is_set() -> Column:
+    return (F.col("id") != "") & (F.col("trace_id") != "")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """`rows` with a join column: 0, or a hash of the whole row where an id is unset. Not a
+    literal on either side, as the join would then be hashed on the ids alone."""
+    return rows.withColumn("spread", F.when(_is_set(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*rows.columns)))
 
 
 def write_exposure_dataset(dataset: DataFrame, path: str, day: str, files: int | None = None) -> None:

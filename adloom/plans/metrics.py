@@ -17,6 +17,8 @@ KEYS = [
 ]
 MEASURES = ["conv", "cost", "gmv", "imps", "clicks", "gmv_bias"]
 
+BIAS_SUMMED_AS = "decimal(28,9)"
+
 # Summed by date, shown as text: far fewer dates are formatted.
 SUM_KEYS = [*KEYS[:-1], "process_date"]
 
@@ -154,9 +156,10 @@ def _measures(**given: Column) -> list[Column]:
 
 def _summed(rows: DataFrame) -> DataFrame:
     """Sums per key. Money is summed in whole micros and cents, so that the order of
-    summing does not matter, and divided once."""
+    summing does not matter, and divided once; the bias is summed as a decimal."""
     sums = rows.groupBy(*SUM_KEYS).agg(
-        *(F.sum(m).alias(m) for m in ["conv", "cost_micros", "gmv_cents", "imps", "clicks", "gmv_bias"])
+        *(F.sum(m).alias(m) for m in ["conv", "cost_micros", "gmv_cents", "imps", "clicks"]),
+        F.sum(F.col("gmv_bias").cast(BIAS_SUMMED_AS)).cast("double").alias("gmv_bias"),
     )
     return sums.select(
         *KEYS[:-1], date_text(F.col("process_date")).alias("process_time"),

@@ -25,19 +25,24 @@ def read_log(
     """One log (exposure, click, trace, …) of a day or an hour.
 
     The folder is partitioned by `log` and by `date` (`yyyyMMddHH`); a shorter date
-    selects all its hours. Both are pruned before any file is opened.
+    selects all its hours. No other folder is listed; a date without any raises.
     """
-    schema = narrow(layout(ddl), fields).add("log", T.StringType()).add("date", T.StringType())
-    chosen = (F.col("log") == log) & F.col("date").startswith(date)
-    return spark.read.schema(schema).parquet(root).filter(chosen).drop("log", "date")
+    schema = narrow(layout(ddl), fields)
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/log={log}/date={date}*")
 
 
 def read_daily_table(
     spark: SparkSession, source: str, day: str, days: int = C.DAYS_READ, partition: str = "day"
 ) -> DataFrame:
-    """The partitions of a day and the ones after it, from a catalog table or a folder."""
-    table = spark.read.parquet(source) if "/" in source else spark.read.table(source)
-    return table.filter(F.col(partition).cast("string").isin(days_from(day, days)))
+    """The partitions of a day and the ones after it, from a catalog table or a folder.
+
+    Of a folder only these days' folders are listed; one of them at least must be there.
+    """
+    wanted = days_from(day, days)
+    if "/" in source:
+        root = source.rstrip("/")
+        return spark.read.option("basePath", root).parquet(f"{root}/{partition}={{{','.join(wanted)}}}")
+    return spark.read.table(source).filter(F.col(partition).cast("string").isin(wanted))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

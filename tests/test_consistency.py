@@ -51,6 +51,19 @@ def test_huge_ratio_is_held_at_the_largest_int(spark):
     assert scores(spark, record(mixer={"ads": ads})) == [(0, 2147483647, "", 0)]
 
 
+def test_many_scores_are_searched_once_per_ad(spark):
+    ads = [{"aindex": i, "adgroup_id": i, "is_in_reranking": True, "pctr": 500000, "adjusted_pcvr": 1.0} for i in range(200)]
+    row = record(mixer={"ads": ads})
+    early = [{"aindex": i % 500, "ctr": 500000, "cvr": 1000 * i} for i in range(1000)]
+    row["positions"][0]["retrieval_tracks"] = [{"ads": early}]
+    found = score_consistency(records(spark, layout(SCORE_TRACKING), [row]))
+    ratios = {ad: ratio for ad, ratio, _, _ in values(found)}
+    # the later of two scores counts: 0.5 * (i + 500) / 1000 * 100 / 0.5, cut to a whole number
+    assert len(ratios) == 200 and all(abs(ratios[i] - (i + 500) / 10) <= 1 for i in range(200))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_position(") == 1
+
+
 @pytest.mark.parametrize("split_above", [10**9, 1, 0])
 def test_look_up_last(spark, split_above):
     writes = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (2, 5, 50)], "key int, at int, score int")

@@ -68,25 +68,27 @@ def test_dataset(three):
         ("v1", "t1", 1, 2.5, 0.0, 0, 0), ("v1", "t2", 1, 0.0, 0.0, 0, 0), ("v2", "t9", 2, 0.0, 0.0, 0, 0)]
 
 
-def test_large_blank_keys(spark):
-    blank = [page(id=i, positions=[{"imps": [{}, {"id": ""}]}]) for i in ("", None)]
-    named = [page(positions=[{"imps": [{"id": "t"}] * 9}])]
-    log = records(spark, layout(PAGE_VIEW), blank + named)
-    assert values(exposure.large_blank_keys(log, [1], above=3)) == [("", "")]
-    assert exposure.large_blank_keys(log, [1], above=4) is None
-
-
-def test_blank_keys_take_their_own_way(spark, three):
+@pytest.mark.parametrize("split_above", [10**9, 0])
+def test_unset_ids_match_nothing(spark, three, split_above):
     detail, cost, play = three
-    blank = spark.createDataFrame([("", "")], "id string, trace_id string")
-    blank_detail = detail.union(spark.createDataFrame([("", "", 3)] * 4, detail.schema))
-    blank_cost = cost.union(spark.createDataFrame([("", "", 1.0, 1.0)] * 5, cost.schema))
-    blank_play = play.union(spark.createDataFrame([("", "", 6, 2)], play.schema))
-    for d in [detail, blank_detail]:
-        for c in [cost, blank_cost]:
-            for p in [None, play, blank_play]:
-                large = {"large_in_detail": blank, "large_in_cost": blank if c is blank_cost else None}
-                assert values(exposure.exposure_dataset(d, c, p, **large)) == values(exposure.exposure_dataset(d, c, p))
+    unset = [("", "", 3), ("", "t1", 3), ("v1", "", 3), (None, "t1", 3), ("v1", None, 3)]
+    detail = detail.union(spark.createDataFrame(unset * 4, detail.schema))
+    cost = cost.union(spark.createDataFrame([(i, t, 1.0, 1.0) for i, t, _ in unset] * 5, cost.schema))
+    play = play.union(spark.createDataFrame([(i, t, 6, 2) for i, t, _ in unset], play.schema))
+    found = exposure.exposure_dataset(detail, cost, play, split_above=split_above)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted(r[2:] for r in got if r[2] == 3) == [(3, 0.0, 0.0, 0, 0)] * 20
+    assert sorted(r for r in got if r[2] != 3) == values(exposure.exposure_dataset(*three))
+
+
+def test_unset_ids_do_not_meet(spark, three):
+    detail, cost, _ = three
+    many = spark.range(1000).selectExpr("'' as id", "'' as trace_id", "id as site_id")
+    spread = exposure._spread(detail.union(many))
+    assert spread.select("spread").distinct().count() == 1001
+    plan = exposure.exposure_dataset(detail.union(many), cost)._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "Join LeftOuter" in line)
+    assert joined.count("spread") == 2
 
 
 @pytest.mark.parametrize("files", [None, 2])
@@ -97,14 +99,3 @@ def test_write_replaces_only_its_day(spark, three, tmp_path, files):
         exposure.write_exposure_dataset(dataset, path, day, files)
     back = spark.read.parquet(path)
     assert back.groupBy("dayno", "site_id").count().count() == 4 and back.count() == 6
-
-
-def test_blank_ids_are_looked_for_in_the_scan(spark, tmp_path):
-    from pyspark.sql import functions as F
-
-    from adloom.sources.readers import read_records
-
-    records(spark, layout(PAGE_VIEW), [page()]).write.parquet(str(tmp_path / "log"))
-    log = read_records(spark, str(tmp_path / "log"), exposure.COST_FIELDS)
-    blank = log.filter(F.col("id").isNull() | (F.col("id") == ""))
-    assert "Or(IsNull(id),EqualTo(id,))" in blank._jdf.queryExecution().executedPlan().toString()
