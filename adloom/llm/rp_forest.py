@@ -1,17 +1,19 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
-Every tree splits the rows of a label again and again by a random direction at the median,
-until a leaf holds at most LEAF rows. Rows close to a split go to both sides (spill), so close
-pairs are rarely parted, and many trees make up for those that are. Within leaves all pairs
-are compared exactly; links are united over all leaves. All levels are Spark passes over
-all rows: there is no sample and no leaf that one task could not hold.
+Every tree splits the rows of a label again and again by a random direction, until a leaf holds
+at most LEAF rows. Rows nearer to a split than half the distance at the threshold go to both
+sides (spill), so a tree parts few linked pairs at any size or density, and other trees make up
+for those. The split is where the two sides need the fewest comparisons. A node that no split
+makes much cheaper is dense: it is split no more, and compared in pairs of blocks
+that are spread over tasks. Within leaves all pairs are compared exactly; links are united over
+all leaves. All levels are Spark passes over all rows, without a sample.
 """
 
 import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adloom.llm.common import components, forget, stored
@@ -19,8 +21,16 @@ from adloom.llm.common import components, forget, stored
 COSINE = 0.93
 TREES = 6
 LEAF = 512
-#: Part of a node's rows, around the median, that go to both sides.
-SPILL = 0.2
+#: Width of the band of a split whose rows go to both sides, in distances at the threshold. A pair at
+#: the threshold differs by a normal deviate of that distance along a random direction.
+SPILL = 1.0
+#: A split must bring the comparisons down to this part, or the node is a leaf however large.
+WORTH = 0.8
+#: Rows of a block of such a leaf, and the number of quantiles that splits are chosen from.
+BLOCK = 2048
+STEPS = 64
+#: From so many links in a group on, common leaves are found for all pairs at once.
+MANY_LINKS = 20_000
 
 
 def _unit_vectors(rows: DataFrame) -> DataFrame:
@@ -71,29 +81,33 @@ def _projected(nodes: DataFrame) -> DataFrame:
     return nodes.mapInPandas(scan, "label string, path string, vec_id long, unit binary, at double")
 
 
-def _leaves(vectors: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
-    """(label, path, vec_id, unit) of every row in every leaf it belongs to; path starts with the tree."""
+def _cut(at: Column, width: float) -> Column:
+    """(cost, cut) of the best split by the quantiles `at`: the comparisons left of those of the whole node."""
+
+    def priced(c: Column) -> Column:
+        left = F.size(F.filter(at, lambda x: x <= c + width / 2)) / (STEPS + 1)
+        right = F.size(F.filter(at, lambda x: x >= c - width / 2)) / (STEPS + 1)
+        return F.struct((left * left + right * right).alias("cost"), c.alias("cut"))
+
+    return F.array_min(F.transform(at, priced))
+
+
+def _leaves(vectors: DataFrame, trees: int, leaf: int, width: float) -> DataFrame:
+    """(label, path, vec_id, unit, blocks) of every row in every leaf it belongs to; path starts with the tree."""
     tree = F.explode(F.array(*[F.lit(f"{t}:") for t in range(trees)]))
     nodes = vectors.select("label", tree.alias("path"), "vec_id", "unit")
     done, now = [], stored(_projected(nodes), "nodes")
+    quantiles = F.percentile_approx("at", [k / STEPS for k in range(STEPS + 1)], 1000)
     while True:
-        sizes = now.groupBy("label", "path").agg(
-            F.count("*").alias("n"),
-            F.percentile_approx("at", [0.5 - spill / 2, 0.5, 0.5 + spill / 2], 1000).alias("cut"),
-            F.min("at").alias("low"),
-            F.max("at").alias("high"),
-        )
-        sizes = stored(sizes, "sizes")
-        small = sizes.filter(F.col("n") <= leaf).select("label", "path")
-        done.append(now.drop("at").join(small, ["label", "path"], "left_semi"))
-        large = sizes.filter(F.col("n") > leaf)
+        sizes = now.groupBy("label", "path").agg(F.count("*").alias("n"), quantiles.alias("quantiles"))
+        sizes = stored(sizes.select("label", "path", "n", _cut(F.col("quantiles"), width).alias("best")), "sizes")
+        ends = (F.col("n") <= leaf) | (F.col("best.cost") > WORTH)
+        blocks = F.when(F.col("n") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("n") / BLOCK)).cast("int").alias("blocks")
+        done.append(now.drop("at").join(sizes.filter(ends).select("label", "path", blocks), ["label", "path"]))
+        large = sizes.filter(~ends).select("label", "path", F.col("best.cut").alias("cut"))
         if not large.head(1):
             break
-        # a side must lose rows: where ties hinder that, the id's hash decides instead
-        even = (F.col("cut")[2] < F.col("high")) & (F.col("cut")[0] > F.col("low"))
-        half = F.pmod(F.xxhash64("vec_id", "path"), F.lit(2)) == 0
-        left = F.when(even, F.col("at") <= F.col("cut")[2]).otherwise(half)
-        right = F.when(even, F.col("at") >= F.col("cut")[0]).otherwise(~half)
+        left, right = F.col("at") <= F.col("cut") + width / 2, F.col("at") >= F.col("cut") - width / 2
         sides = F.filter(
             F.array(F.when(left, F.concat("path", F.lit("0"))), F.when(right, F.concat("path", F.lit("1")))),
             lambda p: p.isNotNull(),
@@ -103,7 +117,7 @@ def _leaves(vectors: DataFrame, trees: int, leaf: int, spill: float) -> DataFram
     leaves = done[0]
     for more in done[1:]:
         leaves = leaves.union(more)
-    return leaves
+    return leaves.select("label", "path", "vec_id", "unit", "blocks")
 
 
 def _first_common(own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -115,26 +129,46 @@ def _first_common(own: np.ndarray, other: np.ndarray) -> np.ndarray:
     return low
 
 
+def _lower_leaf(leaves: pd.Series, leaf: int) -> np.ndarray:
+    """Pair by pair of rows, whether a leaf with a smaller number holds both."""
+    flat = np.concatenate([np.asarray(x, np.int64) for x in leaves])
+    owner = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
+    owner, flat = owner[flat < leaf], flat[flat < leaf]
+    names, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    member = np.zeros((len(leaves), int(shared.sum())), np.float32)
+    member[owner[shared[column]], place[column[shared[column]]]] = 1
+    return member @ member.T > 0
+
+
 def _compared(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links within one leaf: per row those whose first common leaf this is, and its local root."""
+    """Links within one leaf or between two blocks of it: per row those whose first common leaf this is, and its local root."""
     n, leaf = len(rows), int(rows["leaf"].iloc[0])
     rows = rows.sort_values("vec_id", ignore_index=True)
-    ids, copies = rows["vec_id"].to_numpy(), rows["copies"].to_numpy()
+    ids, copies, block = rows["vec_id"].to_numpy(), rows["copies"].to_numpy(), rows["block"].to_numpy()
     units = np.frombuffer(b"".join(rows["unit"]), np.float64).reshape(n, -1)
-    i, j = np.nonzero(np.triu(units @ units.T >= least, 1))
+    near = np.triu(units @ units.T >= least, 1)
+    if rows["one"].iloc[0] != rows["two"].iloc[0]:
+        near &= block[:, None] != block[None, :]
+    i, j = np.nonzero(near)
     links = np.zeros(n, np.int64)
     if not len(i):
         return pd.DataFrame({"vec_id": ids[:0], "links": links[:0], "root": ids[:0]})
-    width = max(map(len, rows["leaves"]))
-    all_leaves = np.full((n, width), -1, np.int64)
-    for k, values in enumerate(rows["leaves"]):
-        all_leaves[k, : len(values)] = values
-    others = np.where(all_leaves == -1, -2, all_leaves)
-    for k in range(0, len(i), 20_000):
-        a, b = i[k : k + 20_000], j[k : k + 20_000]
-        first = _first_common(all_leaves[a], others[b]) == leaf
-        np.add.at(links, a[first], copies[b[first]])
-        np.add.at(links, b[first], copies[a[first]])
+    if len(i) > MANY_LINKS:
+        near &= ~_lower_leaf(rows["leaves"], leaf)
+        links += np.array([copies[r].sum() for r in near]) + copies @ near
+    else:
+        width = max(map(len, rows["leaves"]))
+        all_leaves = np.full((n, width), -1, np.int64)
+        for k, values in enumerate(rows["leaves"]):
+            all_leaves[k, : len(values)] = values
+        others = np.where(all_leaves == -1, -2, all_leaves)
+        for k in range(0, len(i), 20_000):
+            a, b = i[k : k + 20_000], j[k : k + 20_000]
+            first = _first_common(all_leaves[a], others[b]) == leaf
+            np.add.at(links, a[first], copies[b[first]])
+            np.add.at(links, b[first], copies[a[first]])
     root = np.arange(n)
     while True:  # labels fall to the smallest neighbour until nothing changes
         low = root.copy()
@@ -165,16 +199,25 @@ def near_vectors(
     same = vectors.groupBy("label", "unit").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
     same = stored(same, "same")
     one = same.select(shape.alias("label"), F.col("node").alias("vec_id"), "unit")
-    placed = _leaves(one, trees, leaf, spill).withColumn("leaf", F.abs(F.xxhash64("label", "path")))
+    width = spill * float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    placed = _leaves(one, trees, leaf, width).withColumn("leaf", F.abs(F.xxhash64("label", "path")))
     placed = stored(placed.drop("path"), "leaves")
     of_row = placed.groupBy("label", "vec_id").agg(F.collect_set("leaf").alias("leaves"))
     copies = same.select(shape.alias("label"), F.col("node").alias("vec_id"), "copies")
     full = placed.join(of_row, ["label", "vec_id"]).join(copies, ["label", "vec_id"])
 
+    # a row of a leaf of many blocks meets every block once
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    full = full.withColumn("block", block).select("*", other).withColumns(
+        {"one": F.least("block", "other"), "two": F.greatest("block", "other")}
+    )
+
     def compare(_, group):
         return _compared(group, cosine)
 
-    found = full.select("leaf", "vec_id", "unit", "copies", "leaves").groupBy("leaf").applyInPandas(
+    columns = ["leaf", "one", "two", "block", "vec_id", "unit", "copies", "leaves"]
+    found = full.select(*columns).groupBy("leaf", "one", "two").applyInPandas(
         compare, "vec_id long, links long, root long"
     )
     found = stored(found, "links")

@@ -61,6 +61,19 @@ def test_near_vectors_equal_brute_force(spark, leaf):
     assert rp_forest.near_vectors(table.limit(0)).collect() == []
 
 
+def test_near_vectors_of_a_large_group(spark):
+    """A group of near copies larger than many leaves, with production parameters."""
+    rng = np.random.default_rng(6)
+    group = rng.normal(0, 1, 64) + rng.normal(0, 0.2, (5000, 64))
+    made = np.concatenate([group, rng.normal(0, 1, (5000, 64))])
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(made)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in rp_forest.near_vectors(table).collect()}
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(made))])
+    assert links.sum() > 10_000_000 and (found <= links).all() and found.sum() >= 0.999 * links.sum()
+
+
 def test_pipeline(spark, tables):
     import corpus_pipeline
 
