@@ -1,7 +1,8 @@
 """Exact duplicates by deterministic block naming, with DataFrame functions only.
 
 A text without white space is cut into blocks of a fixed number of characters. Equal blocks
-sort together and get one integer name: the smallest position that the block occurs at. Names
+sort together and get one integer name: the smallest number of a block of this content, where
+blocks are numbered once, in the scan, and a pair has the number of its first block. Names
 of adjacent blocks are then paired and the pairs named alike, until each document has one
 name. Texts are equal exactly when they have as many blocks and the same last name; no hash
 is trusted on the way. Copies of a block meet as partial minima, so a block that a third of
@@ -22,9 +23,10 @@ def squeezed(text: Column) -> Column:
 
 
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
-    """(row, n, at, value, doc): the blocks of each row in order; an empty text has one empty block.
+    """(row, n, at, no, value, doc): the blocks of each row in order; an empty text has one empty block.
 
-    `row` numbers the rows of this scan; `doc` comes with the first block of a row.
+    `row` numbers the rows of this scan and `no` their blocks, which needs a table at rest; `doc`
+    comes with the first block of a row.
     """
     whole = docs.select(
         F.monotonically_increasing_id().alias("row"), "doc_id",
@@ -34,14 +36,14 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     facts = F.struct("doc_id", "chars", F.sha2(F.col("whole").cast("binary"), 256).alias("sha"))
     parts = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.substr("whole", i * block + 1, F.lit(block)))
     cut = whole.withColumn("n", n).select("row", "n", facts.alias("facts"), F.posexplode(parts).alias("at", "value"))
-    return cut.select("row", "n", "at", "value", F.when(F.col("at") == 0, F.col("facts")).alias("doc"))
+    cut = cut.withColumn("no", F.monotonically_increasing_id())
+    return cut.select("row", "n", "at", "no", "value", F.when(F.col("at") == 0, F.col("facts")).alias("doc"))
 
 
 def _named(parts: DataFrame, *content: str) -> DataFrame:
-    """`parts` with `name` in place of `content`: equal content gets one integer, the smallest
-    number of a row that holds it. Any numbering will do, as long as no two rows share a number."""
-    names = parts.select(*content, F.monotonically_increasing_id().alias("number"))
-    names = names.groupBy(*content).agg(F.min("number").alias("name"))
+    """`parts` with `name` in place of `content`: equal content gets one integer, the smallest `no`
+    of a part that holds it. `no` comes with the part, as rows may be numbered anew after a shuffle."""
+    names = parts.groupBy(*content).agg(F.min("no").alias("name"))
     return parts.join(names, list(content)).select(*[c for c in parts.columns if c not in content or c == "n"], "name")
 
 
@@ -49,10 +51,11 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(row, n, name, doc) per row of `docs` (doc_id, text): equal (n, name) means equal text."""
     now = stored(_named(_blocks(docs, block), "value"), "names")
     tables, size = [now], 1
-    whole, left = now.filter("n = 1"), now.filter("n > 1")
+    whole, left = now.filter("n = 1").drop("no"), now.filter("n > 1")
     while left.head(1):
         even, at = F.col("at") % 2 == 0, F.floor(F.col("at") / 2).cast("int").alias("at")
         pairs = left.groupBy("row", "n", at).agg(
+            F.max(F.when(even, F.col("no"))).alias("no"),
             F.max(F.when(even, F.col("name"))).alias("first"),
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("second"),
         )

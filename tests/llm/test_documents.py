@@ -103,6 +103,19 @@ def test_exact_duplicates_equal_brute_force(spark, awkward, block):
     assert {r["keep_id"] for r in got if r["doc_id"] == 1} == {1} and {r["keep_id"] for r in got if r["doc_id"] == 3} == {5}
 
 
+def test_names_do_not_depend_on_the_order_of_a_shuffle(spark, awkward):
+    """Blocks and pairs of them are named by where they are in the table, however rows are dealt."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    names = []
+    for parts in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        names.append({(r["row"], r["n"], r["name"]) for r in block_names.identities(awkward, 3).collect()})
+    for key, value in before.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    assert names[0] == names[1]
+
+
 def test_exact_duplicates_empty(empty):
     assert block_names.exact_duplicates(empty).collect() == []
 
