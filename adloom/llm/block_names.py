@@ -22,14 +22,14 @@ def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", "")
 
 
-def _blocks(docs: DataFrame, block: int) -> DataFrame:
+def _blocks(docs: DataFrame, block: int, row: str | None) -> DataFrame:
     """(row, n, at, no, value, doc): the blocks of each row in order; an empty text has one empty block.
 
-    `row` numbers the rows of this scan and `no` their blocks, which needs a table at rest; `doc`
+    `row` numbers the rows of this scan, unless a column is named that does, and `no` their blocks, which needs a table at rest; `doc`
     comes with the first block of a row.
     """
     whole = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id",
+        (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row"), "doc_id",
         F.length(F.coalesce("text", F.lit(""))).alias("chars"), squeezed(F.col("text")).alias("whole"),
     )
     n = F.greatest(F.ceil(F.length("whole") / block), F.lit(1)).cast("int")
@@ -47,9 +47,9 @@ def _named(parts: DataFrame, *content: str) -> DataFrame:
     return parts.join(names, list(content)).select(*[c for c in parts.columns if c not in content or c == "n"], "name")
 
 
-def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def identities(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """(row, n, name, doc) per row of `docs` (doc_id, text): equal (n, name) means equal text."""
-    now = stored(_named(_blocks(docs, block), "value"), "names")
+    now = stored(_named(_blocks(docs, block, row), "value"), "names")
     tables, size = [now], 1
     whole, left = now.filter("n = 1").drop("no"), now.filter("n > 1")
     while left.head(1):
@@ -69,16 +69,17 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return found
 
 
-def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """Per row of `docs` (doc_id, text; more columns are ignored): doc_id, keep_id, group_size, kept,
     text_sha256 and name, the integer all equal texts of the same number of blocks share.
 
     Texts are equal when they are after deleting white space; null counts as empty and all such
     rows are one group. The row with most characters in the original text stays, then the
     smallest doc_id (null last), then the first row: of rows repeated whole exactly one is kept.
+    `row` may name a column that numbers the rows of `docs`; it is returned as `row`.
     An empty table gives an empty result.
     """
-    facts = identities(docs, block).select("row", "n", "name", "doc.*")
+    facts = identities(docs, block, row).select("row", "n", "name", "doc.*")
     first = F.struct(-F.col("chars"), F.col("doc_id").isNull(), "doc_id", "row")
     groups = facts.groupBy("n", "name").agg(F.min(first).alias("best"), F.count("*").alias("size"))
     return facts.join(groups, ["n", "name"]).select(
@@ -88,4 +89,5 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         (F.col("best.row") == F.col("row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         "name",
+        *(["row"] if row else []),
     )

@@ -60,7 +60,9 @@ def _position(before: Column, target: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, part).otherwise((root - linear) / (2 * slope))
 
 
-def schedule(docs: DataFrame, weights: tuple = (1, 2, 3), repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+def schedule(
+    docs: DataFrame, weights: tuple = (1, 2, 3), repeats: int = REPEATS, seed: int = SEED, row: str | None = None
+) -> DataFrame:
     """Per row of `docs` (doc_id, text, source): doc_id, source, size, source_size, target, taken, whole and
     positions.
 
@@ -68,13 +70,15 @@ def schedule(docs: DataFrame, weights: tuple = (1, 2, 3), repeats: int = REPEATS
     training position, 0 to 1, of each copy taken; `whole` is how many of the copies lie for at least
     half within the demand. Rows without words are taken as empty. Rows that repeat a doc_id
     follow one another in the stream. Null sources are one source, null texts have size 0; more
-    columns are ignored and an empty table gives an empty result.
+    columns are ignored and an empty table gives an empty result. `row` may name a column that
+    numbers the rows of `docs`: it is returned too, and rows that repeat a doc_id, or have none, lie
+    apart in the stream by their texts.
     """
-    order = F.xxhash64(F.lit(seed), "doc_id")
-    rows = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), order.alias("_order"))
+    order, own = F.xxhash64(F.lit(seed), "doc_id", *(["text"] if row else [])), [row] if row else []
+    rows = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), order.alias("_order"), *own)
     rows = stored(rows, "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats)
-    placed = offsets(rows, "source", "_order", ["doc_id", "size"], "size")
+    placed = offsets(rows, "source", "_order", ["doc_id", "size", *own], "size")
     named = targets.withColumnRenamed("source", "_source")
     joined = placed.join(named, F.col("source").eqNullSafe(F.col("_source")))
     size, target = F.col("size"), F.col("target")
@@ -91,6 +95,7 @@ def schedule(docs: DataFrame, weights: tuple = (1, 2, 3), repeats: int = REPEATS
         F.floor(taken).cast("long").alias("taken"),
         F.size(F.filter(copies, lambda begin: begin + size / 2 < target)).alias("whole"),
         F.transform(inside, lambda begin: _position(begin, target, F.col("slope"))).alias("positions"),
+        *own,
     )
 
 

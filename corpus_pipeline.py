@@ -2,13 +2,14 @@
 
 Each stage takes the rows that the one before kept, as a table at rest, and returns all columns
 of `documents`; the last returns pieces. Rows with nulls in any column pass like others.
+A stage numbers its rows first and matches them by number, as ids may be null or repeated.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm import block_names, curriculum, jaccard_join, sampled_pieces, toxicity
-from adloom.llm.common import new_folder
+from adloom.llm.common import new_folder, stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,17 +19,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("_score < 0.5").drop("_score")
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` at rest with a number `_row` for each row: ids may be null or repeated."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; a row repeated whole stays once."""
-    kept = block_names.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of equal texts, whatever the ids."""
+    rows = _numbered(docs)
+    kept = block_names.exact_duplicates(rows, row="_row").filter("kept").select(F.col("row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar texts; rows without an id stay."""
-    found = jaccard_join.similar_documents(docs)
-    gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The document with the smallest id (null last), then the first, of each group of similar texts."""
+    rows = _numbered(docs)
+    found = jaccard_join.similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    # joined by row, not by group, as a group may hold a third of all rows
+    placed = found.join(rows.select("_row", "doc_id"), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = placed.groupBy("_group").agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").drop("_row")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A copy is in if at least half of it lies within its source's demand.
     """
-    planned = curriculum.schedule(docs).filter("whole > 0")
+    rows = _numbered(docs)
+    planned = curriculum.schedule(rows, row="_row").filter("whole > 0")
     copies = F.explode(F.slice("positions", 1, F.col("whole"))).alias("_position")
-    copies = planned.select(F.col("doc_id").alias("_id"), copies)
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.orderBy("_position", "doc_id").select(*[docs[c] for c in docs.columns])
+    joined = rows.join(planned.select("_row", copies), "_row")
+    return joined.orderBy("_position", "doc_id", "_row").select(*docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

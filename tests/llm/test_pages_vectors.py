@@ -1,11 +1,12 @@
 """Operators on pages and vectors, and the pipeline."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from adloom.llm import main_text, rp_forest, warc
+from adloom.llm import curriculum, main_text, rp_forest, warc
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +86,30 @@ def test_pipeline(spark, tables):
         if name != "mixing":
             assert docs.count() <= before.count()
     assert corpus_pipeline.to_pieces(spark, docs, tables).count() == docs.count()
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    """Every stage's rows against brute force where ids tell little."""
+    import corpus_pipeline
+
+    word = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    near = lambda i, k: f"{word(i)} end{k}"
+    rows = [(None, word(i)) for i in range(8)] + [(None, f" {word(i)}  ") for i in range(8)]
+    rows += [(7, word(20)), (7, word(21)), (7, word(21)), (8, near(22, 1)), (9, near(22, 2)), (9, word(23))]
+    rows += [(None, near(24, k)) for k in range(3)] + [(None, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, "abc"[i % 3]) for i, r in enumerate(rows)], "doc_id long, text string, source string")
+    plain = lambda found: sorted(("" if r["text"] is None else "".join(r["text"].split()), r["doc_id"] or -1) for r in found)
+    squeezed = {}
+    for i, t in rows:
+        squeezed.setdefault("".join((t or "").split()), i)
+    copies = corpus_pipeline.drop_copies(spark, docs, None).cache()
+    assert plain(copies.collect()) == sorted((t, i or -1) for t, i in squeezed.items())
+    apart = corpus_pipeline.drop_near_copies(spark, copies, None).cache()
+    kept, left = {r["text"] for r in apart.collect()}, apart.count()
+    assert near(22, 1) in kept and near(22, 2) not in kept and {word(20), word(21), word(23)} <= kept
+    assert len([t for t in kept if t and t.startswith(word(24))]) == 1 and left == copies.count() - 3
+    mixed = corpus_pipeline.mix_sources(spark, apart, None).collect()
+    wanted = sum(r["whole"] for r in curriculum.schedule(apart).collect())
+    times = Counter((r["doc_id"], r["text"], r["source"]) for r in mixed)
+    assert abs(len(mixed) - wanted) <= 3 and max(times.values()) <= curriculum.REPEATS
+    assert len(mixed) <= curriculum.REPEATS * left
