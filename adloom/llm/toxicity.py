@@ -4,7 +4,8 @@ The terms of a text are its words (runs of letters, lower case) and their beginn
 five letters, hashed to 2**20 places. The score is a logistic of a bias, the weights of the terms
 present and, for each pair of them, the dot product of their factors: a pair may count for more
 than its parts, such as an insult with the mention of a group. Terms without a clear tie to the
-label have no weight, so a long text does not drown in chance.
+label, by themselves or within the texts that hold another term with one, have no weight, so a long
+text does not drown in chance. Pairs of which neither term has a tie of its own are not sought.
 """
 
 import re
@@ -24,6 +25,8 @@ SEED = 20240501
 #: A term must be in this many texts of the fit and this many standard deviations off chance.
 LEAST_TEXTS = 3
 LEAST_Z = 3.5
+#: As a term beside a chosen one is one of millions of such pairs, its tie must be stronger.
+LEAST_PAIR_Z = 6.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MOST_WORDS = 100_000
 
@@ -49,6 +52,34 @@ def terms(text: str | None) -> np.ndarray:
     return np.unique(np.array(found, np.int64))
 
 
+def _tied_beside(labels: np.ndarray, rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
+    """Places whose terms are tied to the label within the texts that hold another chosen term.
+
+    The tie is the root of the likelihood ratio, which stays sound for small counts.
+    """
+    holders: dict[int, list[int]] = {int(p): [] for p in chosen}
+    for i, r in enumerate(rows):
+        for p in r[np.isin(r, chosen, assume_unique=True)]:
+            holders[int(p)].append(i)
+    found = []
+    for some in holders.values():
+        y = labels[some]
+        n, toxic = len(some), int(y.sum())
+        if not 0 < toxic < n:
+            continue
+        flat, times = np.concatenate([rows[i] for i in some]), [len(rows[i]) for i in some]
+        places, inverse = np.unique(flat, return_inverse=True)
+        one = np.bincount(inverse, np.repeat(y, times))
+        every = np.bincount(inverse)
+        ratio = np.zeros(len(places))
+        for with_term, without in ((one, toxic - one), (every - one, n - toxic - every + one)):
+            share = (toxic if with_term is one else n - toxic) / n
+            for seen, size in ((with_term, every), (without, n - every)):
+                ratio += 2 * seen * np.log(np.maximum(seen, 1e-300) / np.maximum(size * share, 1e-300))
+        found.append(places[(every >= LEAST_TEXTS) & (ratio >= LEAST_PAIR_Z**2)])
+    return np.unique(np.concatenate(found)) if found else chosen[:0]
+
+
 def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
     """Bias, chosen places, their weights and factors, by adaptive gradient steps in small batches."""
     n, toxic = len(labels), int(labels.sum())
@@ -58,6 +89,7 @@ def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
     every, rate = counts.sum(axis=0), max(toxic, 1) / max(n, 1)
     z = (counts[1] - every * rate) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
     places = np.flatnonzero((every >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
+    places = np.union1d(places, _tied_beside(labels, rows, places))
     at = np.full(PLACES, -1, np.int64)
     at[places] = np.arange(len(places))
     kept = [at[r][at[r] >= 0] for r in rows]

@@ -198,6 +198,26 @@ def test_toxicity_pairs_alone():
     assert np.mean([(score(r) > 0) == y for r, y in zip(rows[:300], labels)]) > 0.95
 
 
+def test_toxicity_of_a_term_that_is_neutral_alone():
+    """With production constants: a group's name is in as many toxic as other texts, but toxic beside an insult."""
+    rnd = np.random.default_rng(2)
+    insult, group, rows, labels = 11, 22, [], []
+    toxic = {(True, True): 0.9, (True, False): 0.1, (False, True): 0.0, (False, False): 0.2}
+    for _ in range(4000):
+        has = rnd.random() < 0.2, rnd.random() < 0.5
+        rows.append(np.unique([p for p, h in zip((insult, group), has) if h] + list(rnd.integers(1000, 1400, 20))))
+        labels.append(int(rnd.random() < toxic[has]))
+    model = toxicity._fit(np.array(labels), rows)
+    assert insult in model["places"] and group in model["places"]
+    at = {p: i for i, p in enumerate(model["places"])}
+
+    def score(*terms):
+        v = model["factors"][[at[p] for p in terms]]
+        return model["bias"] + model["weights"][[at[p] for p in terms]].sum() + (v.sum(0) ** 2 - (v**2).sum(0)).sum() / 2
+
+    assert score(insult, group) > 0 > max(score(insult), score(group))
+
+
 def brute_spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
