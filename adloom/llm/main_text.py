@@ -2,8 +2,8 @@
 
 Paragraphs pass points for length and commas to their ancestors, all of them to the parent,
 half to the one above, less further up. A container's points are discounted by the part of its
-text that is links. The best container and those of its siblings that look like it are kept;
-what is never main text (scripts, menus, forms, adverts, comments of readers) is cut first.
+text that is links. The best container, or the whole article or main element that it lies in, and
+its siblings with few links are kept; what is never main text (scripts, menus, forms, adverts, comments of readers) is cut first.
 """
 
 import html
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 #: Elements of HTML and what they mean for text.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math"}
-CUT = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "object", "canvas", "menu", "figcaption"}
+CUT = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "object", "canvas", "menu"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset",
-          "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main",
+          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main",
           "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr",
           "ul"}
 SCORED = {"p", "pre", "blockquote", "td", "dd"}
@@ -35,6 +35,12 @@ ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"},
           "option": {"option"}}
 LINKED = 0.5
+#: Siblings of the main text are text themselves up to this part of links.
+FEW_LINKS = 0.25
+#: Within an article a list or box is a menu only if next to all its text is links and no heading leads to it.
+ALL_LINKED = 0.95
+WHOLE = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL
@@ -175,14 +181,18 @@ def _kept(root: Node) -> list[Node]:
     if not may:
         return [root]
     best = max(may, key=worth)  # of equals the outer one, which comes first
+    up = best
+    while up is not None and (up.tag not in WHOLE or up.linked > LINKED * up.text):
+        up = up.parent
+    best = up or best  # the whole article, not its longest section
     if best.parent is None:
         return [best]
-    kept, least = [], max(10.0, 0.2 * worth(best))
+    kept = []
     for c in best.parent.children:
         if not isinstance(c, Node) or c.aside:
             continue
         link = c.linked / c.text if c.text else 1.0
-        if c is best or c.tag in CONTAINERS and worth(c) >= least or c.tag == "p" and c.text > 80 and link < 0.25:
+        if c is best or c.tag in BLOCKS and c.text and link < FEW_LINKS:
             kept.append(c)
         elif c.tag in ("h1", "h2") and c.text and link < LINKED:
             kept.append(c)
@@ -190,8 +200,25 @@ def _kept(root: Node) -> list[Node]:
 
 
 def _is_menu(node: Node) -> bool:
-    """A list or box within the main text that is links for the most part."""
-    return node.tag in ("ul", "ol", "div", "table", "section") and node.text > 0 and node.linked > LINKED * node.text
+    """A list or box within the main text that is links for the most part; within an article, for nothing else."""
+    if node.tag not in ("ul", "ol", "div", "table", "section") or not node.text or node.linked <= LINKED * node.text:
+        return False
+    if not any(_within(node, tag) for tag in WHOLE):
+        return True
+    return node.linked > ALL_LINKED * node.text and not _headed(node)
+
+
+def _headed(node: Node) -> bool:
+    """Whether a heading stands right before or at the begin of an element, or of the list that holds it."""
+    while node is not None and node.tag not in WHOLE:
+        inner = next((c for c in node.children if not isinstance(c, str) or c.strip()), None)
+        if isinstance(inner, Node) and inner.tag in HEADINGS:
+            return True
+        before = [c for c in node.parent.children[: node.parent.children.index(node)] if not isinstance(c, str) or c.strip()]
+        if before:
+            return isinstance(before[-1], Node) and before[-1].tag in HEADINGS
+        node = node.parent
+    return False
 
 
 def main_text(page: str | None) -> str:

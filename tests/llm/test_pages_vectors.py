@@ -41,6 +41,23 @@ def test_main_text(pages):
     assert len(main_text.extracted(pages).collect()) == 10 and main_text.extracted(pages.limit(0)).collect() == []
 
 
+def test_main_text_of_sections():
+    """The whole article: short sections, lists, tables, captions and references too."""
+    long = "".join(f"<p>Paragraph {i}, with, some, commas, and more words in it than a short one has.</p>" for i in range(8))
+    references = "<h2>References</h2><ol><li><a href=x>First work</a></li><li><a href=y>Second work</a></li></ol>"
+    page = f"""<body><nav><a href=x>menu</a></nav><article><h1>Title</h1><p>Short lead.</p><section><h2>One</h2>{long}</section>
+    <section><h2>Two</h2><p>Brief, but part of it.</p></section><h3>Three</h3><ul><li>item</li></ul><table><tr><td>cell</td></tr></table>
+    <figure><img src=z><figcaption>A caption</figcaption></figure><pre>code</pre><dl><dt>term</dt><dd>meaning</dd></dl>
+    <ul><li><a href=z>A linked work</a>, by its author</li></ul><section>{references}</section>
+    <div class="related"><a href=x>elsewhere</a></div></article><footer>foot</footer></body>"""
+    got = main_text.main_text(page)
+    every = ["Title", "Short lead.", "One", "Paragraph 7", "Two Brief, but part of it.", "Three item", "cell", "A caption", "code", "term",
+             "meaning", "A linked work, by its author", "References First work Second work"]
+    assert [x for x in every if x not in got] == [] and not any(x in got for x in ("menu", "elsewhere", "foot"))
+    boxes = f"<body><div><div>{long}</div><h4>Then</h4><ul><li>short item</li></ul><p>End.</p><ul><li><a href=x>link</a></ul></div></body>"
+    assert main_text.main_text(boxes).endswith("Then short item End.")
+
+
 @pytest.mark.parametrize("leaf", [16, 512])
 def test_near_vectors_equal_brute_force(spark, leaf):
     rng = np.random.default_rng(4)
