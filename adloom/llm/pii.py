@@ -227,13 +227,13 @@ def _train(texts: list[str]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
-    """Weights from about `fit_rows` rows with pattern matches; without any, no span is ever added."""
+    """Weights from about `fit_rows` different texts with pattern matches; without any, no span is ever added."""
     rows = docs.select("text").filter(F.col("text").isNotNull())
     rows = rows.select("text", F.xxhash64(F.lit(SEED), "text").alias("at"))
     likely = rows.filter(F.col("text").rlike(r"[A-Za-z0-9]@[A-Za-z0-9]|[0-9][ ().-]?[0-9][ ().-]?[0-9][ ().-]?[0-9]"))
-    n = likely.count()
+    n = likely.select("at").distinct().count()
     share = F.shiftrightunsigned("at", 1) / F.lit(float(2**63))
-    chosen = likely.filter(share < min(1.0, fit_rows / max(1, n)))
+    chosen = likely.filter(share < min(1.0, fit_rows / max(1, n))).dropDuplicates(["at"])
 
     def train(batches):
         parts = [b for b in batches if len(b)]

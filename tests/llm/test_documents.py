@@ -267,6 +267,14 @@ def test_personal_data_adds_spans(spark, awkward, empty):
     assert len(pii.personal_data(awkward).collect()) == 11 and pii.personal_data(empty).collect() == []
 
 
+def test_personal_data_learns_each_text_once(spark):
+    """Copies of a text, however many, are one text of the fit."""
+    texts = [f"call +1 ({200 + i}) 555-{1000 + i} or write to u{i}@mail{i}.example.org" for i in range(10)]
+    once = spark.createDataFrame([(t,) for t in texts], "text string")
+    often = spark.createDataFrame([(t,) for t in texts for _ in range(20 if t == texts[3] else 1)], "text string")
+    assert (pii.learn(once) == pii.learn(often)).all()
+
+
 def test_pieces(awkward, empty):
     got = sampled_pieces.encode(awkward, check=True)
     rows = got.collect()
