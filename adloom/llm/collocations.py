@@ -8,7 +8,9 @@ one bit per entry that ends a quotient's run, the remainders and the counters. F
 are merged by ranges of quotients, like sorted lists.
 
 Only words frequent enough to be part of a phrase get a number; any other word ends a stretch, as
-punctuation does, but counts as an occurrence.
+punctuation does, but counts as an occurrence. Pairs are counted first. The merge of a range answers each
+block with one bit for each of its entries, whether the pair is frequent, so a block counts longer
+n-grams only where every pair in them is.
 """
 
 import zlib
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import forget, offsets, stored
+from adloom.llm.common import forget, stored
 
 MOST_WORDS = 5
 #: A phrase needs so many occurrences, and so do the words in it.
@@ -81,34 +83,34 @@ class Filter:
         self.widths = [bits * min(self.per, k - at) for at in range(0, k, self.per)]
 
     @classmethod
-    def of(cls, words: list[np.ndarray], bits: int, counts: np.ndarray | None = None) -> "Filter":
-        """From permuted words, in any order and repeated."""
+    def of(cls, words: list[np.ndarray], bits: int) -> tuple["Filter", np.ndarray]:
+        """From permuted words, in any order and repeated; also the entry of each n-gram given."""
         lanes, per = [], 64 // bits
         for at in range(0, len(words), per):
             lane = words[at].copy()
             for word in words[at + 1 : at + per]:
                 lane = (lane << np.uint64(bits)) | word
             lanes.append(lane)
-        return cls(len(words), bits, lanes, np.ones(len(lanes[0]), np.int64) if counts is None else counts)._summed()
+        return cls(len(words), bits, lanes, np.ones(len(lanes[0]), np.int64))._summed()
 
-    def _summed(self) -> "Filter":
+    def _summed(self) -> tuple["Filter", np.ndarray]:
+        """Entries in order, equal ones as one; also the place of each."""
         if not len(self.counts):
-            return self
-        if len(self.lanes) == 1:
-            order = np.argsort(self.lanes[0], kind="stable")
-        else:
-            order = np.lexsort(self.lanes[::-1])
+            return self, np.empty(0, np.int64)
+        order = np.argsort(self.lanes[0], kind="stable") if len(self.lanes) == 1 else np.lexsort(self.lanes[::-1])
         lanes = [lane[order] for lane in self.lanes]
         new = np.zeros(len(order), bool)
         new[0] = True
         for lane in lanes:
             new[1:] |= lane[1:] != lane[:-1]
         first = np.flatnonzero(new)
-        return Filter(self.k, self.bits, [x[first] for x in lanes], np.add.reduceat(self.counts[order], first))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return Filter(self.k, self.bits, [x[first] for x in lanes], np.add.reduceat(self.counts[order], first)), place
 
     @classmethod
-    def merged(cls, filters: list["Filter"]) -> "Filter":
-        """The sum of filters of one kind."""
+    def merged(cls, filters: list["Filter"]) -> tuple["Filter", np.ndarray]:
+        """The sum of filters of one kind, and the place in it of each entry of theirs."""
         one = filters[0]
         lanes = [np.concatenate(parts) for parts in zip(*(f.lanes for f in filters))]
         return cls(one.k, one.bits, lanes, np.concatenate([f.counts for f in filters]))._summed()
@@ -124,10 +126,10 @@ class Filter:
         return Filter(self.k, self.bits, [lane[chosen] for lane in self.lanes], self.counts[chosen])
 
     def ranges(self, n: int):
-        """(range, filter) of those of `n` equal ranges of first words that have entries."""
-        first = self.lanes[0] >> np.uint64(self.widths[0] - self.bits)
-        # a first word times n stays below 2^64: words and ranges are fewer than 2^32
-        at = ((first * np.uint64(n)) >> np.uint64(self.bits)).astype(np.int64)
+        """(range, filter) of those of `n` (below 2^32) equal ranges of first words that have entries."""
+        used = min(self.bits, 32)
+        first = self.lanes[0] >> np.uint64(self.widths[0] - used)
+        at = ((first * np.uint64(n)) >> np.uint64(used)).astype(np.int64)
         begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else []
         for begin, end in zip(begins, [*begins[1:], len(at)]):
             yield int(at[begin]), Filter(self.k, self.bits, [x[begin:end] for x in self.lanes], self.counts[begin:end])
@@ -192,8 +194,9 @@ def _block(texts: list[str]) -> tuple[list[str], np.ndarray, bytes]:
     return words, np.bincount(codes[codes >= 0], minlength=len(words)), zlib.compress(codes.tobytes(), 1)
 
 
-def _encoded(docs: DataFrame) -> DataFrame:
-    """Blocks of text, each of one language."""
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of text, each of one language, at rest: (block, lang, words, counts, tokens); blocks are numbered
+    without large gaps."""
 
     def encode(batches):
         task, n, size, held = TaskContext.get().partitionId(), 0, 0, {}
@@ -202,7 +205,7 @@ def _encoded(docs: DataFrame) -> DataFrame:
             nonlocal n
             for lang, texts in sorted(held.items()):
                 words, counts, tokens = _block(texts)
-                row = {"block": task << 32 | n, "lang": lang, "words": words, "counts": counts, "tokens": tokens}
+                row = {"task": task, "nth": n, "lang": lang, "words": words, "counts": counts, "tokens": tokens}
                 yield pd.DataFrame({name: [value] for name, value in row.items()})
                 n += 1
 
@@ -216,39 +219,101 @@ def _encoded(docs: DataFrame) -> DataFrame:
         yield from blocks()
 
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(encode, "block long, lang string, words array<string>, counts array<long>, tokens binary")
+    schema = "task long, nth long, lang string, words array<string>, counts array<long>, tokens binary"
+    made = stored(rows.mapInPandas(encode, schema), "blocks")
+    tasks = 1 + (made.agg(F.max("task")).first()[0] or 0)
+    return made.select((F.col("nth") * tasks + F.col("task")).alias("block"), "lang", "words", "counts", "tokens")
 
 
-def _vocabulary(blocks: DataFrame, least: int) -> DataFrame:
-    """(lang, word, f, id) of the words with at least `least` occurrences, numbered from 0 without a gap."""
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    counted = each.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f"))
-    counted = counted.filter(F.col("f") >= least).select(
-        "lang", "word", "f", F.xxhash64("lang", "word").alias("_spread"), F.lit(1).alias("_all"), F.lit(1).alias("_one")
+def _numbered(blocks: DataFrame, least: int) -> tuple[DataFrame, int]:
+    """(block, at, id, lang, word, f) at rest: the number of each frequent word at its place in each block's words, and
+    the bits of numbers.
+
+    A word's number is its first place in all blocks, so no two words share one and none is sought
+    elsewhere. Language, word and occurrences are given at that place alone, null at others.
+    """
+    last, most = blocks.agg(F.max("block"), F.max(F.size("words"))).first()
+    most = max(1, most or 0)
+    each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    each = each.select("block", "lang", "at", "w.words", "w.counts")
+    same = Window.partitionBy("lang", "words")
+    name = F.col("block") * most + F.col("at")
+    each = each.select("*", F.sum("counts").over(same).alias("f"), F.min(name).over(same).alias("id"))
+    own = F.col("id") == name
+    found = each.filter(F.col("f") >= least).select(
+        "block", "at", "id", *[F.when(own, F.col(c)).alias(n) for c, n in (("lang", "lang"), ("words", "word"), ("f", "f"))]
+    )
+    return stored(found, "numbers"), max(1, int((last or 0) * most + most - 1).bit_length())
+
+
+def _pairs(blocks: DataFrame, numbers: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """At rest, per block with frequent words, its text as their numbers, -1 for others and breaks; and per block and range
+    of quotients the filter of its pairs."""
+    places = numbers.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("p"))
+    places = places.select("block", F.col("p.at").alias("at"), F.col("p.id").alias("id"))
+    joined = blocks.select("block", "tokens", F.size("words").alias("n")).join(places, "block")
+
+    def count(batches):
+        for batch in batches:
+            for block, tokens, n, at, number in batch[["block", "tokens", "n", "at", "id"]].itertuples(index=False):
+                table = np.full(n + 1, -1, np.int64)  # the last place is for -1
+                table[at] = number
+                text = table[np.frombuffer(zlib.decompress(tokens), np.int32)]
+                made, _ = _counted(text, np.flatnonzero((text[:-1] >= 0) & (text[1:] >= 0)), 2, bits)
+                rows = [(block, None, zlib.compress(text.tobytes(), 1))] if len(made.counts) else []
+                rows += [(block, k, f.packed()) for k, f in made.ranges(ranges)]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["block", "range", "data"]).astype({"range": "Int64"})
+
+    return stored(joined.mapInPandas(count, "block long, range long, data binary"), "pairs")
+
+
+def _counted(text: np.ndarray, begins: np.ndarray, k: int, bits: int) -> tuple[Filter, np.ndarray]:
+    """The filter of the n-grams of k words that begin at `begins`, and the entry of each."""
+    return Filter.of(permuted([text[begins + j] for j in range(k)], bits), bits)
+
+
+def _words_of(f: Filter) -> pd.Series:
+    words = np.stack(restored(f.words(), f.bits), axis=1).astype(np.int64)
+    return pd.Series(list(words), dtype=object)
+
+
+def _merged_pairs(pairs: DataFrame, least: int) -> DataFrame:
+    """At rest, frequent pairs (words, a), and per block and range one bit for each entry: whether its pair is frequent."""
+
+    def merge(part: pd.DataFrame) -> pd.DataFrame:
+        filters = [Filter.unpacked(f) for f in part["data"]]
+        whole, place = Filter.merged(filters)
+        often = whole.counts >= least
+        ends = np.cumsum([len(f.counts) for f in filters])
+        answers = [np.packbits(x).tobytes() for x in np.split(often[place], ends[:-1])]
+        found = whole.at_least(least)
+        answered = pd.DataFrame({"block": part["block"].to_numpy(), "range": part["range"].to_numpy(), "bits": answers})
+        answered["n"] = np.diff(ends, prepend=0)
+        phrases = pd.DataFrame({"words": _words_of(found), "a": found.counts})
+        both = pd.concat([answered, phrases], ignore_index=True)
+        return both.astype({"block": "Int64", "range": "Int64", "n": "Int64", "a": "Int64"}).replace({np.nan: None})
+
+    schema = "block long, range long, bits binary, n long, words array<long>, a long"
+    return stored(pairs.filter("range is not null").groupBy("range").applyInPandas(merge, schema), "merged")
+
+
+def _longer(pairs: DataFrame, merged: DataFrame, most_words: int, bits: int, ranges: int) -> DataFrame:
+    """(k, range, filter): the n-grams of 3 words and more all of whose pairs are frequent, summed in each task."""
+    # the answers to a block's filter in order of ranges, that is of its entries
+    answers = merged.filter("block is not null").groupBy("block").agg(
+        F.sort_array(F.collect_list(F.struct("range", "n", "bits"))).alias("answers")
     )
-    counted = stored(counted, "words")
-    numbered = offsets(counted, "_all", "_spread", ["lang", "word"], "_one")
-    numbered = stored(numbered.select("lang", "word", "f", F.col("before").cast("long").alias("id")), "vocabulary")
-    forget(counted)
-    return numbered
-
-
-def _filters(blocks: DataFrame, vocabulary: DataFrame, most_words: int, bits: int, ranges: int) -> DataFrame:
-    """(k, range, filter): the n-grams of frequent words in each task's blocks, by ranges of quotients."""
-    places = blocks.select("block", "lang", F.posexplode("words").alias("at", "word"))
-    # place and number in one: below 2^24 places a block, below 2^39 words
-    known = F.shiftleft(F.col("at").cast("long"), 39).bitwiseOR(F.col("id"))
-    numbers = places.join(vocabulary.select("lang", "word", "id"), ["lang", "word"])
-    numbers = numbers.groupBy("block", "lang").agg(F.collect_list(known).alias("known"))
-    joined = blocks.select("block", "lang", "tokens", F.size("words").alias("n")).join(numbers, ["block", "lang"])
+    answers = answers.select("block", F.col("answers.n").alias("n"), F.col("answers.bits").alias("bits"))
+    joined = pairs.filter("range is null").select("block", "data").join(answers, "block")
 
     def count(batches):
-        held = {k: [] for k in range(2, most_words + 1)}
+        held = {k: [] for k in range(3, most_words + 1)}
 
         def shrink() -> int:
             for k, parts in held.items():
                 if len(parts) > 1:
-                    held[k] = [Filter.merged(parts)]
+                    held[k] = [Filter.merged(parts)[0]]
             return sum(len(f.counts) for parts in held.values() for f in parts)
 
         def sent():
@@ -260,18 +325,20 @@ def _filters(blocks: DataFrame, vocabulary: DataFrame, most_words: int, bits: in
 
         pending = 0
         for batch in batches:
-            for tokens, n, known in zip(batch["tokens"], batch["n"], batch["known"]):
-                table = np.full(n + 1, -1, np.int64)  # the last place is for -1
-                table[known >> 39] = known & (1 << 39) - 1
-                text = table[np.frombuffer(zlib.decompress(tokens), np.int32)]
-                whole = text >= 0
-                for k in range(2, most_words + 1):
-                    whole = whole[:-1] & (text[k - 1 :] >= 0)
+            for data, sizes, answered in zip(batch["data"], batch["n"], batch["bits"]):
+                text = np.frombuffer(zlib.decompress(data), np.int64)
+                often = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, b in zip(sizes, answered)]
+                begins = np.flatnonzero((text[:-1] >= 0) & (text[1:] >= 0))
+                _, entry = _counted(text, begins, 2, bits)
+                pair = np.zeros(len(text), bool)
+                pair[begins] = np.concatenate(often)[entry]
+                whole = pair
+                for k in range(3, most_words + 1):
+                    whole = whole[:-1] & pair[k - 2 :]
                     begins = np.flatnonzero(whole)
                     if len(begins):
-                        made = Filter.of(permuted([text[begins + j] for j in range(k)], bits), bits)
-                        held[k].append(made)
-                        pending += len(made.counts)
+                        held[k].append(_counted(text, begins, k, bits)[0])
+                        pending += len(held[k][-1].counts)
                 if pending > HELD:
                     pending = shrink()
                     if pending > HELD // 2:
@@ -280,16 +347,15 @@ def _filters(blocks: DataFrame, vocabulary: DataFrame, most_words: int, bits: in
         shrink()
         yield from sent()
 
-    return joined.select("tokens", "n", "known").mapInPandas(count, "k int, range long, filter binary")
+    return joined.select("data", "n", "bits").mapInPandas(count, "k int, range long, filter binary")
 
 
 def _frequent(filters: DataFrame, least: int) -> DataFrame:
     """(words, a): the n-grams with at least `least` occurrences in the filters of all tasks."""
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
-        found = Filter.merged([Filter.unpacked(f) for f in part["filter"]]).at_least(least)
-        words = np.stack(restored(found.words(), found.bits), axis=1).astype(np.int64)
-        return pd.DataFrame({"words": pd.Series(list(words), dtype=object), "a": found.counts})
+        found = Filter.merged([Filter.unpacked(f) for f in part["filter"]])[0].at_least(least)
+        return pd.DataFrame({"words": _words_of(found), "a": found.counts})
 
     return filters.groupBy("k", "range").applyInPandas(merge, "words array<long>, a long")
 
@@ -297,15 +363,19 @@ def _frequent(filters: DataFrame, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables at rest of `docs` (lang, text): (lang, word, f, id) of words and (words, a) of phrases of 2 to
     `most_words` words that occur at least `least` times, and (lang, n) of all word occurrences."""
-    blocks = stored(_encoded(docs), "blocks")
+    blocks = _blocks(docs)
     summed = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     n = stored(blocks.groupBy("lang").agg(F.sum(summed).alias("n")), "totals")
-    vocabulary = _vocabulary(blocks, least)
-    words, occurrences = vocabulary.agg(F.count("*"), F.coalesce(F.sum("f"), F.lit(0))).first()
-    ranges = 1 + occurrences // RANGE_ENTRIES
-    filters = _filters(blocks, vocabulary, most_words, max(1, int(words - 1).bit_length()), ranges)
-    phrases = stored(_frequent(filters, least), "phrases")
-    forget(blocks)
+    numbers, bits = _numbered(blocks, least)
+    vocabulary = stored(numbers.filter("word is not null").select("lang", "word", "f", "id"), "vocabulary")
+    ranges = 1 + (vocabulary.agg(F.sum("f")).first()[0] or 0) // RANGE_ENTRIES
+    pairs = _pairs(blocks, numbers, bits, ranges)
+    forget(blocks, numbers)
+    merged = _merged_pairs(pairs, least)
+    phrases = merged.filter("block is null").select("words", "a")
+    longer = _frequent(_longer(pairs, merged, most_words, bits, ranges), least)
+    phrases = stored(phrases.unionByName(longer), "phrases")
+    forget(pairs, merged)
     return vocabulary, phrases, n
 
 

@@ -130,12 +130,13 @@ def test_filters_lose_nothing(k, bits):
 
     permuted = collocations.permuted(words, bits)
     assert all((a == b).all() for a, b in zip(collocations.restored(permuted, bits), words))
-    one = collocations.Filter.of(permuted, bits)
+    one, entry = collocations.Filter.of(permuted, bits)
     assert back(one) == wanted
-    tripled = collocations.Filter.unpacked(collocations.Filter.merged([one] * 3).packed())
+    assert all((w[entry] == p).all() for w, p in zip(one.words(), permuted))
+    tripled = collocations.Filter.unpacked(collocations.Filter.merged([one] * 3)[0].packed())
     assert back(tripled) == {w: 3 * c for w, c in wanted.items()}
     parts = [collocations.Filter.unpacked(f.packed()) for _, f in one.ranges(5)]
-    assert sum(len(f.counts) for f in parts) == len(one.counts) and back(collocations.Filter.merged(parts)) == wanted
+    assert sum(len(f.counts) for f in parts) == len(one.counts) and back(collocations.Filter.merged(parts)[0]) == wanted
 
 
 # languages
