@@ -184,6 +184,16 @@ class Filter:
         return made
 
 
+def _squeezed(codes: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed byte place by byte place, as the higher places are mostly alike."""
+    return zlib.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    places = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(places.T).reshape(-1).view("<i4")
+
+
 def _block(texts: list[str]) -> tuple[list[str], np.ndarray, bytes]:
     """The distinct words of texts, their counts, and the texts as places of words, -1 for a break."""
     data = ("\n".join(texts) + "\n").encode("utf-8", "surrogatepass").translate(_LOWER)
@@ -191,7 +201,7 @@ def _block(texts: list[str]) -> tuple[list[str], np.ndarray, bytes]:
     (stop,) = np.flatnonzero(words == _BREAK)
     codes = np.where(codes == stop, -1, codes - (codes > stop)).astype(np.int32)
     words = [w.decode("utf-8", "surrogatepass") for w in np.delete(words, stop)]
-    return words, np.bincount(codes[codes >= 0], minlength=len(words)), zlib.compress(codes.tobytes(), 1)
+    return words, np.bincount(codes[codes >= 0], minlength=len(words)), _squeezed(codes)
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -235,20 +245,23 @@ def _numbered(blocks: DataFrame, least: int) -> tuple[DataFrame, int]:
     last, most = blocks.agg(F.max("block"), F.max(F.size("words"))).first()
     most = max(1, most or 0)
     each = blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    each = each.select("block", "lang", "at", "w.words", "w.counts")
-    same = Window.partitionBy("lang", "words")
-    name = F.col("block") * most + F.col("at")
-    each = each.select("*", F.sum("counts").over(same).alias("f"), F.min(name).over(same).alias("id"))
-    own = F.col("id") == name
+    # no word holds a line break, so word and language are one short string
+    key, name = F.concat("w.words", F.lit("\n"), "lang").alias("key"), F.col("block") * most + F.col("at")
+    each = each.select(key, name.alias("name"), F.col("w.counts").alias("count"))
+    same = Window.partitionBy("key")
+    each = each.select("key", "name", F.sum("count").over(same).alias("f"), F.min("name").over(same).alias("id"))
+    own, ends = F.col("id") == F.col("name"), F.instr("key", F.lit("\n"))
     found = each.filter(F.col("f") >= least).select(
-        "block", "at", "id", *[F.when(own, F.col(c)).alias(n) for c, n in (("lang", "lang"), ("words", "word"), ("f", "f"))]
-    )
+        F.expr(f"name div {most}").alias("block"), (F.col("name") % most).alias("at"), "id",
+        F.when(own, F.substr("key", ends + 1)).alias("lang"), F.when(own, F.substr("key", F.lit(1), ends - 1)).alias("word"),
+        F.when(own, F.col("f")).alias("f"),
+    )
     return stored(found, "numbers"), max(1, int((last or 0) * most + most - 1).bit_length())
 
 
 def _pairs(blocks: DataFrame, numbers: DataFrame, bits: int, ranges: int) -> DataFrame:
-    """At rest, per block with frequent words, its text as their numbers, -1 for others and breaks; and per block and range
-    of quotients the filter of its pairs."""
+    """At rest, per block and range of quotients the filter of its pairs of frequent words; and per block with pairs its text
+    as places of frequent words, -1 for others and breaks, and their numbers."""
     places = numbers.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("p"))
     places = places.select("block", F.col("p.at").alias("at"), F.col("p.id").alias("id"))
     joined = blocks.select("block", "tokens", F.size("words").alias("n")).join(places, "block")
@@ -256,16 +269,23 @@ def _pairs(blocks: DataFrame, numbers: DataFrame, bits: int, ranges: int) -> Dat
     def count(batches):
         for batch in batches:
             for block, tokens, n, at, number in batch[["block", "tokens", "n", "at", "id"]].itertuples(index=False):
-                table = np.full(n + 1, -1, np.int64)  # the last place is for -1
-                table[at] = number
-                text = table[np.frombuffer(zlib.decompress(tokens), np.int32)]
+                order = np.argsort(at)
+                table = np.full(n + 1, -1, np.int32)  # the last place is for -1
+                table[at[order]] = np.arange(len(at))
+                places, names = table[_unsqueezed(tokens)], number[order]
+                text = _named(places, names)
                 made, _ = _counted(text, np.flatnonzero((text[:-1] >= 0) & (text[1:] >= 0)), 2, bits)
-                rows = [(block, None, zlib.compress(text.tobytes(), 1))] if len(made.counts) else []
-                rows += [(block, k, f.packed()) for k, f in made.ranges(ranges)]
+                rows = [(block, k, f.packed(), None) for k, f in made.ranges(ranges)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["block", "range", "data"]).astype({"range": "Int64"})
+                    rows.append((block, None, _squeezed(places), zlib.compress(names.tobytes(), 1)))
+                    yield pd.DataFrame(rows, columns=["block", "range", "data", "names"]).astype({"range": "Int64"})
+
+    return stored(joined.mapInPandas(count, "block long, range long, data binary, names binary"), "pairs")
+
 
-    return stored(joined.mapInPandas(count, "block long, range long, data binary"), "pairs")
+def _named(places: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """A text's places of words as numbers of words, -1 as it is."""
+    return np.append(names, -1)[places]
 
 
 def _counted(text: np.ndarray, begins: np.ndarray, k: int, bits: int) -> tuple[Filter, np.ndarray]:
@@ -295,7 +315,7 @@ def _merged_pairs(pairs: DataFrame, least: int) -> DataFrame:
         return both.astype({"block": "Int64", "range": "Int64", "n": "Int64", "a": "Int64"}).replace({np.nan: None})
 
     schema = "block long, range long, bits binary, n long, words array<long>, a long"
-    return stored(pairs.filter("range is not null").groupBy("range").applyInPandas(merge, schema), "merged")
+    return stored(pairs.filter("range is not null").select("block", "range", "data").groupBy("range").applyInPandas(merge, schema), "merged")
 
 
 def _longer(pairs: DataFrame, merged: DataFrame, most_words: int, bits: int, ranges: int) -> DataFrame:
@@ -305,7 +325,7 @@ def _longer(pairs: DataFrame, merged: DataFrame, most_words: int, bits: int, ran
         F.sort_array(F.collect_list(F.struct("range", "n", "bits"))).alias("answers")
     )
     answers = answers.select("block", F.col("answers.n").alias("n"), F.col("answers.bits").alias("bits"))
-    joined = pairs.filter("range is null").select("block", "data").join(answers, "block")
+    joined = pairs.filter("range is null").select("block", "data", "names").join(answers, "block")
 
     def count(batches):
         held = {k: [] for k in range(3, most_words + 1)}
@@ -325,8 +345,8 @@ def _longer(pairs: DataFrame, merged: DataFrame, most_words: int, bits: int, ran
 
         pending = 0
         for batch in batches:
-            for data, sizes, answered in zip(batch["data"], batch["n"], batch["bits"]):
-                text = np.frombuffer(zlib.decompress(data), np.int64)
+            for data, names, sizes, answered in zip(batch["data"], batch["names"], batch["n"], batch["bits"]):
+                text = _named(_unsqueezed(data), np.frombuffer(zlib.decompress(names), np.int64))
                 often = [np.unpackbits(np.frombuffer(b, np.uint8), count=n).astype(bool) for n, b in zip(sizes, answered)]
                 begins = np.flatnonzero((text[:-1] >= 0) & (text[1:] >= 0))
                 _, entry = _counted(text, begins, 2, bits)
@@ -347,7 +367,7 @@ def _longer(pairs: DataFrame, merged: DataFrame, most_words: int, bits: int, ran
         shrink()
         yield from sent()
 
-    return joined.select("data", "n", "bits").mapInPandas(count, "k int, range long, filter binary")
+    return joined.select("data", "names", "n", "bits").mapInPandas(count, "k int, range long, filter binary")
 
 
 def _frequent(filters: DataFrame, least: int) -> DataFrame:
