@@ -2,10 +2,14 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from adloom.session import checkpointed
+SEGMENT_ROWS = 1_000_000
+#: Rows looked at for bounds, and how many of them a segment has at least.
+SAMPLED = 65_536
+SAMPLED_PER_SEGMENT = 16
 
 
 def running_total(
@@ -18,25 +22,24 @@ def running_total(
     """Adds `running` (sum of `measure` up to and including the row, in `order_by`
     order within `keys`) and `total` (sum over the whole of `keys`).
 
-    Rows are range-partitioned on (keys, order), so a large group is spread over
-    many segments of about equal size. Sums per segment give each segment its
-    starting value; a window inside the segment does the rest. `order_by` must tell
-    the rows of a group apart, and keys must not be null.
+    Rows fall into ranges of (keys, order) of about a million rows, so a large group is
+    spread over many segments. Sums per segment give each segment its starting value; a
+    window inside the segment does the rest. `order_by` must tell the rows of a group
+    apart, and keys must not be null.
 
-    The segment number is written to the checkpoint folder with the rows: range
-    bounds are sampled, and both later uses must see the same ones even after
-    executors are lost.
+    The bounds of the ranges are taken once, from a sample that depends on nothing but
+    the rows, and stay in the plan as literals: a row's segment is a function of the row, the
+    same in every use and after an executor is lost, so nothing is written. Few enough
+    rows for one segment need neither bounds nor a second look.
     """
-    spark = rows.sparkSession
-    segments = segments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(keys)
-    placed = checkpointed(
-        rows.repartitionByRange(segments, *keys, *order_by).withColumn(
-            "segment", F.spark_partition_id()
-        )
-    )
-
     group = Window.partitionBy(*keys)
+    bounds = segment_bounds(rows, [*keys, *order_by], segments)
+    if not bounds:
+        upto = group.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return rows.select("*", F.sum(measure).over(upto).alias("running"), F.sum(measure).over(group).alias("total"))
+
+    placed = rows.withColumn("segment", segment_of(rows, [*keys, *order_by], bounds))
     earlier = group.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(*keys, "segment")
@@ -57,7 +60,52 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        placed.join(starts, [*keys, "segment"])
-        .withColumn("running", F.col("start") + F.sum(measure).over(inside))
-        .drop("segment", "start")
+        placed.withColumn("inside", F.sum(measure).over(inside))
+        .join(starts, [*keys, "segment"])
+        .withColumn("running", F.col("start") + F.col("inside"))
+        .drop("segment", "start", "inside")
     )
+
+
+def segment_bounds(rows: DataFrame, columns: Sequence[str], segments: int | None = None) -> list[Row]:
+    """The first row (of `columns`) of each segment but the first, in order.
+
+    One pass counts the rows and takes an even sample of them: each of a fixed number of
+    classes of hashes gives its row of the smallest hash. There are as many segments as
+    the rows need, but no more than the sample can tell apart.
+    """
+    at = F.struct(*columns).alias("at")
+    name = F.xxhash64(*columns).alias("name")
+    sample = (
+        rows.select(at, name)
+        .groupBy(F.pmod("name", F.lit(SAMPLED)).alias("class"))
+        .agg(F.min_by("at", "name").alias("at"), F.count(F.lit(1)).alias("rows"))
+        .select("at", "rows")
+        .sort("at")
+        .collect()
+    )
+    if segments is None:
+        needed = -(-sum(r["rows"] for r in sample) // SEGMENT_ROWS)
+        segments = min(needed, SAMPLED // SAMPLED_PER_SEGMENT)
+    cuts = sorted({i * len(sample) // segments for i in range(1, segments)} - {0}) if sample else []
+    return [sample[i]["at"] for i in cuts]
+
+
+def segment_of(rows: DataFrame, columns: Sequence[str], bounds: Sequence[Row]) -> Column:
+    """How many of the ordered `bounds` a row has reached, by bisection."""
+    kind = T.StructType([rows.schema[c] for c in columns])
+    listed = F.array(*(_literal(bound, kind) for bound in bounds))
+    steps = [2**i for i in reversed(range(len(bounds).bit_length()))]
+    own = F.struct(*columns)
+
+    def step(reached: Column, by: Column) -> Column:
+        return F.when(F.get(listed, reached + by - 1) <= own, reached + by).otherwise(reached)
+
+    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step)
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    """A collected value as a literal of its type."""
+    if value is not None and isinstance(kind, T.StructType):
+        return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)))
+    return F.lit(value).cast(kind)

@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from adloom.operators.running import running_total
+from adloom.operators import running
+from adloom.operators.running import running_total, segment_bounds, segment_of
 from adloom.plans.positions import position_quantile, position_value
 from tests.helpers import rounded, values
 
@@ -70,20 +73,51 @@ def test_running_total_against_plain_sum(spark, segments, keys):
 
 def test_equal_values_are_spread_over_segments(spark):
     """Equal leading values do not pile up in one segment."""
-    from adloom.operators import running
-
-    seen = []
-    original = running.checkpointed
-    try:
-        running.checkpointed = lambda rows: seen.append(original(rows)) or seen[-1]
-        rows = spark.range(4000).selectExpr("0.0D as v", "id as i", "1L as m")
-        running_total(rows, "m", ["v", "i"], segments=8).count()
-    finally:
-        running.checkpointed = original
-    sizes = [r["count"] for r in seen[0].groupBy("segment").count().collect()]
+    rows = spark.range(4000).selectExpr("0.0D as v", "id as i", "1L as m")
+    bounds = segment_bounds(rows, ["v", "i"], 8)
+    placed = rows.select("i", segment_of(rows, ["v", "i"], bounds).alias("segment"))
+    sizes = [r["count"] for r in placed.groupBy("segment").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1500
 
 
+def test_segments_are_ranges(spark):
+    """Nulls, not-a-number, nested and text columns are placed in Spark's own order."""
+    rng = random.Random(5)
+    rows = [
+        ((rng.choice("abcé"), rng.choice([None, 1, 2])), rng.choice([None, float("nan"), -0.0, 0.0, 1.5, float("inf")]), None if i % 9 == 0 else i)
+        for i in range(900)
+    ]
+    frame = spark.createDataFrame(rows, "g struct<a: string, b: int>, v float, i int").distinct()
+    columns = ["g", "v", "i"]
+    bounds = segment_bounds(frame, columns, 7)
+    place = F.row_number().over(Window.orderBy(*columns))
+    placed = frame.select(place.alias("place"), segment_of(frame, columns, bounds).alias("segment"))
+    found = [r["segment"] for r in placed.orderBy("place").collect()]
+    assert found == sorted(found) and set(found) == set(range(7))
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_bounds_depend_on_the_rows_alone(spark, monkeypatch, partitions):
+    monkeypatch.setattr(running, "SEGMENT_ROWS", 100)
+    monkeypatch.setattr(running, "SAMPLED", 512)
+    rows = spark.range(3000).selectExpr("id * 7919 % 3001 as v", "1L as m")
+    found = segment_bounds(rows.repartition(partitions, "v"), ["v"])
+    assert found == segment_bounds(rows, ["v"]) and len(found) == 29
+    total = running_total(rows.repartition(partitions, "v"), "m", ["v"])
+    expected = {v: i + 1 for i, v in enumerate(sorted(id * 7919 % 3001 for id in range(3000)))}
+    assert {r["v"]: r["running"] for r in total.collect()} == expected
+
+
+def test_nothing_is_written(spark, tmp_path):
+    """No checkpoint, and the rows are scanned for the bounds and the result alone."""
+    spark.range(2000).selectExpr("id as v", "1L as m").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = running_total(rows, "m", ["v"], segments=4)
+    plan = found._jdf.queryExecution().toString()
+    assert "Scan ExistingRDD" not in plan and "InMemory" not in plan.replace("InMemoryFileIndex", "")
+    assert found.count() == 2000
+
+
 def test_empty_input(spark):
     rows = spark.createDataFrame([], "position_id bigint, req_cnt bigint, cpr double")
     assert position_quantile(rows, "20240101").collect() == []
