@@ -2,14 +2,14 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEGMENT_ROWS = 1_000_000
-#: Rows looked at for bounds, and how many of them a segment has at least.
+#: Rows that bounds are taken from at most, and segments at most: each has 16 rows of the sample or more.
 SAMPLED = 65_536
-SAMPLED_PER_SEGMENT = 16
+MOST_SEGMENTS = 4_096
 
 
 def running_total(
@@ -29,17 +29,23 @@ def running_total(
 
     The bounds of the ranges are taken once, from a sample that depends on nothing but
     the rows, and stay in the plan as literals: a row's segment is a function of the row, the
-    same in every use and after an executor is lost, so nothing is written. Few enough
-    rows for one segment need neither bounds nor a second look.
+    same in every use and after an executor is lost, so nothing is written. Without keys
+    they are a subquery of the same plan, which shares the shuffles that `rows` end in;
+    with keys they are fetched first, and if one segment is enough there is none.
     """
     keys = list(keys)
     group = Window.partitionBy(*keys)
-    bounds = segment_bounds(rows, [*keys, *order_by], segments)
-    if not bounds:
-        upto = group.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return rows.select("*", F.sum(measure).over(upto).alias("running"), F.sum(measure).over(group).alias("total"))
-
-    placed = rows.withColumn("segment", segment_of(rows, [*keys, *order_by], bounds))
+    columns = [*keys, *order_by]
+    bounds = segment_bounds(rows, columns, segments)
+    if keys:
+        found = bounds.first()["bounds"]
+        if not found:
+            upto = group.orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            return rows.select("*", F.sum(measure).over(upto).alias("running"), F.sum(measure).over(group).alias("total"))
+        listed = _literal(found, bounds.schema["bounds"].dataType)
+    else:
+        listed = bounds.scalar()
+    placed = rows.withColumn("bounds", listed).withColumn("segment", segment_of(columns, "bounds")).drop("bounds")
     earlier = group.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy(*keys, "segment")
@@ -67,8 +73,8 @@ def running_total(
     )
 
 
-def segment_bounds(rows: DataFrame, columns: Sequence[str], segments: int | None = None) -> list[Row]:
-    """The first row (of `columns`) of each segment but the first, in order.
+def segment_bounds(rows: DataFrame, columns: Sequence[str], segments: int | None = None) -> DataFrame:
+    """One row: `bounds`, the ordered `columns` of the first row of each segment but the first.
 
     One pass counts the rows and takes an even sample of them: each of a fixed number of
     classes of hashes gives its row of the smallest hash. There are as many segments as
@@ -80,26 +86,26 @@ def segment_bounds(rows: DataFrame, columns: Sequence[str], segments: int | None
         rows.select(at, name)
         .groupBy(F.pmod("name", F.lit(SAMPLED)).alias("class"))
         .agg(F.min_by("at", "name").alias("at"), F.count(F.lit(1)).alias("rows"))
-        .select("at", "rows")
-        .sort("at")
-        .collect()
+        .agg(F.sort_array(F.collect_list("at")).alias("sample"), F.sum("rows").alias("rows"))
+    )
+    needed = F.ceil(F.col("rows") / SEGMENT_ROWS) if segments is None else F.lit(segments)
+    number = F.least(needed, F.lit(MOST_SEGMENTS)).cast("int").alias("number")
+    size = F.size("sample")
+    cuts = F.transform(F.sequence(F.lit(1), F.col("number") - 1), lambda i: F.floor(i * size / F.col("number")).cast("int"))
+    taken = F.transform(F.filter(F.array_distinct(cuts), lambda c: c > 0), lambda c: F.get("sample", c))
+    return sample.select("sample", number).select(
+        F.when(F.col("number") > 1, taken).otherwise(F.slice("sample", 1, 0)).alias("bounds")
     )
-    if segments is None:
-        needed = -(-sum(r["rows"] for r in sample) // SEGMENT_ROWS)
-        segments = min(needed, SAMPLED // SAMPLED_PER_SEGMENT)
-    cuts = sorted({i * len(sample) // segments for i in range(1, segments)} - {0}) if sample else []
-    return [sample[i]["at"] for i in cuts]
 
 
-def segment_of(rows: DataFrame, columns: Sequence[str], bounds: Sequence[Row]) -> Column:
+def segment_of(columns: Sequence[str], bounds: str) -> Column:
     """How many of the ordered `bounds` a row has reached, by bisection."""
-    kind = T.StructType([rows.schema[c] for c in columns])
-    listed = F.array(*(_literal(bound, kind) for bound in bounds))
-    steps = [2**i for i in reversed(range(len(bounds).bit_length()))]
+    steps = [2**i for i in reversed(range(MOST_SEGMENTS.bit_length()))]
     own = F.struct(*columns)
 
     def step(reached: Column, by: Column) -> Column:
-        return F.when(F.get(listed, reached + by - 1) <= own, reached + by).otherwise(reached)
+        # beyond the last bound there is none to reach
+        return F.when(F.get(bounds, reached + by - 1) <= own, reached + by).otherwise(reached)
 
     return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step)
 
@@ -108,4 +114,6 @@ def _literal(value, kind: T.DataType) -> Column:
     """A collected value as a literal of its type."""
     if value is not None and isinstance(kind, T.StructType):
         return F.struct(*(_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)))
+    if value is not None and isinstance(kind, T.ArrayType):
+        return F.array(*(_literal(v, kind.elementType) for v in value))
     return F.lit(value).cast(kind)

@@ -71,11 +71,15 @@ def test_running_total_against_plain_sum(spark, segments, keys):
     assert totals == wanted
 
 
+def placed_in(rows, columns, segments):
+    bounds = segment_bounds(rows, columns, segments).scalar()
+    return rows.withColumn("bounds", bounds).withColumn("segment", segment_of(columns, "bounds"))
+
+
 def test_equal_values_are_spread_over_segments(spark):
     """Equal leading values do not pile up in one segment."""
     rows = spark.range(4000).selectExpr("0.0D as v", "id as i", "1L as m")
-    bounds = segment_bounds(rows, ["v", "i"], 8)
-    placed = rows.select("i", segment_of(rows, ["v", "i"], bounds).alias("segment"))
+    placed = placed_in(rows, ["v", "i"], 8)
     sizes = [r["count"] for r in placed.groupBy("segment").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 1500
 
@@ -89,9 +93,7 @@ def test_segments_are_ranges(spark):
     ]
     frame = spark.createDataFrame(rows, "g struct<a: string, b: int>, v float, i int").distinct()
     columns = ["g", "v", "i"]
-    bounds = segment_bounds(frame, columns, 7)
-    place = F.row_number().over(Window.orderBy(*columns))
-    placed = frame.select(place.alias("place"), segment_of(frame, columns, bounds).alias("segment"))
+    placed = placed_in(frame, columns, 7).withColumn("place", F.row_number().over(Window.orderBy(*columns)))
     found = [r["segment"] for r in placed.orderBy("place").collect()]
     assert found == sorted(found) and set(found) == set(range(7))
 
@@ -101,21 +103,22 @@ def test_bounds_depend_on_the_rows_alone(spark, monkeypatch, partitions):
     monkeypatch.setattr(running, "SEGMENT_ROWS", 100)
     monkeypatch.setattr(running, "SAMPLED", 512)
     rows = spark.range(3000).selectExpr("id * 7919 % 3001 as v", "1L as m")
-    found = segment_bounds(rows.repartition(partitions, "v"), ["v"])
-    assert found == segment_bounds(rows, ["v"]) and len(found) == 29
+    found = segment_bounds(rows.repartition(partitions, "v"), ["v"]).first()["bounds"]
+    assert found == segment_bounds(rows, ["v"]).first()["bounds"] and len(found) == 29
     total = running_total(rows.repartition(partitions, "v"), "m", ["v"])
     expected = {v: i + 1 for i, v in enumerate(sorted(id * 7919 % 3001 for id in range(3000)))}
     assert {r["v"]: r["running"] for r in total.collect()} == expected
 
 
-def test_nothing_is_written(spark, tmp_path):
-    """No checkpoint, and the rows are scanned for the bounds and the result alone."""
-    spark.range(2000).selectExpr("id as v", "1L as m").write.parquet(str(tmp_path / "rows"))
-    rows = spark.read.parquet(str(tmp_path / "rows"))
+def test_nothing_is_written_and_shuffles_are_shared(spark, tmp_path):
+    """No checkpoint; an aggregated input is scanned once for bounds, sums and result."""
+    spark.range(2000).selectExpr("id % 500 as v", "1L as m").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows")).groupBy("v").agg(F.sum("m").alias("m"))
     found = running_total(rows, "m", ["v"], segments=4)
-    plan = found._jdf.queryExecution().toString()
-    assert "Scan ExistingRDD" not in plan and "InMemory" not in plan.replace("InMemoryFileIndex", "")
-    assert found.count() == 2000
+    found = found.select("v", "m", "running", "total")
+    assert sorted(tuple(r) for r in found.collect()) == [(v, 4, 4 * v + 4, 2000) for v in range(500)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Scan ExistingRDD" not in plan and "ReusedExchange" in plan
 
 
 def test_empty_input(spark):
