@@ -20,9 +20,9 @@ def run_metrics(spark: SparkSession, logs: str, date: str, exp_ids: Iterable[int
 
 
 def run_extract(spark: SparkSession, records: str, sites: Iterable[int], out: str, files: int | None = None) -> None:
-    """Impression extract of a path or glob, as tab-separated text."""
+    """Impression extract of a path or glob, as tab-separated text, with a sketch of its largest users."""
     pageviews = readers.read_records(spark, records, calibration.EXTRACT_FIELDS)
-    writers.write_tsv(calibration.impression_extract(pageviews, sites), out, files)
+    writers.write_tsv(calibration.impression_extract(pageviews, sites), out, files, calibration.USER)
 
 
 def run_bias(
@@ -38,13 +38,15 @@ def run_bias(
     pooled: bool = False,
 ) -> None:
     """Actual rates, and the bias by repeat order (one row per place in a chunk), as
-    CSV. The written rates feed the join, so the table is read once."""
+    CSV. The written rates feed the join, so the table is read once, as is the extract if a sketch of
+    its largest users is with it."""
     daily = readers.read_daily_table(spark, table, date)
     rates_table = f"{rates_out}-table"
     calibration.actual_rates(daily, date, key).write.mode("overwrite").parquet(rates_table)
     rates = spark.read.parquet(rates_table)
     occurrences = calibration.repeated_predictions(
-        readers.read_extract(spark, extract), key, chunk_rows=chunk_rows, min_repeats=min_repeats
+        readers.read_extract(spark, extract), key, chunk_rows=chunk_rows, min_repeats=min_repeats,
+        sketches=readers.read_sketches(spark, extract),
     )
     bias = calibration.bias_pooled if pooled else calibration.bias_macro
     writers.write_csv(rates, rates_out)
@@ -104,7 +106,7 @@ def run_exposure(
     exposure.write_exposure_dataset(dataset, out, day, files)
 
 
-def run_consistency(spark: SparkSession, records: str, out: str) -> None:
+def run_consistency(spark: SparkSession, records: str, out: str, files: int | None = None) -> None:
     """Score ratios between the early and the final stage, as tab-separated text."""
     pageviews = readers.read_records(spark, records, consistency.FIELDS, SCORE_TRACKING)
-    writers.write_tsv(consistency.score_consistency(pageviews), out)
+    writers.write_tsv(consistency.score_consistency(pageviews), out, files)

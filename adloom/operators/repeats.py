@@ -1,7 +1,7 @@
 """Items that come up again within one group's ordered rows.
 
 Ordinary groups are handled by windows over the group after one shuffle. Groups
-too large for a task (see `skew.heavy_keys`) take a second route with the same
+too large for a task (see `skew.split_large`) take a second route with the same
 answer: equal rows are merged into one row with a number of copies, each merged
 row gets its place in the group by `running_total`, and the places are cut into
 blocks that are processed apart.
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from adloom import constants as C
 from adloom.operators.running import running_total
-from adloom.operators.skew import SPLIT_ABOVE, heavy_keys, split_by_keys
+from adloom.operators.skew import SPLIT_ABOVE, split_large
 
 BLOCK_ROWS = 1_000_000
 
@@ -26,17 +26,20 @@ def count_recent_repeats(
     order_by: Sequence[str],
     lookback: int = C.LOOKBACK_ROWS,
     split_above: int = SPLIT_ABOVE,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
-    """Per group: `n` rows, and `p` rows whose item is among the `lookback` rows before."""
+    """Per group: `n` rows, and `p` rows whose item is among the `lookback` rows before.
+
+    `sketches` of the written rows, if there are any, tell the large groups without a look at
+    the rows (see `skew.split_large`)."""
     if lookback < 1:
         raise ValueError("lookback must be positive")
     order_by = [c for c in _with_tail(order_by, [item]) if c not in keys]
     rows = rows.select(*dict.fromkeys([*keys, item, *order_by]))
 
-    heavy = heavy_keys(rows, keys, split_above)
-    if heavy is None:
+    light_rows, heavy_rows = split_large(rows, keys, split_above, sketches)
+    if heavy_rows is None:
         return _count_in_window(rows, keys, item, order_by, lookback)
-    light_rows, heavy_rows = split_by_keys(rows, keys, heavy)
     return _count_in_window(light_rows, keys, item, order_by, lookback).unionByName(
         _count_in_blocks(_as_group(heavy_rows, keys), item, order_by, lookback).select("group.*", "n", "p")
     )
@@ -90,24 +93,24 @@ def repeated_occurrences(
     chunk_rows: int = C.CHUNK_ROWS,
     min_repeats: int = C.MIN_REPEATS,
     split_above: int = SPLIT_ABOVE,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Occurrences of items that come up at least `min_repeats` times in a chunk.
 
     A group's ordered rows are cut into chunks of `chunk_rows`. Result: the item, its
     `values`, `order` (0 for the item's first row in the chunk) and `copies`, the
     number of equal occurrences: one row for each item, values and order, whatever the
-    size of a group.
+    size of a group. `sketches` are those of `count_recent_repeats`.
     """
     if chunk_rows < 1:
         raise ValueError("chunk_rows must be positive")
     order_by = [c for c in _with_tail(order_by, [item, *values]) if c not in keys]
     rows = rows.select(*dict.fromkeys([*keys, item, *values, *order_by]))
 
-    heavy = heavy_keys(rows, keys, split_above)
-    if heavy is None:
+    light_rows, heavy_rows = split_large(rows, keys, split_above, sketches)
+    if heavy_rows is None:
         chunked = _chunk_in_window(rows, keys, order_by, chunk_rows)
         return _counted(_keep_repeats(chunked, keys, item, values, min_repeats), item, values)
-    light_rows, heavy_rows = split_by_keys(rows, keys, heavy)
     light_chunks = _chunk_in_window(light_rows, keys, order_by, chunk_rows)
     heavy_chunks = _chunk_merged(_as_group(heavy_rows, keys), order_by, chunk_rows)
     light_repeats = _keep_repeats(light_chunks, keys, item, values, min_repeats)

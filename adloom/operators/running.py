@@ -107,7 +107,8 @@ def segment_of(columns: Sequence[str], bounds: str) -> Column:
         # beyond the last bound there is none to reach
         return F.when(F.get(bounds, reached + by - 1) <= own, reached + by).otherwise(reached)
 
-    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step)
+    # never null, and known not to be: else joins on it would test that on every row of the input first
+    return F.coalesce(F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step), F.lit(0))
 
 
 def _literal(value, kind: T.DataType) -> Column:

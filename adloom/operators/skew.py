@@ -4,12 +4,15 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 SPLIT_ABOVE = 5_000_000
 MAX_HEAVY_KEYS = 100_000
 SAMPLED_ROWS = 10_000
+#: Items a sketch follows. It misses no key with more than about 4/SKETCH_ITEMS of all rows.
+SKETCH_ITEMS = 65_536
+MAX_SKETCHED_KEYS = 10_000
 
 
 def heavy_keys(
@@ -53,3 +56,51 @@ def split_by_keys(rows: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tup
     listed = F.broadcast(heavy.toDF(*(f"heavy_{key}" for key in keys)))
     same = reduce(and_, (F.col(key).eqNullSafe(F.col(f"heavy_{key}")) for key in keys))
     return rows.join(listed, same, "left_anti"), rows.join(listed, same, "left_semi")
+
+
+def key_name(keys: Sequence[str]) -> Column:
+    """A 64-bit name of a key by its text, so that it is the same however the key is stored."""
+    return F.xxhash64(*(F.col(key).cast("string") for key in keys))
+
+
+def key_sketch(keys: Sequence[str]) -> Column:
+    """An aggregate that follows the most frequent keys in bounded memory; sketches of parts
+    of a table can be combined."""
+    return F.call_function("approx_top_k_accumulate", key_name(keys), F.lit(SKETCH_ITEMS))
+
+
+def sketched_keys(
+    sketches: DataFrame, above: int = SPLIT_ABOVE, most: int = MAX_SKETCHED_KEYS
+) -> DataFrame | None:
+    """`key_name` of the keys with more than about `above` rows, or None, from `sketches` (rows, sketch) of the parts of
+    a table, without looking at it.
+
+    As with `heavy_keys` a key is listed from 1/`most` of all rows on, so the list is bounded.
+    """
+    combined = sketches.agg(
+        F.call_function("approx_top_k_combine", F.col("sketch"), F.lit(SKETCH_ITEMS)).alias("sketch"), F.sum("rows").alias("rows")
+    )
+    best = F.call_function("approx_top_k_estimate", F.col("sketch"), F.lit(most))
+    found = combined.select("rows", F.explode(best).alias("best")).select("rows", "best.*")
+    listed = found.filter((F.col("count") > above) & (F.col("count") > F.col("rows") / most)).collect()
+    if not listed:
+        return None
+    return sketches.sparkSession.createDataFrame([(r["item"],) for r in listed], "key_name bigint")
+
+
+def split_large(
+    rows: DataFrame, keys: Sequence[str], above: int = SPLIT_ABOVE, sketches: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of keys with more than about `above` rows or None).
+
+    With `sketches` of the rows' table (see `key_sketch`) the rows are not looked at to find
+    such keys.
+    """
+    if sketches is None:
+        heavy = heavy_keys(rows, keys, above)
+        return (rows, None) if heavy is None else split_by_keys(rows, keys, heavy)
+    listed = sketched_keys(sketches, above)
+    if listed is None:
+        return rows, None
+    named = rows.withColumn("key_name", key_name(keys))
+    return tuple(part.drop("key_name") for part in split_by_keys(named, ["key_name"], listed))

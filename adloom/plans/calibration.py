@@ -23,6 +23,8 @@ EXTRACT_FIELDS = [
         ]
     ),
 ]
+USER = ["site_id", "open_id"]
+BIAS_PARTS = 1e9  # biases are averaged exactly in these parts, in any order
 SUMMED_AS = "decimal(32,12)"  # predictions are summed exactly, in any order
 COUNTS = ["exposure_cnt", "click_cnt", "active_cnt"]
 
@@ -93,15 +95,20 @@ def repeated_predictions(
     chunk_rows: int = C.CHUNK_ROWS,
     min_repeats: int = C.MIN_REPEATS,
     split_above: int = SPLIT_ABOVE,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """(key, pctr, pcvr, order, copies) of repeated products in each user's chunks."""
     return repeated_occurrences(
-        extract, ["site_id", "open_id"], key, order_by, ["pctr", "pcvr"], chunk_rows, min_repeats, split_above
+        extract, USER, key, order_by, ["pctr", "pcvr"], chunk_rows, min_repeats, split_above, sketches
     )
 
 
 def bias_macro(occurrences: DataFrame, rates: DataFrame, key: str = "quality_product_id") -> DataFrame:
-    """Absolute bias of each product's mean prediction, averaged over products, by order."""
+    """Absolute bias of each product's mean prediction, averaged over products, by order.
+
+    Each bias is rounded to whole parts of BIAS_PARTS, which are summed as whole numbers, so the
+    mean does not depend on the order of products.
+    """
     means = _prediction_sums(occurrences, key).select(
         key, "order",
         (F.col("pctr_sum").cast("double") / F.col("occurrences")).alias("pctr"),
@@ -113,8 +120,8 @@ def bias_macro(occurrences: DataFrame, rates: DataFrame, key: str = "quality_pro
         .withColumn("cvr_bias", F.abs(_cvr_bias()))
         .groupBy("order")
         .agg(
-            F.avg("ctr_bias").alias("ctr_bias"),
-            F.avg("cvr_bias").alias("cvr_bias"),
+            _mean_in_any_order("ctr_bias").alias("ctr_bias"),
+            _mean_in_any_order("cvr_bias").alias("cvr_bias"),
             *(F.sum(c).alias(c) for c in COUNTS),
         )
     )
@@ -141,6 +148,12 @@ def _exact(rate: str) -> Column:
     return F.col(rate).cast("double").cast("decimal(18,12)")
 
 
+def _mean_in_any_order(ratio: str) -> Column:
+    """The mean of a column of doubles, nulls left out; unset, infinite or not-a-number results are null."""
+    parts = F.round(F.col(ratio) * F.lit(BIAS_PARTS)).cast("decimal(38,0)")
+    return F.sum(parts).cast("double") / F.lit(BIAS_PARTS) / F.nullif(F.count(parts), F.lit(0))
+
+
 def _prediction_sums(occurrences: DataFrame, key: str) -> DataFrame:
     copies = F.col("copies")
     return occurrences.groupBy(key, "order").agg(

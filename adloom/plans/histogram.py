@@ -35,8 +35,9 @@ def repeat_histogram(
     order_by: Iterable[str] = ("ping_time",),
     lookback: int = C.LOOKBACK_ROWS,
     split_above: int = SPLIT_ABOVE,
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
     """Users per (site, impressions n, repeats p). A repeat is an impression whose
     product is among the user's `lookback` impressions before it."""
-    per_user = count_recent_repeats(impressions, USER, "product", list(order_by), lookback, split_above)
+    per_user = count_recent_repeats(impressions, USER, "product", list(order_by), lookback, split_above, sketches)
     return per_user.groupBy("site_id", "n", "p").agg(F.count(F.lit(1)).alias("users"))

@@ -9,7 +9,9 @@ from pyspark.sql.utils import AnalysisException
 
 from adloom import constants as C
 from adloom.functions.dates import days_from
+from adloom.operators.running import running_total
 from adloom.sources.schemas import IMPRESSION_EXTRACT, CLICKS_AND_CONVERSIONS, PAGE_VIEW, layout, narrow
+from adloom.sources.writers import SKETCH, SKETCHES
 
 TAB = "\t"
 
@@ -56,6 +58,28 @@ def read_extract(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, layout(IMPRESSION_EXTRACT))
 
 
+def read_sketches(spark: SparkSession, *paths: str) -> DataFrame | None:
+    """The sketches of large keys kept with written tables, one row each; None unless all have one."""
+    try:
+        return spark.read.schema(SKETCHES).parquet(*(f"{path.rstrip('/')}/{SKETCH}" for path in paths))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_in_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of files written by `writers.write_ordered`, with `place`: where they are, from 1."""
+    read = spark.read.schema(schema).option("header", True).csv(path)
+    # a task reads a stretch of a file from begin to end, and numbers its rows upwards
+    rows = read.select(
+        *schema.names, F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_from"),
+        F.monotonically_increasing_id().alias("_row"), F.lit(1).alias("_one"),
+    )
+    placed = running_total(rows, "_one", ["_file", "_from", "_row"])
+    return placed.select(*schema.names, F.col("running").alias("place"))
+
+
 def read_clicks_and_conversions(spark: SparkSession, path: str) -> DataFrame:
     """Clicks and conversions per ad group."""
     return read_tsv(spark, path, layout(CLICKS_AND_CONVERSIONS))
