@@ -25,6 +25,13 @@ ID_BITS = {"guid": 0, "wuid": 1, "md5_imei": 2, "md5_idfa": 3, "qidfa": 1}
 DAY = "20240101"
 
 
+def output_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Where a job bound to the given tables writes."""
+    use_checkpoint_dir(spark)
+    source = hashlib.md5(sf_dir.encode()).hexdigest()
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{source}"
+
+
 _written: dict[tuple[str, str, str], str] = {}
 
 
@@ -38,9 +45,7 @@ def _written_log(
     """Folder of a derived log, written on first use in the session."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _written:
-        use_checkpoint_dir(spark)
-        source = hashlib.md5(sf_dir.encode()).hexdigest()
-        path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{source}"
+        path = output_folder(spark, sf_dir, name)
         if partitions:
             write_partitioned(derive(spark, sf_dir), path, partitions)
         else:
@@ -254,6 +259,7 @@ def derive_daily_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         kind.isin("click", "purchase").cast("int").cast("string").alias("valid_click_cnt"),
         (kind == "purchase").cast("int").cast("string").alias("active_num"),
         F.concat_ws("|", F.lit("product"), (k % 7).cast("string")).alias("quality_product_id"),
+        _prefixed("p", k).alias("product_id"),
     )
 
 

@@ -292,6 +292,71 @@ SELECT event_id AS label, CASE WHEN k % 5 = 1 THEN '' ELSE event_type END AS sen
 FROM ev WHERE k % 5 <> 0 AND k % 7 NOT IN (0, 1)"""
 
 
+CHAIN = f"""WITH {IMPRESSIONS},
+extract AS (
+  SELECT user_id, site_id, 'p' || k AS product_id, time_s,
+    CAST(CAST(CAST(CAST(k * 1000 + place AS FLOAT) / CAST(1000000 AS FLOAT) AS FLOAT) AS DOUBLE) AS DECIMAL(18, 12)) AS pctr,
+    CAST(k / 128.0::DOUBLE AS DECIMAL(18, 12)) AS pcvr
+  FROM imp WHERE goal > 0 AND goal <> 7 AND user_id % 13 <> 0 AND site_id IN (1, 2)
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY site_id, user_id ORDER BY time_s, product_id, pctr, pcvr) AS place FROM extract
+),
+chunked AS (
+  SELECT *, count(*) OVER (PARTITION BY site_id, user_id, (place - 1) // 50, product_id) AS repeats,
+    CAST(row_number() OVER (PARTITION BY site_id, user_id, (place - 1) // 50, product_id ORDER BY place) - 1
+      AS INTEGER) AS "order"
+  FROM numbered
+),
+sums AS (
+  SELECT product_id, "order", sum(pctr) AS pctr_sum, sum(pcvr) AS pcvr_sum, count(*) AS occurrences
+  FROM chunked WHERE repeats >= 2 GROUP BY product_id, "order"
+),
+rates AS (
+  SELECT 'p' || k AS product_id, count(*) AS exposure_cnt,
+    CAST(count(*) FILTER (WHERE event_type IN ('click', 'purchase')) AS BIGINT) AS click_cnt,
+    CAST(count(*) FILTER (WHERE event_type = 'purchase') AS BIGINT) AS active_cnt
+  FROM ev WHERE k % 5 <> 0 AND k % 4 IN (1, 2) AND event_id % 5 IN (1, 2, 3) AND event_id % 11 NOT IN (0, 1) GROUP BY 1
+)"""
+
+
+def deviation(predicted: str, hits: str, tries: str) -> str:
+    return f"({predicted} / nullif({hits} / nullif({tries}, 0)::DOUBLE, 0) - 1)"
+
+
+def billionths(bias: str) -> str:
+    """A mean of whole billionths, as a sum of whole numbers."""
+    return f"CAST(sum(CAST(round(abs({bias}) * 1e9) AS HUGEINT)) AS DOUBLE) / 1e9 / nullif(count({bias}), 0)"
+
+
+CHAIN_MACRO = f"""{CHAIN},
+means AS (
+  SELECT *, CAST(pctr_sum AS DOUBLE) / occurrences AS pctr, CAST(pcvr_sum AS DOUBLE) / occurrences AS pcvr
+  FROM sums JOIN rates USING (product_id)
+)
+SELECT "order", {billionths(deviation("pctr", "click_cnt", "exposure_cnt"))} AS ctr_bias,
+  {billionths(deviation("pcvr", "active_cnt", "click_cnt"))} AS cvr_bias, {COUNT_SUMS}
+FROM means GROUP BY "order" """
+
+TIMED_SUMS = ", ".join(
+    f"CAST(sum({c} * occurrences) AS BIGINT) AS {c}" for c in ["exposure_cnt", "click_cnt", "active_cnt"]
+)
+
+CHAIN_POOLED = f"""{CHAIN},
+pooled AS (
+  SELECT "order", CAST(sum(pctr_sum) AS DOUBLE) / CAST(sum(occurrences) AS BIGINT) AS pctr,
+    CAST(sum(pcvr_sum) AS DOUBLE) / CAST(sum(occurrences) AS BIGINT) AS pcvr, {TIMED_SUMS}
+  FROM sums JOIN rates USING (product_id) GROUP BY "order"
+)
+SELECT "order", {deviation("pctr", "click_cnt", "exposure_cnt")} AS ctr_bias,
+  {deviation("pcvr", "active_cnt", "click_cnt")} AS cvr_bias, pctr, pcvr, exposure_cnt, click_cnt, active_cnt
+FROM pooled"""
+
+LARGE_USERS = f"""{CHAIN}
+SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE n > 50) AS BIGINT) AS users
+FROM (SELECT count(*) AS n FROM extract GROUP BY site_id, user_id)"""
+
+
 def join(how: str) -> str:
     return f"""
 SELECT coalesce(l.key, r.key) AS key, a, b
@@ -328,6 +393,13 @@ FROM detail LEFT JOIN (SELECT * FROM cost WHERE id <> '') AS cost USING (id, tra
         "repeated_predictions_split": REPEATED,
         "bias_macro": BIAS_MACRO,
         "bias_pooled": BIAS_POOLED,
+        "extract_bias": CHAIN_MACRO,
+        "extract_bias_split": CHAIN_MACRO,
+        "extract_bias_pooled": CHAIN_POOLED,
+        "large_users": LARGE_USERS,
+        "metrics_text": summed(f"{EXPOSED} UNION ALL {CLICKED} UNION ALL {TRACED}"),
+        "ordered_report": f"""WITH ranked AS ({POSITION_QUANTILE})
+SELECT position_id, cpr, cpr_quantile, row_number() OVER (ORDER BY cpr, position_id) AS place FROM ranked""",
         "score_consistency": CONSISTENCY,
         "last_write_lookup": LAST_WRITE,
         "clicks_and_conversions": f"""WITH {EVENTS}
@@ -339,6 +411,9 @@ SELECT event_id AS adgroup_id, k AS clk_cnt, CAST(user_id % 5 AS INTEGER) AS con
         "joins_left": join("LEFT"),
         "joins_right": join("RIGHT"),
         "joins_full": join("FULL"),
+        "joins_inner_salted": join("INNER"),
+        "joins_left_salted": join("LEFT"),
+        "joins_full_salted": join("FULL"),
         "drop_incomplete": DROP_INCOMPLETE,
         "group_expr": GROUP_EXPR,
         "square": "SELECT p_partkey, p_size, CAST(p_size AS BIGINT) * p_size AS square FROM part",

@@ -9,8 +9,11 @@ from adloom import constants as C
 from adloom.bindings import logs
 from adloom.bindings.logs import DAY, EXPERIMENTS, SITES, TARGETS, table
 from adloom.functions import dates, ids, scalars
+from adloom.operators import skew
 from adloom.operators.keyed import look_up_last, pair_join
+from adloom.operators.skew import SPLIT_ABOVE
 from adloom.plans import basics, calibration, consistency, exposure, histogram, metrics, positions
+from adloom.sources import readers, writers
 from adloom.sources.readers import TAB, decode_tsv
 from adloom.sources.schemas import CLICKS_AND_CONVERSIONS, layout
 
@@ -18,6 +21,9 @@ EXCLUDED_SITES = [6]
 EXCLUDED_SCENES = [8]
 RETURNS_NEEDED = 50
 DIGITS = 6
+CHAIN_KEY = "product_id"
+CHAIN_CHUNK = 50
+CHAIN_REPEATS = 2
 
 
 def _rounded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -135,6 +141,61 @@ def bias_pooled(spark, sf_dir):
     return _rounded(biases, "ctr_bias", "cvr_bias", "pctr", "pcvr")
 
 
+def _written_extract(spark, sf_dir) -> str:
+    """The impression extract as text in a few files, with its sketch."""
+    out = logs.output_folder(spark, sf_dir, "extract")
+    extract = calibration.impression_extract(logs.page_views(spark, sf_dir, calibration.EXTRACT_FIELDS), SITES)
+    writers.write_tsv(extract, out, 4, calibration.USER)
+    return out
+
+
+def _chain(bias, split_above: int):
+    """From the log through the extract's text to the bias by repeat order, by a named column."""
+
+    def query(spark, sf_dir):
+        out = _written_extract(spark, sf_dir)
+        occurrences = calibration.repeated_predictions(
+            readers.read_extract(spark, out), CHAIN_KEY, chunk_rows=CHAIN_CHUNK, min_repeats=CHAIN_REPEATS,
+            split_above=split_above, sketches=readers.read_sketches(spark, out),
+        )
+        rates = calibration.actual_rates(logs.daily_table(spark, sf_dir), DAY, CHAIN_KEY)
+        return bias(occurrences, rates, CHAIN_KEY)
+
+    return query
+
+
+extract_bias = _chain(calibration.bias_macro, calibration.SPLIT_ABOVE)
+extract_bias_split = _chain(calibration.bias_macro, 0)
+extract_bias_pooled = _chain(calibration.bias_pooled, calibration.SPLIT_ABOVE)
+
+
+def large_users(spark, sf_dir):
+    """How many users of the written extract its sketch lists above 50 rows; few enough here to be counted exactly."""
+    sketches = readers.read_sketches(spark, _written_extract(spark, sf_dir))
+    listed = skew.sketched_keys(sketches, 50)
+    rows = sketches.agg(F.sum("rows").alias("rows"))
+    if listed is None:
+        return rows.select("rows", F.lit(0).cast("bigint").alias("users"))
+    return rows.withColumn("users", listed.agg(F.count(F.lit(1))).scalar())
+
+
+def metrics_text(spark, sf_dir):
+    """The merge of the three metrics as text, read back."""
+    out = logs.output_folder(spark, sf_dir, "metrics")
+    per_log = [metrics.EXPOSURE_FIELDS, metrics.CLICK_FIELDS, metrics.TRACE_FIELDS]
+    pages = [logs.page_views(spark, sf_dir, fields) for fields in per_log]
+    metrics.write_metrics(*pages, EXPERIMENTS, out, text=True, files=3)
+    return metrics.read_metrics(spark, f"{out}/merge_data", text=True)
+
+
+def ordered_report(spark, sf_dir):
+    """Positions in order of their value, in files whose names keep the order, and where each was read."""
+    out = logs.output_folder(spark, sf_dir, "report")
+    ranked = position_quantile(spark, sf_dir).select("position_id", "cpr", "cpr_quantile")
+    writers.write_ordered(ranked, out, ["cpr", "position_id"], 5)
+    return readers.read_in_order(spark, out, ranked.schema)
+
+
 def score_consistency(spark, sf_dir):
     return consistency.score_consistency(logs.score_records(spark, sf_dir, consistency.FIELDS))
 
@@ -184,9 +245,9 @@ def _pairs(spark, sf_dir):
     return left, right
 
 
-def _join_query(how: str):
+def _join_query(how: str, split_above: int = SPLIT_ABOVE, salted: bool = False):
     def query(spark, sf_dir):
-        return pair_join(*_pairs(spark, sf_dir), ["key"], how)
+        return pair_join(*_pairs(spark, sf_dir), ["key"], how, split_above, salted)
 
     return query
 
@@ -246,10 +307,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         exposure_metrics, click_metrics, conversion_metrics, merged_metrics,
         exposure_detail, impression_cost, video_play, exposure_enriched, exposure_without_video,
         impression_extract, actual_rates, repeated_predictions, repeated_predictions_split, bias_macro, bias_pooled,
+        metrics_text, large_users, ordered_report,
         score_consistency, last_write_lookup, clicks_and_conversions,
         position_value, position_quantile,
         word_count, drop_incomplete, group_expr, square,
         user_id_chain, date_strings, text_cells,
     ]
     joins = {f"joins_{how}": _join_query(how) for how in ["inner", "left", "right", "full"]}
-    return {query.__name__: query for query in named} | joins
+    # every key with more than four rows takes the route of large ones
+    salted = {f"joins_{how}_salted": _join_query(how, 4, True) for how in ["inner", "left", "full"]}
+    chains = {"extract_bias": extract_bias, "extract_bias_split": extract_bias_split, "extract_bias_pooled": extract_bias_pooled}
+    return {query.__name__: query for query in named} | joins | salted | chains

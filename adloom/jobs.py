@@ -10,13 +10,21 @@ from adloom.sources import readers, writers
 from adloom.sources.schemas import SCORE_TRACKING
 
 
-def run_metrics(spark: SparkSession, logs: str, date: str, exp_ids: Iterable[int], out: str) -> dict[str, int]:
+def run_metrics(
+    spark: SparkSession,
+    logs: str,
+    date: str,
+    exp_ids: Iterable[int],
+    out: str,
+    text: bool = False,
+    files: int | None = None,
+) -> dict[str, int]:
     """Metrics of a day or hour from the exposure, click and trace logs, and their
-    merge; returns the row counts."""
+    merge, as Parquet or tab-separated text; returns the row counts."""
     exposures = readers.read_log(spark, logs, "exposure", date, metrics.EXPOSURE_FIELDS)
     clicks = readers.read_log(spark, logs, "click", date, metrics.CLICK_FIELDS)
     traces = readers.read_log(spark, logs, "trace", date, metrics.TRACE_FIELDS)
-    return metrics.write_metrics(exposures, clicks, traces, exp_ids, out)
+    return metrics.write_metrics(exposures, clicks, traces, exp_ids, out, text, files)
 
 
 def run_extract(spark: SparkSession, records: str, sites: Iterable[int], out: str, files: int | None = None) -> None:

@@ -6,6 +6,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPLIT_ABOVE = 5_000_000
 MAX_HEAVY_KEYS = 100_000
@@ -16,12 +17,20 @@ MAX_SKETCHED_KEYS = 10_000
 
 
 def heavy_keys(
+    rows: DataFrame, keys: Sequence[str], above: int = SPLIT_ABOVE, most: int = MAX_HEAVY_KEYS
+) -> DataFrame | None:
+    """The keys with more than about `above` rows, or None (see `heavy_counts`)."""
+    found = heavy_counts(rows, keys, above, most)
+    return None if found is None else found.select(*keys)
+
+
+def heavy_counts(
     rows: DataFrame,
     keys: Sequence[str],
     above: int = SPLIT_ABOVE,
     most: int = MAX_HEAVY_KEYS,
 ) -> DataFrame | None:
-    """The keys with more than about `above` rows, or None.
+    """The keys with more than about `above` rows, and about how many (`key_rows`), or None.
 
     Being listed never changes an answer, only the way it is computed. So the rows may
     be counted on a sample, large enough for a key of `above` rows to show
@@ -44,10 +53,10 @@ def heavy_keys(
     )
     counted = largest.collect()
     least = max(above * fraction, seen.get["rows"] / most) if counted else 0
-    found = [tuple(r[k] for k in keys) for r in counted if r["key_rows"] > least]
+    found = [(*(r[k] for k in keys), round(r["key_rows"] / fraction)) for r in counted if r["key_rows"] > least]
     if not found:
         return None
-    return rows.sparkSession.createDataFrame(found, keyed.schema)
+    return rows.sparkSession.createDataFrame(found, T.StructType([*keyed.schema.fields, T.StructField("key_rows", T.LongType())]))
 
 
 def split_by_keys(rows: DataFrame, keys: Sequence[str], heavy: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,14 +2,16 @@
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom import constants as C
 from adloom.functions.dates import date_text, day_prefix, epoch_to_date
 from adloom.functions.scalars import cents_to_units, is_platform_trade_left_out, micros_to_units, or_zero
 from adloom.operators.flatten import to_clicks, to_experiments, to_impressions, to_positions, to_traces
-from adloom.sources.writers import write_counted
+from adloom.sources.readers import read_tsv
+from adloom.sources.schemas import METRICS, layout
+from adloom.sources.writers import write_counted, write_tsv
 
 KEYS = [
     "site_id", "position_id", "exp_id", "adgroup_id", "goal", "second_goal", "target_cpa",
@@ -67,11 +69,19 @@ def merge_summed(*metrics: DataFrame) -> DataFrame:
 
 
 def write_metrics(
-    exposures: DataFrame, clicks: DataFrame, traces: DataFrame, exp_ids: Iterable[int], folder: str
+    exposures: DataFrame,
+    clicks: DataFrame,
+    traces: DataFrame,
+    exp_ids: Iterable[int],
+    folder: str,
+    text: bool = False,
+    files: int | None = None,
 ) -> dict[str, int]:
     """Writes the three metrics and their merge under `folder`; returns row counts.
 
-    The merge reads the written tables, so each log is scanned once.
+    The merge reads the written tables, so each log is scanned once. As `text` the tables are
+    tab-separated, in the columns of `METRICS`, and are read back strictly: a cell that
+    isn't what its column holds raises. `files` is the number of files of each table.
     """
     exp_ids = list(exp_ids)
     parts = {
@@ -79,13 +89,24 @@ def write_metrics(
         "click_data": click_metrics(clicks, exp_ids),
         "trace_data": conversion_metrics(traces, exp_ids),
     }
-    counts = {name: write_counted(rows, f"{folder}/{name}", name) for name, rows in parts.items()}
     spark = exposures.sparkSession
-    merged = merge_summed(*(spark.read.parquet(f"{folder}/{name}") for name in parts))
-    counts["merge_data"] = write_counted(merged, f"{folder}/merge_data", "merge_data")
+
+    def write(rows: DataFrame, name: str) -> int:
+        if text:
+            return write_tsv(rows.select(*layout(METRICS).names), f"{folder}/{name}", files)
+        return write_counted(rows, f"{folder}/{name}", name, files)
+
+    counts = {name: write(rows, name) for name, rows in parts.items()}
+    merged = merge_summed(*(read_metrics(spark, f"{folder}/{name}", text) for name in parts))
+    counts["merge_data"] = write(merged, "merge_data")
     return counts
 
 
+def read_metrics(spark: SparkSession, path: str, text: bool = False) -> DataFrame:
+    """A table that `write_metrics` has written."""
+    return read_tsv(spark, path, layout(METRICS)) if text else spark.read.parquet(path)
+
+
 def _impressions(log: DataFrame, exp_ids: Iterable[int]) -> DataFrame:
     """One row per impression and wanted experiment id, with the page's keys."""
     page = {

@@ -49,6 +49,12 @@ goal int, class_id int, second_class_id bigint, pctr float, pcvr float,
 total_ecpm bigint, next_total_ecpm bigint, ctr int, cvr int, ping_time int
 """
 
+METRICS = """
+site_id bigint, position_id bigint, exp_id int, adgroup_id bigint, goal int, second_goal int, target_cpa int,
+partition_time string, process_time string, conv bigint, cost double, gmv double, imps bigint, clicks bigint,
+gmv_bias double
+"""
+
 CLICKS_AND_CONVERSIONS = "adgroup_id bigint, clk_cnt int, conv_cnt int"
 
 

@@ -32,10 +32,13 @@ def replaced(spark: SparkSession, path: str) -> Iterator[str]:
         was = files.exists(target)
         if was and not files.rename(target, old):
             raise OSError(f"cannot move {made}")
-        if not files.rename(new, target):
+        try:
+            if not files.rename(new, target):
+                raise OSError(f"cannot move the new output to {made}")
+        except Exception:
             if was:
                 files.rename(old, target)
-            raise OSError(f"cannot move the new output to {made}")
+            raise
         if was:
             files.delete(old, True)
     finally:
@@ -108,9 +111,9 @@ def write_partitioned(
     )
 
 
-def write_counted(rows: DataFrame, path: str, name: str) -> int:
+def write_counted(rows: DataFrame, path: str, name: str, files: int | None = None) -> int:
     """Parquet, returning the number of rows written, counted in the same job."""
     seen = Observation(name)
     with replaced(rows.sparkSession, path) as new:
-        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(new)
+        _into_files(rows.observe(seen, F.count(F.lit(1)).alias("rows")), files).write.parquet(new)
     return seen.get["rows"]

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from adloom.operators import keyed
 from adloom.operators.keyed import pair_join
 from adloom.plans import basics
 from adloom.sources.readers import read_lines
@@ -71,3 +72,37 @@ def test_square(spark):
     numbers = spark.createDataFrame([(n,) for n in range(1, 7)] + [(2147483647,)], "n int")
     assert [r.square for r in basics.square(numbers, "n").orderBy("n").collect()] == [
         1, 4, 9, 16, 25, 36, 2147483647**2]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("split_above", [0, 30, 10**9])
+def test_salted_join_equals_plain_join(spark, monkeypatch, how, split_above):
+    """Keys large on one side, on both and on none, null keys, equal rows and keys without a match."""
+    monkeypatch.setattr(keyed, "SALT_ROWS", 7)
+    monkeypatch.setattr(keyed, "COPIES", 5)
+    rng = random.Random(9)
+    left = [(rng.choice([1, 1, 1, 2, 3, 4, 9, None]), rng.choice("xy"), i % 3 * i) for i in range(260)]
+    right = [(rng.choice([2, 2, 2, 1, 3, 5, 7, None]), rng.choice(["p", None])) for i in range(110)]
+    a = spark.createDataFrame(left, "k int, g string, v int").repartition(3)
+    b = spark.createDataFrame(right, "k int, w string").repartition(2)
+    found = pair_join(a, b, ["k"], how, split_above, salted=True)
+    assert found.columns == ["k", "g", "v", "w"] and values(found) == values(a.join(b, ["k"], how))
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("equal", [True, False])
+def test_a_third_of_all_rows_is_spread_over_tasks(spark, monkeypatch, how, equal):
+    """In a session with plain settings, and also if the rows of the key are all alike."""
+    monkeypatch.setattr(keyed, "SALT_ROWS", 2_000)
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+    plain.conf.set("spark.sql.adaptive.enabled", "false")
+    plain.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plain.conf.set("spark.sql.shuffle.partitions", "32")
+    value = "1" if equal else "id"
+    left = plain.range(90_000).selectExpr("if(id % 3 = 0, -1, id) as k", f"{value} as v")
+    right = plain.range(1000).selectExpr("id - 1 as k", "id as w")
+    joined = pair_join(left, right, ["k"], how, 20_000, salted=True)
+    assert joined.count() == left.join(right, ["k"], how).count()
+    of_key = joined.filter("k = -1").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in of_key) == 30_000 and len(of_key) >= 8 and max(r["count"] for r in of_key) < 9_000

@@ -73,3 +73,18 @@ def test_actual_rates(spark):
         rows, "process_date string, site_set int, smart_optimization_goal int, valid_exposure_cnt string, "
         "valid_click_cnt string, active_num string, quality_product_id string")
     assert values(calibration.actual_rates(table, "20240101")) == [("A", 3, 1, 1), (None, 4, 1, 1)]
+
+
+def test_means_do_not_depend_on_order(spark):
+    """Means over products, to the last digit, whatever the partitions."""
+    occurrences = spark.range(3000).selectExpr(
+        "concat('p', id % 997) as quality_product_id", "cast(id % 3 as int) as order", "rand(1) as pctr", "rand(2) as pcvr",
+        "1L as copies")
+    rates = spark.range(997).selectExpr(
+        "concat('p', id) as quality_product_id", "id * 7919 % 997 + 3 as exposure_cnt", "id % 13 as click_cnt", "id % 5 as active_cnt")
+    occurrences = spark.createDataFrame(occurrences.collect(), occurrences.schema)
+    found = [
+        values(calibration.bias_macro(occurrences.repartition(n, "quality_product_id"), rates.repartition(n)))
+        for n in (1, 16)
+    ]
+    assert found[0] == found[1] and all(r[1] is not None for r in found[0])

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +143,48 @@ def test_text_and_zero_divisors(spark):
         scalars.utf8_text(F.col("raw")), scalars.hex_text(F.col("raw")),
         scalars.deviation(F.lit(0.5), F.lit(0), F.lit(10)), scalars.deviation(F.lit(0.5), F.lit(5), F.lit(0))).first()
     assert tuple(row) == ("hé", "68c3a9", None, None)
+
+
+@pytest.mark.parametrize("write", ["tsv", "csv", "ordered", "counted"])
+def test_a_failed_write_leaves_the_old_output(spark, tmp_path, write):
+    write = {
+        "tsv": lambda rows, path: writers.write_tsv(rows, path, 2, ["id"]),
+        "csv": writers.write_csv,
+        "ordered": lambda rows, path: writers.write_ordered(rows, path, ["id"], 2),
+        "counted": lambda rows, path: writers.write_counted(rows, path, "rows"),
+    }[write]
+    path = str(tmp_path / "out")
+    write(spark.range(5), path)
+    before = {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path) if f.startswith("part-")}
+    broken = spark.range(100).selectExpr("if(id = 77, raise_error('stopped'), id) as id")
+    with pytest.raises(Exception, match="stopped"):
+        write(broken, path)
+    assert {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path) if f.startswith("part-")} == before
+    assert os.listdir(tmp_path) == ["out"]
+    write(spark.range(7), path)
+    after = {f for f in os.listdir(path) if f.startswith("part-")}
+    assert after and not after & set(before) and os.listdir(tmp_path) == ["out"]
+
+
+def test_an_exchange_that_fails_brings_the_old_output_back(spark, tmp_path):
+    path = str(tmp_path / "out")
+    writers.write_csv(spark.range(5), path)
+    before = sorted(os.listdir(path))
+    with pytest.raises(Exception), writers.replaced(spark, path):
+        pass  # nothing was written, so there is nothing to move
+    assert sorted(os.listdir(path)) == before and os.listdir(tmp_path) == ["out"]
+
+
+def test_order_of_files(spark, tmp_path):
+    """Names of files keep the order, ties and nulls included, and each row knows its place."""
+    rows = spark.range(500).selectExpr("if(id % 10 = 0, null, id * 37 % 90) as v", "id")
+    path = str(tmp_path / "out")
+    writers.write_ordered(rows, path, ["v", "id"], 4)
+    files = sorted(f for f in os.listdir(path) if f.startswith("part-"))
+    assert len(files) == 4
+    lines = [line for f in files for line in open(f"{path}/{f}").read().splitlines()[1:]]
+    expected = [(r["v"], r["id"]) for r in rows.orderBy("v", "id").collect()]
+    assert [tuple(int(c) if c.strip('"') else None for c in line.split(",")) for line in lines] == expected
+    placed = readers.read_in_order(spark, path, rows.schema)
+    assert [(r["v"], r["id"]) for r in sorted(placed.collect(), key=lambda r: r["place"])] == expected
+    assert sorted(r["place"] for r in placed.collect()) == list(range(1, 501))
