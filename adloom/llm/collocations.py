@@ -29,7 +29,7 @@ LEAST = 100
 #: Phrases reported per language.
 TOP = 2000
 #: Sizes of work in a task: characters of a block, entries held before they are sent, entries of a range.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 6_000_000
 HELD = 1_000_000
 RANGE_ENTRIES = 1_000_000
 SALTS = 64
