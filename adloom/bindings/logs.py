@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from adloom.constants import CATEGORY_BASE
 from adloom.session import use_checkpoint_dir
+from adloom.sources.manifest import announce
 from adloom.sources.readers import read_daily_table, read_records
 from adloom.sources.schemas import PAGE_VIEW, SCORE_TRACKING
 from adloom.sources.writers import write_partitioned
@@ -23,6 +24,8 @@ EXPERIMENTS = [2, 7, 11, 12]
 TARGETS = [3, 7, 12]
 ID_BITS = {"guid": 0, "wuid": 1, "md5_imei": 2, "md5_idfa": 3, "qidfa": 1}
 DAY = "20240101"
+HOURS = 6
+UNFINISHED = 3
 
 
 def output_folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -60,6 +63,22 @@ def page_views(spark: SparkSession, sf_dir: str, fields: Iterable[str]) -> DataF
     return read_records(spark, path, [*fields, "event_type"], f"{PAGE_VIEW}, event_type string")
 
 
+def hourly_log(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of a play log in six hours of a day, of which the fourth is still being written."""
+
+    def derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hour = F.concat(F.lit(f"{DAY}0"), (F.col("k") % HOURS).cast("string"))
+        return events(spark, sf_dir).select(
+            F.col("event_id").alias("id"), F.col("k").alias("play_time"), F.lit("play").alias("log"), hour.alias("date")
+        )
+
+    path = _written_log(spark, sf_dir, "plays", derive, ["log", "date"])
+    for hour in range(HOURS):
+        if hour != UNFINISHED:
+            announce(spark, path, "play", f"{DAY}0{hour}")
+    return path
+
+
 def score_records(spark: SparkSession, sf_dir: str, fields: Iterable[str]) -> DataFrame:
     """The score-tracking log."""
     path = _written_log(spark, sf_dir, "score-records", derive_score_records)

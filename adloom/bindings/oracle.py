@@ -400,6 +400,12 @@ FROM detail LEFT JOIN (SELECT * FROM cost WHERE id <> '') AS cost USING (id, tra
         "metrics_text": summed(f"{EXPOSED} UNION ALL {CLICKED} UNION ALL {TRACED}"),
         "ordered_report": f"""WITH ranked AS ({POSITION_QUANTILE})
 SELECT position_id, cpr, cpr_quantile, row_number() OVER (ORDER BY cpr, position_id) AS place FROM ranked""",
+        "log_day": f"""WITH {EVENTS}
+SELECT '202401010' || k % 6 AS date, count(*) AS plays, CAST(sum(k) AS BIGINT) AS play_time
+FROM ev WHERE k % 6 <> 3 GROUP BY 1""",
+        "log_hour": f"WITH {EVENTS} SELECT event_id AS id, k AS play_time, '2024010102' AS date FROM ev WHERE k % 6 = 2",
+        "log_optional": f"""WITH {EVENTS}
+SELECT event_id AS id, k % 6 AS hour, CASE WHEN k % 6 = 3 THEN 0 ELSE k END AS play_time FROM ev""",
         "score_consistency": CONSISTENCY,
         "last_write_lookup": LAST_WRITE,
         "clicks_and_conversions": f"""WITH {EVENTS}

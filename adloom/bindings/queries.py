@@ -13,7 +13,7 @@ from adloom.operators import skew
 from adloom.operators.keyed import look_up_last, pair_join
 from adloom.operators.skew import SPLIT_ABOVE
 from adloom.plans import basics, calibration, consistency, exposure, histogram, metrics, positions
-from adloom.sources import readers, writers
+from adloom.sources import manifest, readers, writers
 from adloom.sources.readers import TAB, decode_tsv
 from adloom.sources.schemas import CLICKS_AND_CONVERSIONS, layout
 
@@ -196,6 +196,35 @@ def ordered_report(spark, sf_dir):
     return readers.read_in_order(spark, out, ranked.schema)
 
 
+PLAY = "id bigint, play_time int"
+
+
+def log_day(spark, sf_dir):
+    """What the whole hours of a day hold."""
+    read = manifest.read_whole_hours(spark, logs.hourly_log(spark, sf_dir), "play", DAY, ["play_time"], PLAY)
+    return read.groupBy("date").agg(F.count(F.lit(1)).alias("plays"), F.sum("play_time").alias("play_time"))
+
+
+def log_hour(spark, sf_dir):
+    return manifest.read_whole_hours(spark, logs.hourly_log(spark, sf_dir), "play", f"{DAY}02", ["id", "play_time"], PLAY)
+
+
+def log_optional(spark, sf_dir):
+    """Each event with its play of the event's hour: 0 where the hour is not whole."""
+    root = logs.hourly_log(spark, sf_dir)
+    shown = logs.events(spark, sf_dir).select(F.col("event_id").alias("id"), (F.col("k") % logs.HOURS).alias("hour"))
+    found = None
+    for hour in range(logs.HOURS):
+        of_hour = shown.filter(F.col("hour") == hour)
+        played = manifest.read_whole_hours(spark, root, "play", f"{DAY}0{hour}", ["id", "play_time"], PLAY)
+        if played is None:
+            with_play = of_hour.withColumn("play_time", F.lit(0))
+        else:
+            with_play = of_hour.join(played.drop("date"), "id", "left").fillna(0, ["play_time"])
+        found = with_play if found is None else found.unionByName(with_play)
+    return found
+
+
 def score_consistency(spark, sf_dir):
     return consistency.score_consistency(logs.score_records(spark, sf_dir, consistency.FIELDS))
 
@@ -307,7 +336,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         exposure_metrics, click_metrics, conversion_metrics, merged_metrics,
         exposure_detail, impression_cost, video_play, exposure_enriched, exposure_without_video,
         impression_extract, actual_rates, repeated_predictions, repeated_predictions_split, bias_macro, bias_pooled,
-        metrics_text, large_users, ordered_report,
+        metrics_text, large_users, ordered_report, log_day, log_hour, log_optional,
         score_consistency, last_write_lookup, clicks_and_conversions,
         position_value, position_quantile,
         word_count, drop_incomplete, group_expr, square,
