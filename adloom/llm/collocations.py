@@ -186,7 +186,7 @@ class Filter:
 
 def _squeezed(codes: np.ndarray) -> bytes:
     """Whole numbers of 32 bits, compressed byte place by byte place, as the higher places are mostly alike."""
-    return zlib.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zlib.compress(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
@@ -262,8 +262,8 @@ def _numbered(blocks: DataFrame, least: int) -> tuple[DataFrame, int]:
 def _pairs(blocks: DataFrame, numbers: DataFrame, bits: int, ranges: int) -> DataFrame:
     """At rest, per block and range of quotients the filter of its pairs of frequent words; and per block with pairs its text
     as places of frequent words, -1 for others and breaks, and their numbers."""
-    places = numbers.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("p"))
-    places = places.select("block", F.col("p.at").alias("at"), F.col("p.id").alias("id"))
+    # no value is null, so both lists take the same rows in the same order
+    places = numbers.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
     joined = blocks.select("block", "tokens", F.size("words").alias("n")).join(places, "block")
 
     def count(batches):
