@@ -40,13 +40,15 @@ def shards_of(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     a shard unless they exceed a shard's capacity. The law that holds is `bytes`: sizes of shards
     are near equal, as are words and rows. `slot` counts a shard's rows from 0 without a gap;
     `grown_shard` is null, as no law for more shards is kept. Null and repeated doc_ids are rows
-    like others; an empty table gives an empty result.
+    like others, also where the text is equal; an empty table gives an empty result. Slots, and the shards of
+    groups above a shard's share, also depend on where a row is in the files of `docs`.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), words_in(text).alias("words"),
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("group"),
-        F.xxhash64(F.col("doc_id"), text, F.lit(1)).alias("_order"),
+        # with a number that is kept with the row: rows equal in all else must not meet in one part
+        F.xxhash64(F.col("doc_id"), text, F.monotonically_increasing_id()).alias("_order"),
     )
     rows = stored(rows, "rows")
     # crc32 and length besides the hash: unequal texts that share all three would only share a shard

@@ -308,3 +308,19 @@ def test_pieces_are_drawn_with_their_probability():
         many.add_many([w])
     assert one.start == many.start and one.piece == many.piece and one.first == many.first
     assert np.allclose(one.share, many.share)
+
+
+def test_shards_of_rows_equal_in_all_columns(spark):
+    """A third of all rows without an id and of one text: bytes and rows stay even, slots have no gap."""
+    same = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "repeat('one text ', 20) as text")
+    other = spark.range(80_000).selectExpr("id as doc_id", "concat('text ', id, repeat(' word', cast(id % 40 as int))) as text")
+    docs = same.union(other)
+    got = packing.shards_of(docs).collect()
+    assert len(got) == 120_000 and sum(r["doc_id"] is None for r in got) == 40_000
+    slots, size = {}, Counter()
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        size[r["shard"]] += r["size"]
+    assert set(slots) == set(range(16)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(size.values()) / 16
+    assert max(abs(v - mean) for v in size.values()) <= 0.05 * mean
