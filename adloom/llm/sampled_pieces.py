@@ -13,6 +13,7 @@ Zipf's law, (rank + SHIFT) ** -alpha. Small alpha gives more varied segmentation
 
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,10 +30,13 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds; as half a surrogate pair it occurs in no text.
 OWN_MARK = "\udfff"
 #: Edges kept per task before the table of words is begun anew.
-MOST_EDGES = 4_000_000
+MOST_EDGES = 8_000_000
 #: Characters of text sampled together.
 BLOCK_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_WORDS = 2_048
+#: Most places of a text hold no piece of a length; a table of so many bits tells most of them.
+SIEVE_BITS = 18
 _PARTS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 
@@ -41,7 +45,7 @@ class Pieces:
 
     def __init__(self, model: str, alpha: float):
         loaded = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.alpha, self.text, self.byte, self.weight, self.bytes_of = alpha, {}, {}, {}, {}
+        self.alpha, self.text, self.byte, self.bytes_of = alpha, {}, {}, {}
         for i in range(loaded.get_piece_size()):
             piece = loaded.id_to_piece(i)
             if loaded.is_byte(i):
@@ -49,12 +53,13 @@ class Pieces:
                 self.byte[value], self.bytes_of[i] = i, bytes([value])
             elif not (loaded.is_control(i) or loaded.is_unknown(i) or loaded.is_unused(i)):
                 self.text[piece], self.bytes_of[i] = i, piece.replace(MARK, " ").encode()
-                self.weight[piece] = (i + SHIFT) ** -alpha
         if len(self.byte) < 256:
             raise ValueError("the model needs byte pieces")
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.text if len(p) > 1):
             raise ValueError("a piece reaches over the start of a word")
         self.longest = max(map(len, self.text))
+        ids = np.array(list(self.text.values()))
+        self.weight = dict(zip(self.text, ((ids + SHIFT) ** -alpha).tolist()))
         self._tables = [self._by_length(n) for n in range(1, self.longest + 1)]
         self.fallback = (loaded.get_piece_size() + SHIFT) ** -alpha / 256
         self._ascii = np.array([self.byte[i] for i in range(128)], np.int32)
@@ -94,14 +99,15 @@ class Pieces:
             self.share.extend(s / total for s in shares)
             self.first.append(len(self.start))
             mass.append(total)
-            if total < 1e-200:  # only ratios within reach of one piece matter
+            if total < 2.0**-500:  # only ratios within reach of one piece matter; a power of two rounds nothing
                 low = max(0, end - longest)
-                mass[low:] = [m * 1e200 for m in mass[low:]]
+                mass[low:] = [m * 2.0**500 for m in mass[low:]]
         self.places[word] = base + len(word)
         return base + len(word)
 
     def _by_length(self, n: int) -> tuple[np.ndarray, ...]:
-        """Hashes of the pieces of n characters in order, their ids and weights."""
+        """Hashes of the pieces of n characters in order, their ids, weights and characters, and which low bits
+        of a mixed hash occur among them."""
         pieces = [p for p in self.text if len(p) == n]
         codes = np.array([[ord(c) for c in p] for p in pieces], np.uint64).reshape(-1, n)
         h = np.zeros(len(pieces), np.uint64)
@@ -111,14 +117,17 @@ class Pieces:
         if len(np.unique(h)) < len(h):
             raise ValueError("two pieces share a hash")
         ids = np.array([self.text[p] for p in pieces], np.int32)[order]
-        return h[order], ids, (ids + SHIFT) ** -self.alpha, codes[order]
+        occurs = np.zeros(1 << SIEVE_BITS, bool)
+        occurs[_sieve(h)] = True
+        values = np.array([self.weight[p] for p in pieces])[order]
+        return h[order], ids, values, codes[order], occurs
 
     def add_many(self, words: list[str]) -> None:
         """The lattices of words of up to 32 characters, many side by side."""
-        for low, high in ((0, 8), (8, 16), (16, 32)):
-            some = [w for w in words if low < len(w) <= high]
-            for k in range(0, len(some), 2_048):
-                self._add_block(some[k : k + 2_048], high)
+        some = sorted((w for w in words if len(w) <= 32), key=len)
+        for k in range(0, len(some), BLOCK_WORDS):
+            block = some[k : k + BLOCK_WORDS]
+            self._add_block(block, len(block[-1]))
         for w in words:
             if len(w) > 32:
                 self.add(w)
@@ -129,72 +138,58 @@ class Pieces:
         filled = np.arange(width) < lengths[:, None]
         codes = np.zeros((n, width), np.uint64)
         codes[filled] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        rows, begins, ends, ids, weights = [], [], [], [], []
-        h = np.zeros((n, width), np.uint64)
+        # by word, place of the end and begin: a piece of k + 1 characters lies at reach - 1 - k
+        weights, ids = np.zeros((n, width, reach)), np.zeros((n, width, reach), np.int32)
+        h, covered = np.zeros((n, width), np.uint64), np.zeros((n, width), bool)
         for k in range(reach):  # pieces of k + 1 characters that end at each place
             h[:, k:] = (h[:, k - 1 : width - 1] if k else h) * _BASE + codes[:, k:]
-            table, piece, value, text = self._tables[k]
+            table, piece, value, text, occurs = self._tables[k]
             if not len(table):
                 continue
-            row, place = np.nonzero(filled[:, k:])
+            row, place = np.nonzero(filled[:, k:] & occurs[_sieve(h[:, k:])])
             wanted = h[row, place + k]
             got = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
             hit = np.flatnonzero(table[got] == wanted)
             row, place, got = row[hit], place[hit], got[hit]
             # equal hashes of unequal text can't be excluded, so the characters decide
             same = (codes[row[:, None], place[:, None] + np.arange(k + 1)] == text[got]).all(axis=1)
-            rows.append(row[same])
-            begins.append(place[same])
-            ends.append(place[same] + k + 1)
-            ids.append(piece[got[same]])
-            weights.append(value[got[same]])
-        covered = np.zeros((n, width + 1), bool)
-        for row, end in zip(rows, ends):
-            covered[row, end] = True
-        row, place = np.nonzero(filled & ~covered[:, 1:])  # characters that no piece ends at go byte by byte
+            row, place, got = row[same], place[same], got[same]
+            at = (row * width + place + k) * reach + (reach - 1 - k)
+            weights.ravel()[at], ids.ravel()[at] = value[got], piece[got]
+            covered[row, place + k] = True
+        row, place = np.nonzero(filled & ~covered)  # characters that no piece ends at go byte by byte
         code = codes[row, place].astype(np.int64)
-        rows.append(row)
-        begins.append(place)
-        ends.append(place + 1)
-        ids.append(np.where(code < 128, self._ascii[np.minimum(code, 127)], -code - 1))
-        weights.append(np.full(len(row), self.fallback))
-        row, begin, end, piece, weight = map(np.concatenate, (rows, begins, ends, ids, weights))
-        order = np.lexsort((begin, row, end))
-        row, begin, end, piece, weight = (x[order] for x in (row, begin, end, piece, weight))
-        mass, share = np.zeros((n, width + 1)), np.empty(len(row))
-        mass[:, 0] = 1.0
-        bounds = np.searchsorted(end, np.arange(1, width + 2))
-        for e, (a, b) in enumerate(zip(bounds, bounds[1:]), 1):
-            if a == b:
-                continue
-            part = mass[row[a:b], begin[a:b]] * weight[a:b]
-            first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
-            total = np.add.reduceat(part, first)
-            mass[row[a:b][first], e] = total
-            count = np.diff(first, append=b - a)
-            sums = np.cumsum(part / np.repeat(total, count))
-            share[a:b] = sums - np.repeat(sums[first] - part[first] / total, count)
-            share[a:b][first + count - 1] = 1.0
-        order = np.lexsort((begin, end, row))
-        row, begin, end = row[order], begin[order], end[order]
+        weights[row, place, reach - 1] = self.fallback
+        ids[row, place, reach - 1] = np.where(code < 128, self._ascii[np.minimum(code, 127)], -code - 1)
+        # each word's sums are its own, so its shares are the same in any block
+        mass, shares = np.zeros((n, reach + width)), np.empty((n, width, reach))
+        mass[:, reach - 1] = 1.0
+        for e in range(width):
+            sums = np.cumsum(mass[:, e : e + reach] * weights[:, e], axis=1)
+            total = sums[:, -1]
+            mass[:, reach + e] = total
+            shares[:, e] = sums / np.where(total > 0, total, 1.0)[:, None]
+        at = np.flatnonzero(weights.ravel() > 0)
+        piece, share = ids.ravel()[at], shares.ravel()[at]
+        at, back = np.divmod(at, reach)
+        row, end = np.divmod(at, width)
+        begin, end = end + back - (reach - 1), end + 1
         base = len(self.first) - 1 + np.concatenate([[0], np.cumsum(lengths + 1)])
         counts = np.bincount(base[row] + end - base[0], minlength=int(base[-1] - base[0]))
         self.first.frombytes((len(self.start) + np.cumsum(counts)).tobytes())
         self.start.frombytes((base[row] + begin).astype(np.int32).tobytes())
-        self.piece.frombytes(piece[order].astype(np.int32).tobytes())
-        self.share.frombytes(share[order].tobytes())
+        self.piece.frombytes(piece.tobytes())
+        self.share.frombytes(share.tobytes())
         self.places.update(zip(words, (base[:-1] + lengths).tolist()))
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """One sampled path for each text as piece ids."""
-        ends, counts = array("q"), []
         cut = [_PARTS.findall(MARK + text.replace(MARK, OWN_MARK).replace(" ", MARK)) for text in texts]
         known = self.places
         self.add_many(list(set().union(*cut).difference(known)))
-        for words in cut:
-            ends.extend(map(known.__getitem__, words))
-            counts.append(len(words))
-        return self._walk(np.frombuffer(ends, np.int64), np.array(counts), seeds)
+        counts = np.array([len(words) for words in cut])
+        ends = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, counts.sum())
+        return self._walk(ends, counts, seeds)
 
     def _walk(self, place: np.ndarray, counts: np.ndarray, seeds: np.ndarray) -> list[np.ndarray]:
         """Backward sampling of all words of the texts side by side, one piece a step."""
@@ -260,6 +255,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _sieve(h: np.ndarray) -> np.ndarray:
+    """The place of a hash in a table of 2 ** SIEVE_BITS; its low bits are those of the last character alone."""
+    return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SIEVE_BITS)
+
+
 def _groups(texts: list[str]):
     """Ranges of rows of about BLOCK_CHARS characters together."""
     begin, chars = 0, 0
@@ -273,9 +273,11 @@ def _groups(texts: list[str]):
 
 
 def encode(
-    docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, check: bool = False
+    docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, check: bool = False,
+    keep: tuple[str, ...] | list[str] = (),
 ) -> DataFrame:
-    """`key`, `ids` (array of int), `n_pieces` and, with `check`, `lossless` per row of `docs` (key, text).
+    """`key`, `ids` (array of int), `n_pieces`, with `check` `lossless`, and the columns `keep` (of type long) per row of
+    `docs` (key, text).
 
     ids are one segmentation drawn with probability proportional to the product of its pieces'
     weights. The seed is taken from the key (null as a key of its own) and `seed`, so repeated
@@ -299,13 +301,14 @@ def encode(
                     yes = given[i : i + len(part)]
                     made = {"key": keys[i : i + len(part)], "ids": [x if y else None for x, y in zip(part, yes)],
                             "n_pieces": [len(x) if y else 0 for x, y in zip(part, yes)]}
+                    made |= {name: batch[name].to_numpy()[i : i + len(part)] for name in keep}
                     if check:
                         made["lossless"] = [pieces.decode(x.tolist()) == t for x, t in zip(part, texts[i:end])]
                     yield pd.DataFrame(made)
 
-    schema = "key string, ids array<int>, n_pieces int" + ", lossless boolean" * check
+    schema = "key string, ids array<int>, n_pieces int" + ", lossless boolean" * check + "".join(f", {name} long" for name in keep)
     kind = docs.schema[key].dataType
-    made = docs.select(F.col(key).cast("string").alias("key"), "text").mapInPandas(scan, schema)
+    made = docs.select(F.col(key).cast("string").alias("key"), "text", *keep).mapInPandas(scan, schema)
     return made.select(F.col("key").cast(kind).alias(key), *made.columns[1:])
 
 

@@ -310,6 +310,23 @@ def test_pieces_are_drawn_with_their_probability():
     assert np.allclose(one.share, many.share)
 
 
+def test_shares_do_not_depend_on_the_block():
+    """Bit for bit: a word alone, among others in any order, and by the plain loop."""
+    rng = random.Random(5)
+    every = ["▁" * rng.randint(0, 2) + "".join(rng.choice("theainoü　") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    every = list(dict.fromkeys(every))
+    block, back = (sampled_pieces.Pieces(sampled_pieces.MODEL, 1.0) for _ in range(2))
+    block.add_many(every)
+    back.add_many(every[::-1])
+    plain = sampled_pieces.Pieces(sampled_pieces.MODEL, 1.0)
+    for w in every:
+        plain.forget()
+        plain.add(w)
+        for p in (block, back):
+            a, b = p.first[p.places[w] - len(w)], p.first[p.places[w] + 1]
+            assert p.share[a:b] == plain.share and p.piece[a:b] == plain.piece
+
+
 def test_shards_of_rows_equal_in_all_columns(spark):
     """A third of all rows without an id and of one text: bytes and rows stay even, slots have no gap."""
     same = spark.range(40_000).selectExpr("cast(null as long) as doc_id", "repeat('one text ', 20) as text")
