@@ -1,7 +1,10 @@
 """Tables kept in the shared folder, connected components, positions without one large window."""
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,11 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 BUCKET_ROWS = 50_000
+#: Rows of a file have numbers below this.
+FILE_ROWS = 1 << 40
+_PART = r"part-(\d{1,6})[-.]"
+#: For each open scope the paths made in it.
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +37,49 @@ def new_folder(spark: SparkSession, name: str) -> str:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    for scope in _scopes[-1:]:
+        scope.append(path)
     return path
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Tables at rest made inside are removed at the end: write the result that reads them before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _scopes.pop():
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(rows: DataFrame, name: str) -> str:
+    """`name` with as many underscores in front as make it no column of `rows`."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` with a number for each row in column `name`, the same whenever the rows are read.
+
+    A table that Spark wrote is numbered where it lies, by the part that a file's name tells and the
+    place in the file: rows of a sorted table keep their order. Others are written first.
+    """
+    files = rows.inputFiles()
+    parts = [re.search(_PART, f.rsplit("/", 1)[-1]) for f in files]
+    at_rest = rows._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if "_metadata" not in rows.columns and at_rest and files and (
+        len(files) == 1 or all(parts) and len({m[1] for m in parts}) == len(parts)
+    ):
+        part = F.coalesce(F.regexp_extract("_metadata.file_name", _PART, 1).try_cast("long"), F.lit(0))
+        return rows.select("*", (part * FILE_ROWS + F.col("_metadata.row_index")).alias(name))
+    return stored(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """`rows` written to the shared folder and read back: computed once, safe when an executor is lost."""
     path = new_folder(rows.sparkSession, name)

@@ -1,12 +1,15 @@
 """Operators on pages and vectors, and the pipeline."""
 
 import hashlib
+import os
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from adloom.llm import curriculum, main_text, rp_forest, warc
+from adloom.llm.common import numbered, released, stored
 
 
 @pytest.fixture(scope="module")
@@ -130,3 +133,45 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark):
     times = Counter((r["doc_id"], r["text"], r["source"]) for r in mixed)
     assert abs(len(mixed) - wanted) <= 3 and max(times.values()) <= curriculum.REPEATS
     assert len(mixed) <= curriculum.REPEATS * left
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Columns named like those of the stages, empty documents, labels of one class or none."""
+    import corpus_pipeline
+
+    names = ["_score", "_row", "_position", "row", "number", "place", "group", "doc"]
+    rows = [(i, f"text {i} of " + "some words " * i, "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(12)]
+    rows += [(None, None, None, *[None] * 8), (3, "", "a", *[None] * 8)]
+    schema = "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names)
+    for k, (some, marks) in enumerate([(rows, [(1, 1), (2, 1)]), (rows, []), ([], [(1, 0), (2, 1)]), ([], [])]):
+        at = f"{tmp_path}/{k}"
+        spark.createDataFrame(some, schema).repartition(3).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(marks, "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for j, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            stage(spark, docs, at).write.parquet(f"{at}/{j}")
+            docs = spark.read.parquet(f"{at}/{j}")
+            assert docs.columns == ["doc_id", "text", "source", *names]
+            if j == 0:
+                assert docs.count() == len(some)
+            if j in (1, 2):  # of the null and the empty text the one with an id stays
+                assert {(r["doc_id"], r["place"]) for r in docs.collect()} == {(r[0], r[8]) for r in some if r[0] is not None}
+        got = corpus_pipeline.to_pieces(spark, docs, at).collect()
+        assert len(got) == docs.count() and len({r["place"] for r in got}) == len(got) and bool(got) == bool(some)
+
+
+def test_rows_of_a_sorted_table_keep_their_order(spark, tmp_path):
+    spark.range(5_000).repartition(7).orderBy("id").write.parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    rows = numbered(table, "n").collect()
+    assert [r["id"] for r in sorted(rows, key=lambda r: r["n"])] == list(range(5_000))
+    joined = numbered(table.join(table.withColumnRenamed("id", "j"), F.col("id") % 7 == F.col("j")), "n")
+    assert joined.select("n").distinct().count() == joined.count()
+
+
+def test_released_tables_are_gone(spark):
+    with released(spark):
+        made = stored(spark.range(10), "released")
+        files = made.inputFiles()
+        assert made.count() == 10
+    assert files and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in files)
