@@ -1,63 +1,79 @@
 """A corpus from raw documents to sampled pieces, stage by stage.
 
 Each stage takes the rows that the one before kept, as a table at rest, and returns all columns
-of `documents`; the last returns pieces. Rows with nulls in any column pass like others.
-A stage numbers its rows first and matches them by number, as ids may be null or repeated.
+of `documents`, whatever their names; the last returns pieces. Rows with nulls in any column pass
+like others, empty texts too, and an empty table gives an empty result. Ids may be null or repeated,
+so a stage matches rows by a number of their own: a table at rest is numbered where it lies.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adloom.llm import block_names, curriculum, jaccard_join, sampled_pieces, toxicity
-from adloom.llm.common import new_folder, stored
+from adloom.llm.common import forget, new_folder, numbered, released, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the factorization machine rejects."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.scored(docs, toxicity.learn(docs, labels), "_score")
-    return scored.filter("_score < 0.5").drop("_score")
-
+    """Without the documents that the factorization machine rejects.
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs` at rest with a number `_row` for each row: ids may be null or repeated."""
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    Null and empty texts get the score of the model's bias. Without labels of both classes nothing can be
+    told, and all rows stay.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model, score = toxicity.learn(docs, labels), unused(docs, "_score")
+    if not len(model["places"]):
+        return docs
+    return toxicity.scored(docs, model, score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, whatever the ids."""
-    rows = _numbered(docs)
-    kept = block_names.exact_duplicates(rows, row="_row").filter("kept").select(F.col("row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    """One document of each group of equal texts, whatever the ids; null and blank texts are one group."""
+    row = unused(docs, "_row")
+    rows = numbered(docs, row)
+    found = block_names.exact_duplicates(rows.select("doc_id", "text", row), row=row)
+    kept = found.filter("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id (null last), then the first, of each group of similar texts."""
-    rows = _numbered(docs)
-    found = jaccard_join.similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"))
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    """The document with the smallest id (null last), then the first, of each group of similar texts.
+
+    Texts without words are similar to none, so all of them stay.
+    """
+    row = unused(docs, "_row")
+    rows = numbered(docs, row)
+    found = jaccard_join.similar_documents(rows.select(F.col(row).alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
     # joined by row, not by group, as a group may hold a third of all rows
-    placed = found.join(rows.select("_row", "doc_id"), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = placed.groupBy("_group").agg(first.alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").drop("_row")
+    placed = found.join(rows.select(F.col(row).alias("number"), "doc_id"), "number")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "number"))
+    kept = placed.groupBy("group").agg(first.alias("first")).select(F.col("first.number").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the curriculum takes them, whole, in order of training position.
+    """Documents as often as the curriculum takes them, whole, range-sorted by training position.
 
-    A copy is in if at least half of it lies within its source's demand.
+    A copy is in if at least half of it lies within its source's demand. A document without words
+    is in as often as its place in its source's stream lies within the demand; null sources are one source.
     """
-    rows = _numbered(docs)
-    planned = curriculum.schedule(rows, row="_row").filter("whole > 0")
-    copies = F.explode(F.slice("positions", 1, F.col("whole"))).alias("_position")
-    joined = rows.join(planned.select("_row", copies), "_row")
-    return joined.orderBy("_position", "doc_id", "_row").select(*docs.columns)
+    row, position = unused(docs, "_row"), unused(docs, "_position")
+    rows = numbered(docs, row)
+    narrow = rows.select("doc_id", "text", "source", F.col(row).alias("number"))
+    planned = curriculum.schedule(narrow, row="number").filter("whole > 0")
+    copies = F.explode(F.slice("positions", 1, F.col("whole"))).alias(position)
+    joined = rows.join(planned.select(F.col("number").alias(row), copies), row)
+    return joined.orderBy(position, "doc_id", row).select(*docs.columns)
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces and ids of each row."""
-    return sampled_pieces.encode(docs).select("doc_id", "n_pieces", "ids")
+    """doc_id, n_pieces, ids and place of each row.
+
+    `place` orders the rows as they lie in `docs`: that of training, if `docs` was written in its order.
+    """
+    place = unused(docs, "_place")
+    rows = numbered(docs, place).select("doc_id", "text", F.col(place).alias("place"))
+    return sampled_pieces.encode(rows, keep=["place"]).select("doc_id", "n_pieces", "ids", "place")
 
 
 STAGES = [
@@ -73,10 +89,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each but the last is written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; each but the last is written to the shared folder and read again.
+
+    What a stage keeps at rest is removed when its result is written, its input when the next one's is.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with released(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            forget(before)
+        docs = before = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
