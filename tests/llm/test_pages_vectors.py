@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 from collections import Counter
 
 import numpy as np
@@ -61,6 +62,28 @@ def test_main_text_of_sections():
     assert main_text.main_text(boxes).endswith("Then short item End.")
 
 
+IN_ARTICLE = "<body><article>%s<p>Long text, with commas, and more, so that it counts as text.</p></article></body>"
+KEPT = ['<h2 class="section-header">K</h2>', '<h2 class="entry-header">K</h2>', '<p class="ad-hoc">K</p>', '<p class="share-price">K</p>',
+        '<section id="related-work">K</section>', '<section id="social-history"><p>K</p></section>', '<div class="widget-text">K</div>',
+        "<math>K</math>", '<div class="entry-header"><h1>K</h1></div>', "<p title='a > b'>K</p>", "1 < 2 <3 K", "<p>x</z >K"]
+DROPPED = ['<div class="ad">K</div>', '<div class="cookie-notice">K</div>', '<div id="ad-300x250">K</div>', '<div class="commentsArea">K</div>',
+           '<ul class="share-buttons"><li>K</ul>', '<section id="related-posts">K</section>', '<div class="newsletter signup">K</div>',
+           '<div class="x sidebar-left">K</div>', "<script>K</script>", "<!-- K -->", "<div hidden>K</div>", "<p title='K'>x</p>"]
+
+
+@pytest.mark.parametrize("part", KEPT + DROPPED)
+def test_main_text_by_classes(part):
+    assert ("K" in main_text.main_text(IN_ARTICLE % part)) == (part in KEPT)
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b>", '<a href="', "</z ", "<i>", "<ul><li><a>x</a>", "<a '\">", "<a \"<'", "<p><b>"])
+@pytest.mark.parametrize("tail", [">", "</q>" * 20_000])
+def test_main_text_of_broken_markup_in_linear_time(unit, tail):
+    page, begin = unit * (300_000 // len(unit)) + tail, time.process_time()
+    main_text.main_text(page)
+    assert time.process_time() - begin < 20  # a few seconds; with the square of the page it takes minutes
+
+
 @pytest.mark.parametrize("leaf", [16, 512])
 def test_near_vectors_equal_brute_force(spark, leaf):
     rng = np.random.default_rng(4)
