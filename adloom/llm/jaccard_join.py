@@ -4,8 +4,8 @@ A document is the set of its distinct n-word shingles. Sets are put in one globa
 shingles first, by a table of counts over all documents. Of each set only a prefix is indexed:
 rare shingles one by one, frequent ones as pairs within one of 64 classes. A prefix runs on
 until the shingles that two similar sets may differ in cannot break every signature, so a
-similar pair always shares one. Shared signatures are only candidates: every link is an exact
-comparison of whole sets.
+similar pair always shares one. Shared signatures are only candidates: every link compares
+whole sets. Shingles are equal when their 64-bit names are, hashes of all bytes of their words.
 
 Frequent passages and large groups of near copies would make as many candidates as the square
 of their number. Each set is therefore first compared with one partner; sets already connected
@@ -44,12 +44,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Random numbers for bytes; white space counts nothing.
-_OF_BYTE = np.random.Generator(np.random.PCG64(20240501)).integers(1, 2**63, 256, np.uint64)[_LOWER]
-_OF_BYTE[_IS_SPACE] = 0
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Words up to so many bytes are hashed side by side, eight bytes a step.
+SHORT = 64
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 BLOCK_BYTES = 1 << 19
 
 
@@ -60,17 +57,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _word_names(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word in the bytes and a 64-bit name of the lower-cased word."""
+    """Start of each word in the bytes and a 64-bit name of the lower-cased word.
+
+    A name is a chain of mixing steps over the word's length and all its bytes, for long words a common hash of them.
+    """
     b = np.frombuffer(data, np.uint8)
-    if len(_powers["up"]) < len(b):
-        size = max(2 * BLOCK_BYTES, len(b))
-        for way, by in (("up", _FACTOR), ("down", _INVERSE)):
-            _powers[way] = np.cumprod(np.full(size, by, np.uint64), dtype=np.uint64) * np.uint64(pow(int(by), -1, 1 << 64))
-    space = _IS_SPACE[b]
-    edge = np.diff(space, prepend=True, append=True)
+    edge = np.diff(_IS_SPACE[b], prepend=True, append=True)
     begin, end = np.flatnonzero(edge)[0::2], np.flatnonzero(edge)[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_OF_BYTE[b] * _powers["up"][: len(b)], dtype=np.uint64)])
-    return begin, _mixed((sums[end] - sums[begin]) * _powers["down"][begin] + (end - begin).astype(np.uint64))
+    lower = _LOWER[np.concatenate([b, np.zeros(8, np.uint8)])]
+    eights = np.ndarray((len(b) + 1,), "<u8", lower.data, strides=(1,))
+    length = end - begin
+    names = _mixed(length.astype(np.uint64) + _ODD[0])
+    todo = np.flatnonzero(length <= SHORT)
+    for at in range(0, SHORT, 8):
+        todo = todo[length[todo] > at]
+        if not len(todo):
+            break
+        part = eights[begin[todo] + at] & _MASK[np.minimum(length[todo] - at, 8)]
+        names[todo] = _mixed((names[todo] ^ part) * _ODD[1] + _ODD[2])
+    for i in np.flatnonzero(length > SHORT):
+        names[i] = xxhash.xxh3_64_intdigest(lower[begin[i] : end[i]].tobytes())
+    return begin, names
 
 
 def shingle_sets(texts, n: int = WORDS):
