@@ -77,7 +77,8 @@ def numbered(rows: DataFrame, name: str) -> DataFrame:
     ):
         part = F.coalesce(F.regexp_extract("_metadata.file_name", _PART, 1).try_cast("long"), F.lit(0))
         return rows.select("*", (part * FILE_ROWS + F.col("_metadata.row_index")).alias(name))
-    return stored(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
+    place = F.monotonically_increasing_id() % (1 << 33)  # of a row in its partition
+    return stored(rows.withColumn(name, F.spark_partition_id().cast("long") * FILE_ROWS + place), "rows")
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:

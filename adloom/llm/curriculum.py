@@ -10,7 +10,7 @@ the cumulative demand at the tokens before it. What lies beyond the whole demand
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adloom.llm.common import WORD, offsets, stored
+from adloom.llm.common import FILE_ROWS, WORD, numbered, offsets, stored, unused
 
 REPEATS = 3
 SEED = 20240501
@@ -99,7 +99,34 @@ def schedule(
     )
 
 
-def in_order(planned: DataFrame) -> DataFrame:
-    """One row per copy taken, range-sorted by training position."""
-    each = planned.select("doc_id", "source", "size", F.posexplode("positions").alias("copy", "position"))
-    return each.orderBy("position", "doc_id", "copy")
+def in_order(planned: DataFrame, number: str | None = None) -> DataFrame:
+    """One row per copy taken, range-sorted by training position: doc_id, source, size, copy, position and rank.
+
+    `rank` counts the copies in order from 0; ties are settled by doc_id (null first), copy and the column `number`
+    of `planned`, which is returned too. The sorted copies lie in files by range, so a rank is the place in the file and
+    the rows of the files before it: one row per file is all that meets.
+    """
+    own = [number] if number else []
+    each = planned.select("doc_id", "source", "size", *own, F.posexplode("positions").alias("copy", "position"))
+    lying = numbered(stored(each.orderBy("position", "doc_id", "copy", *own), "order"), "_place")
+    file = F.floor(F.col("_place") / FILE_ROWS)
+    counts = lying.groupBy(file.alias("_file")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    ranked = lying.withColumn("_file", file).join(counts, "_file")
+    rank = F.col("_before") + F.col("_place") % FILE_ROWS
+    return ranked.select(*each.columns, rank.alias("rank"))
+
+
+def mixed(docs: DataFrame, weights: tuple = (1, 2, 3), repeats: int = REPEATS, seed: int = SEED) -> DataFrame:
+    """Per row of `docs` (doc_id, text, source) what `schedule` tells, and `ranks`: the place of each copy taken among
+    all copies in order of training.
+
+    Null, empty and repeated rows and empty tables as in `schedule`; rows that repeat a doc_id are kept apart.
+    """
+    rows = numbered(docs, unused(docs, "_row"))
+    rows = rows.select("doc_id", "text", "source", F.col(rows.columns[-1]).alias("number"))
+    planned = stored(schedule(rows, weights, repeats, seed, row="number"), "planned")
+    copies = in_order(planned, "number").groupBy("number").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
+    none = F.array().cast("array<long>")
+    return planned.join(copies, "number", "left").withColumn("ranks", F.coalesce("ranks", none)).drop("number")

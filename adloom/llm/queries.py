@@ -22,8 +22,8 @@ def op1_sentencepiece(spark, sf_dir):
 
 
 def op2_mixing(spark, sf_dir):
-    planned = curriculum.schedule(_table(spark, sf_dir, "documents"))
-    return planned.select("doc_id", "size", "source_size", "target", "taken", "positions")
+    planned = curriculum.mixed(_table(spark, sf_dir, "documents"))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "positions", "ranks")
 
 
 def op3_sharding(spark, sf_dir):

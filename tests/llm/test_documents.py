@@ -82,6 +82,23 @@ def _postings_with(limits, original):
     return postings
 
 
+def test_unequal_words_have_unequal_names(spark):
+    """Words on which names by polynomials fail, and words of every length alone and among others."""
+    rng = random.Random(8)
+    for n in (64, 1024, 2048):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        other = one.translate({97: "b", 98: "a"})
+        names = jaccard_join._word_names(f"{one} {other} {one.upper()}".encode())[1].tolist()
+        assert names[0] == names[2] != names[1]
+        table = spark.createDataFrame([(1, f"{one} x y z"), (2, f"{other} x y z")], "doc_id long, text string")
+        assert [r["component_id"] for r in jaccard_join.similar_documents(table).orderBy("doc_id").collect()] == [1, 2]
+    some = ["".join(rng.choice("abAéü　") for _ in range(rng.randint(1, 90))).encode() for _ in range(400)]
+    names = jaccard_join._word_names(b" ".join(some))[1].tolist()
+    assert names == [int(jaccard_join._word_names(w)[1][0]) for w in some]
+    lower = {w.lower() for w in some}
+    assert len(set(names)) == len(lower)
+
+
 def test_similar_documents_awkward(awkward, empty):
     got = jaccard_join.similar_documents(awkward).collect()
     assert len(got) == 11 and {r["component_id"] for r in got if r["doc_id"] in (1, 2)} == {1}
@@ -137,6 +154,63 @@ def test_schedule(awkward, empty):
     assert order == sorted(order) and order
 
 
+def _plain_mix(rows, weights=(1, 2, 3), repeats=3):
+    """(doc_id, size, source_size, target, taken, positions) per (order, doc_id, text, source), by plain loops."""
+    streams = {}
+    for order, doc_id, text, source in rows:
+        streams.setdefault(source, []).append((order, doc_id, len(words(text))))
+    names = sorted(streams, key=lambda s: (s is None, (s or "").encode()))
+    size = {s: sum(n for *_, n in streams[s]) for s in names}
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    slope = {s: (-0.6, 0.0, 0.6)[i % 3] for i, s in enumerate(names)}
+    target, left, free = {}, sum(size.values()), set(names)
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > repeats * size[s]}
+        target |= {s: repeats * size[s] if s in over else weight[s] * level for s in free}
+        left -= sum(target[s] for s in over)
+        if not over:
+            break
+        free -= over
+    made = []
+    for s in names:
+        at = 0
+        for _, doc_id, n in sorted(streams[s], key=lambda r: (r[0], r[1] or -1)):
+            begins = [at + k * size[s] for k in range(repeats)]
+            taken = sum(max(0.0, min(n, target[s] - b)) for b in begins)
+            times = []
+            for b in (b for b in begins if b < target[s]):
+                low, high = 0.0, 1.0  # demand grows with time: halve until it meets
+                for _ in range(60):
+                    t = (low + high) / 2
+                    low, high = (t, high) if target[s] * (t + slope[s] * (t * t - t)) < b else (low, t)
+                times.append(high)
+            made.append((doc_id, n, size[s], target[s], int(taken), times))
+            at += n
+    return made
+
+
+@pytest.mark.parametrize("large", [1, 40])
+def test_mixed_equals_plain_loops(spark, awkward, empty, large):
+    """Sizes, caps, targets, words taken, and the ranks by training position."""
+    rng = random.Random(large)
+    rows = [(i, "w " * rng.randint(0, 30) * (large if i % 3 else 1), "abcé"[i % 3 if i % 7 else 3]) for i in range(300)]
+    rows += [(None, f"w x{i}", None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for table in (docs, awkward):
+        named = table.selectExpr(f"xxhash64({curriculum.SEED}, doc_id, text)", "doc_id", "text", "source").collect()
+        want = _plain_mix([tuple(r) for r in named])
+        got = curriculum.mixed(table).collect()
+        key = lambda r: (r[0] or -1, r[1], r[4], len(r[5]))
+        have = sorted(((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["positions"]) for r in got), key=key)
+        for a, b in zip(have, sorted(want, key=key), strict=True):
+            assert a[:3] == b[:3] and a[3] == pytest.approx(b[3]) and a[4] == b[4]
+        assert sorted(p for r in have for p in r[5]) == pytest.approx(sorted(p for r in want for p in r[5]), abs=1e-6)
+        ranked = sorted((rank, p) for r in got for rank, p in zip(r["ranks"], sorted(r["positions"]), strict=True))
+        assert [rank for rank, _ in ranked] == list(range(len(ranked))) and [p for _, p in ranked] == sorted(p for _, p in ranked)
+    assert curriculum.mixed(empty).collect() == []
+
+
 def test_positions_follow_the_demand(spark):
     """A source whose weight falls comes early: half of its demand is met before half the time."""
     rows = [(i, "one two three", s) for i, s in enumerate(["a", "b", "c"] * 200)]
