@@ -207,7 +207,7 @@ def _train(texts: list[str]) -> np.ndarray:
         known = pattern_spans(text)
         for begin, end in _stretches(text):
             inside = [s for s in known if begin <= s[0] and s[2] <= end]
-            if not inside or end - begin > 600:
+            if not inside:
                 continue
             bounds, spans = _candidates(text, begin, end)
             place = {b: i for i, b in enumerate(bounds)}

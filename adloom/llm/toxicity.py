@@ -55,29 +55,34 @@ def terms(text: str | None) -> np.ndarray:
 def _tied_beside(labels: np.ndarray, rows: list[np.ndarray], chosen: np.ndarray) -> np.ndarray:
     """Places whose terms are tied to the label within the texts that hold another chosen term.
 
-    The tie is the root of the likelihood ratio, which stays sound for small counts.
+    The tie is the root of the likelihood ratio, which stays sound for small counts. Only terms in
+    enough texts of the fit can be tied; they are numbered without gaps, so that counting needs no sort.
     """
+    often = np.flatnonzero(np.bincount(np.concatenate([*rows, chosen[:0]]), minlength=PLACES) >= LEAST_TEXTS)
+    at = np.full(PLACES, -1, np.int64)
+    at[often] = np.arange(len(often))
+    kept = [at[r][at[r] >= 0] for r in rows]
     holders: dict[int, list[int]] = {int(p): [] for p in chosen}
+    is_chosen = np.isin(np.arange(PLACES), chosen)
     for i, r in enumerate(rows):
-        for p in r[np.isin(r, chosen, assume_unique=True)]:
+        for p in r[is_chosen[r]]:
             holders[int(p)].append(i)
-    found = []
+    tied = np.zeros(len(often), bool)
     for some in holders.values():
-        y = labels[some]
-        n, toxic = len(some), int(y.sum())
+        marked, clean = [kept[i] for i in some if labels[i]], [kept[i] for i in some if not labels[i]]
+        n, toxic = len(some), len(marked)
         if not 0 < toxic < n:
             continue
-        flat, times = np.concatenate([rows[i] for i in some]), [len(rows[i]) for i in some]
-        places, inverse = np.unique(flat, return_inverse=True)
-        one = np.bincount(inverse, np.repeat(y, times))
-        every = np.bincount(inverse)
-        ratio = np.zeros(len(places))
-        for with_term, without in ((one, toxic - one), (every - one, n - toxic - every + one)):
-            share = (toxic if with_term is one else n - toxic) / n
+        one, other = (np.bincount(np.concatenate(part), minlength=len(often)) for part in (marked, clean))
+        enough = np.flatnonzero(one + other >= LEAST_TEXTS)
+        one, every = one[enough].astype(float), (one + other)[enough]
+        ratio = np.zeros(len(enough))
+        for with_term, without, all_of in ((one, toxic - one, toxic), (every - one, n - toxic - every + one, n - toxic)):
+            share = all_of / n
             for seen, size in ((with_term, every), (without, n - every)):
                 ratio += 2 * seen * np.log(np.maximum(seen, 1e-300) / np.maximum(size * share, 1e-300))
-        found.append(places[(every >= LEAST_TEXTS) & (ratio >= LEAST_PAIR_Z**2)])
-    return np.unique(np.concatenate(found)) if found else chosen[:0]
+        tied[enough[ratio >= LEAST_PAIR_Z**2]] = True
+    return often[tied]
 
 
 def _fit(labels: np.ndarray, rows: list[np.ndarray]) -> dict:
@@ -136,11 +141,12 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The model from `labels` (doc_id, toxic) and the texts of `docs`.
 
     Only rows whose crc32(doc_id as text) mod 5 isn't 0 are learned from; of each class those
-    with the smallest hashes, about `fit_rows`. Null labels or ids are left out. Without rows of
-    both classes the score is the share of toxic ones for any text.
+    with the smallest hashes, about `fit_rows`. Null labels or ids are left out. A doc_id with both labels
+    gives a row of each; of rows that repeat a doc_id only the one with the smallest terms is learned from,
+    and equal texts of one label count once. Without rows of both classes the score is the share of toxic ones for any text.
     """
     known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    known = known.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
+    known = known.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     share = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "_id"), 1) / F.lit(float(2**63))
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     most = F.when(F.col("_y") == 1, fit_rows / max(1, sizes.get(1, 0))).otherwise(fit_rows / max(1, sizes.get(0, 0)))
@@ -153,12 +159,14 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
             yield pd.DataFrame({"y": batch["_y"], "row": batch["_id"], "places": [terms(t) for t in batch["text"]]})
 
     found = texts.mapInPandas(extract, "y int, row long, places array<int>")
+    # one row for each id and label, so that repeated ids don't fill the one task that learns
+    found = found.groupBy("row", "y").agg(F.min("places").alias("places"))
 
     def train(batches):
         parts = [b for b in batches if len(b)]
         if not parts:
             return
-        table = pd.concat(parts).sort_values("row", kind="stable")
+        table = pd.concat(parts).sort_values(["row", "y"])
         labels_of, rows, seen = [], [], set()
         for y, places in zip(table["y"], table["places"]):
             row = np.asarray(places, np.int64)

@@ -23,6 +23,7 @@ from adloom.llm.common import new_folder
 #: Payloads of at least so many bytes are stored once.
 REVISIT_FROM = 1000
 RECORDS_PER_FILE = 20_000
+_PIECE = 1 << 20
 _END = b"\r\n\r\n"
 _NAMES = ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date", "WARC-Payload-Digest", "Content-Length",
           "X-Payload-Length", "X-Page-Id", "X-Refers-To-Page")
@@ -75,17 +76,14 @@ def write_archives(records: DataFrame, folder: str, date: str = "2024-01-01T00:0
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder)
 
 
-def _inflated(content: bytes):
-    """Pieces of the text of a gzip file, also of several members."""
-    for begin in range(0, len(content), 1 << 20):
-        left = content[begin : begin + (1 << 20)]
-        if begin == 0:
+def _inflated(file):
+    """Pieces of the text of an open gzip file, also of several members; as much is inflated at once as is bounded."""
+    stream, left = zlib.decompressobj(31), b""
+    while left or (left := file.read(_PIECE)):
+        if stream.eof:
             stream = zlib.decompressobj(31)
-        while left:
-            yield stream.decompress(left)
-            left = stream.unused_data
-            if stream.eof:
-                stream = zlib.decompressobj(31)
+        yield stream.decompress(left, _PIECE)
+        left = stream.unconsumed_tail or stream.unused_data
 
 
 def _headers(head: bytes) -> dict[str, str]:
@@ -129,6 +127,8 @@ def _store(uri: str) -> tuple[pafs.FileSystem, str]:
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrite each archive of `source` with a gzip member per record, and write an index beside it.
 
+    Both are folders that the tasks can open by `pyarrow.fs`, as those in the shared folder.
+
     Returns the index, read back from the sidecar files: file, begin, length and the record's
     main headers. A file is written under a name of its own and renamed when whole, so a task
     that is run again, or twice at once, leaves one right copy.
@@ -138,13 +138,19 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
         store, root = _store(target)
         store.create_dir(root, recursive=True)
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path in batch["path"]:
                 # from the name alone, the same for each run of the task
                 name = hashlib.sha1(path.encode()).hexdigest()
                 parts = [f"{root}/_part-{uuid.uuid4().hex}" for _ in range(2)]
                 place = count = 0
-                with store.open_output_stream(parts[0], compression=None) as out, store.open_output_stream(parts[1], compression=None) as index:
-                    for headers, record in _records(_inflated(content)):
+                # an archive is read as a stream and held only as far as one record
+                origin, inside = _store(path)
+                with (
+                    origin.open_input_stream(inside, compression=None) as archive,
+                    store.open_output_stream(parts[0], compression=None) as out,
+                    store.open_output_stream(parts[1], compression=None) as index,
+                ):
+                    for headers, record in _records(_inflated(archive)):
                         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = packer.compress(record) + packer.flush()
                         out.write(member)
@@ -156,7 +162,8 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                 store.move(parts[1], f"{root}/{name}.index.json")
                 yield pd.DataFrame({"file": [name], "records": [count]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    # only the paths: without the column `content` Spark reads no file
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path")
     done = files.mapInPandas(rewrite, "file string, records long").agg(F.sum("records").alias("n")).first()
     schema = "file string, begin long, length long, headers map<string,string>"
     if not done["n"]:

@@ -1,6 +1,7 @@
 """Operators on documents against brute force and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -292,6 +293,45 @@ def test_toxicity_of_a_term_that_is_neutral_alone():
     assert score(insult, group) > 0 > max(score(insult), score(group))
 
 
+def test_toxicity_ties_beside_another_term():
+    """Places tied to the label beside a chosen term, against plain counting."""
+    rnd = np.random.default_rng(4)
+    labels = rnd.integers(0, 2, 400)
+    rows = []
+    for y in labels:
+        marks = [7] * int(rnd.random() < 0.5) + [8] * int(y and rnd.random() < 0.7)
+        rows.append(np.unique(np.array([*rnd.integers(50, 90, 6), *marks], np.int64)))
+    least, toxicity.LEAST_PAIR_Z = toxicity.LEAST_PAIR_Z, 2.0
+    got = toxicity._tied_beside(labels, rows, np.array([7, 8, 60]))
+    toxicity.LEAST_PAIR_Z = least
+    want = set()
+    for chosen in (7, 60):  # 8 is in toxic texts alone
+        held = [(y, r) for y, r in zip(labels, rows) if chosen in r]
+        n, toxic = len(held), sum(y for y, _ in held)
+        for term in {int(t) for _, r in held for t in r}:
+            cells = Counter((int(y), term in r) for y, r in held)
+            with_term = cells[0, True] + cells[1, True]
+            ratio = 0.0
+            for (y, has), seen in cells.items():
+                expected = (toxic if y else n - toxic) * (with_term if has else n - with_term) / n
+                ratio += 2 * seen * math.log(seen / expected) if seen else 0.0
+            if with_term >= toxicity.LEAST_TEXTS and ratio >= 4.0:
+                want.add(term)
+    assert 8 in want and set(got.tolist()) == want
+    assert not len(toxicity._tied_beside(labels, rows, np.array([], np.int64)))
+
+
+def test_toxicity_of_repeated_ids(spark):
+    """Repeats of a labelled id and of its label don't change the model but for the smallest of its texts."""
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choices("abcdefgh ", k=40)) + " scoundrel" * (i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    once = toxicity.learn(docs, known)
+    often = toxicity.learn(docs.union(docs).union(docs.filter("doc_id = 8")), known.union(known))
+    assert len(once["places"]) and all(np.array_equal(once[k], often[k]) for k in once)
+
+
 def brute_spans(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
@@ -349,6 +389,45 @@ def test_personal_data_learns_each_text_once(spark):
     assert (pii.learn(once) == pii.learn(often)).all()
 
 
+def test_personal_data_is_learned_from_long_stretches():
+    """A stretch of thousands of characters without a gap between numbers is learned from like a short one."""
+    numbers = " ".join(f"+49 30 {5550000 + i}, " for i in range(200))
+    assert max(b - a for a, b in pii._stretches(numbers)) > 2000
+    bare = pii._train(["nothing here"])
+    assert (bare == pii._train(["no number"])).all() and not (pii._train([numbers]) == bare).all()
+
+
+def test_gradient_of_all_segmentations():
+    """Observed minus expected features against a sum over every segmentation."""
+    rnd = np.random.default_rng(3)
+    n, spans = 4, [(0, 1, [0]), (0, 2, [1, 2]), (1, 3, [0, 3]), (2, 4, [2]), (3, 4, [1])]
+    weights = rnd.normal(size=(len(pii.KINDS), 4))
+    gold = {(0, 2, 1), (3, 4, 0)}
+
+    def ways(at):
+        if at == n:
+            yield []
+            return
+        for rest in ways(at + 1):
+            yield rest
+        for k, (i, j, _) in enumerate(spans):
+            if i == at:
+                for kind in range(len(pii.KINDS)):
+                    for rest in ways(j):
+                        yield [(k, kind), *rest]
+
+    every = list(ways(0))
+    mass = np.array([np.exp(sum(weights[kind, spans[k][2]].sum() for k, kind in way)) for way in every])
+    want = np.zeros_like(weights)
+    for way, share in zip(every, mass / mass.sum()):
+        for k, kind in way:
+            want[kind, spans[k][2]] -= share
+    for k, (i, j, f) in enumerate(spans):
+        for kind in range(len(pii.KINDS)):
+            want[kind, f] += (i, j, kind) in gold
+    assert np.allclose(pii._gradient(n, spans, gold, weights), want)
+
+
 def test_pieces(awkward, empty):
     got = sampled_pieces.encode(awkward, check=True)
     rows = got.collect()

@@ -1,6 +1,8 @@
 """Operators on pages and vectors, and the pipeline."""
 
+import gzip
 import hashlib
+import io
 import os
 import time
 from collections import Counter
@@ -34,6 +36,19 @@ def test_archives_round_trip(spark, pages):
     assert warc.archived(pages.limit(0)).collect() == []
 
 
+def test_archives_are_inflated_piece_by_piece():
+    """Several members, one that inflates a thousandfold, and a stream cut at any byte."""
+    parts = [b"a" * 5_000_000, b"", bytes(range(256)) * 300]
+    whole = b"".join(gzip.compress(p) for p in parts)
+    pieces = list(warc._inflated(io.BytesIO(whole)))
+    assert b"".join(pieces) == b"".join(parts) and max(map(len, pieces)) <= warc._PIECE
+    least, warc._PIECE = warc._PIECE, 7
+    small = gzip.compress(b"some text, some text") + gzip.compress(b"more")
+    assert b"".join(warc._inflated(io.BytesIO(small))) == b"some text, some textmore"
+    warc._PIECE = least
+    assert list(warc._inflated(io.BytesIO(b""))) == []
+
+
 def test_main_text(pages):
     page = """<html><head><title>t</title></head><body><nav><a href=x>menu</a></nav><div class="cookie-notice">accept</div>
     <article><h1>Title &amp; more</h1><p><b>First, with, commas.<br><p>Second &lt;part&gt;</p><ul><li><a href=y>see</a></ul>
