@@ -30,7 +30,7 @@ MARK = "▁"
 #: Stands for a mark that the text itself holds; as half a surrogate pair it occurs in no text.
 OWN_MARK = "\udfff"
 #: Edges kept per task before the table of words is begun anew.
-MOST_EDGES = 4_000_000
+MOST_EDGES = 8_000_000
 #: Characters of text sampled together.
 BLOCK_CHARS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -274,7 +274,7 @@ def _groups(texts: list[str]):
 
 def encode(
     docs: DataFrame, key: str = "doc_id", model: str = MODEL, alpha: float = ALPHA, seed: int = SEED, check: bool = False,
-    keep: tuple[str, ...] | list[str] = (),
+    keep: tuple[str, ...] | list[str] = (), most_edges: int = MOST_EDGES,
 ) -> DataFrame:
     """`key`, `ids` (array of int), `n_pieces`, with `check` `lossless`, and the columns `keep` (of type long) per row of
     `docs` (key, text).
@@ -283,7 +283,8 @@ def encode(
     weights. The seed is taken from the key (null as a key of its own) and `seed`, so repeated
     rows get the same sample. A null text gives null ids and n_pieces 0, an empty one the one
     piece of the leading space. `lossless` tells whether decoding gives the text back. More
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. `most_edges` bounds the table of lattices that
+    a task keeps: fewer take less memory and more time, and give the same samples.
     """
 
     def scan(batches):
@@ -292,7 +293,7 @@ def encode(
             keys, texts = batch["key"].tolist(), [t or "" for t in batch["text"]]
             given = batch["text"].notna().to_numpy()
             for begin, end in _groups(texts):
-                if len(pieces.start) > MOST_EDGES:
+                if len(pieces.start) > most_edges:
                     pieces.forget()
                 seeds = [xxhash.xxh64_intdigest(str(k), seed=seed) for k in keys[begin:end]]
                 found = pieces.sample(texts[begin:end], np.array(seeds, np.uint64))
