@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from adloom.llm import block_names, curriculum, jaccard_join, sampled_pieces, toxicity
 from adloom.llm.common import forget, new_folder, numbered, released, unused
 
+#: Lattice edges kept by a task of the last stage, whose workers share their memory with what earlier stages left.
+PIECE_EDGES = 3_000_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the factorization machine rejects.
@@ -73,7 +76,7 @@ def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     place = unused(docs, "_place")
     rows = numbered(docs, place).select("doc_id", "text", F.col(place).alias("place"))
-    return sampled_pieces.encode(rows, keep=["place"]).select("doc_id", "n_pieces", "ids", "place")
+    return sampled_pieces.encode(rows, keep=["place"], most_edges=PIECE_EDGES).select("doc_id", "n_pieces", "ids", "place")
 
 
 STAGES = [
